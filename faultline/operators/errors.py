@@ -122,16 +122,16 @@ def similarity_keys(groups: DataFrame, frames: DataFrame) -> tuple[DataFrame, Da
 def exception_tails(name: Column) -> Column:
     """Every substring ending where an exception word ends; a contained type name is always one of them."""
     low = F.lower(name)
-    ends = F.flatten(F.array(*[
-        F.transform(
-            F.filter(F.sequence(F.lit(1), F.length(low)),
-                     lambda i, w=w: F.substr(low, i, F.lit(len(w))) == w),
-            lambda i, w=w: i + (len(w) - 1))
-        for w in V.EXCEPTION_WORDS
-    ]))
-    tails = F.transform(ends, lambda e: F.transform(
-        F.sequence(F.lit(1), e), lambda s: F.substr(name, s, e - s + 1)))
-    return F.array_distinct(F.flatten(tails))
+
+    def ends_of(word: str) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substr(low, i, F.lit(len(word))) == word)
+        return F.transform(starts, lambda i: i + (len(word) - 1))
+
+    def tails_to(end: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), end), lambda start: F.substr(name, start, end - start + 1))
+
+    ends = F.flatten(F.array(*[ends_of(w) for w in V.EXCEPTION_WORDS]))
+    return F.array_distinct(F.flatten(F.transform(ends, tails_to)))
 
 
 @dataclass

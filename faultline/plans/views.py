@@ -383,12 +383,16 @@ retries = {d%9}
 ]
 
 
+def _prefixed(prefix: str):
+    return lambda line: F.concat(F.lit(prefix), line)
+
+
 def _render(template: str, lines: Column, number: Column) -> Column:
     parts = []
     for piece in re.split(r"(\{d(?:%\d+)?\}|<<[^\n]*?>>)", template):
         if piece.startswith("<<"):
             prefix = piece[2:-2]
-            parts.append(F.array_join(F.transform(lines, lambda x, prefix=prefix: F.concat(F.lit(prefix), x)), "\n"))
+            parts.append(F.array_join(F.transform(lines, _prefixed(prefix)), "\n"))
         elif re.fullmatch(r"\{d(%\d+)?\}", piece):
             mod = piece[3:-1]
             parts.append(_s(number % int(mod) if mod else number))
