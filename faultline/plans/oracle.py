@@ -188,7 +188,7 @@ doc_chunks AS (
 VEC_CHUNKS = """
 vec_chunks AS (
   SELECT 'ns' || (label % 3) AS namespace, vec_id, 'src' || label || '.py' AS source_file,
-    CAST(vec_id * 10 + 1 AS BIGINT) AS line_start, CAST(vec_id * 10 + 15 AS BIGINT) AS line_end,
+    CAST(vec_id * 4 + 1 AS BIGINT) AS line_start, CAST(vec_id * 4 + 15 AS BIGINT) AS line_end,
     CASE WHEN vec_id % 2 = 1 THEN 'log' ELSE 'code' END AS source_type,
     CASE WHEN vec_id % 3 = 0 THEN 'function' ELSE '' END AS chunk_kind,
     CASE WHEN vec_id % 3 = 0 THEN 'fn' || (vec_id % 11) ELSE '' END AS function_name,
@@ -199,7 +199,19 @@ vec_chunks AS (
     embedding
   FROM embeddings)"""
 
+VEC = VEC_CHUNKS.replace("vec_chunks AS", "vec_base AS") + f""",
+vec_chunks AS (SELECT *, sha256(namespace || ':' || source_file || ':' || line_start || ':' || line_end) AS chunk_id,
+  {ingest_severity('text')} AS severity, {entry_ts('text')} AS ts FROM vec_base),
+vec_questions AS (SELECT vec_id AS query_id, namespace, {case('vec_id % 4', dict(enumerate(views.VECTOR_QUESTIONS)), "''")} AS question, embedding FROM vec_base),
+kn AS (SELECT q.query_id, c.chunk_id, round(1 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS distance
+  FROM vec_questions q JOIN vec_chunks c USING (namespace)),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM kn QUALIFY rank <= 8)"""
+
 _N = len(views.PHRASES)
+LOG_CHUNKS = LOG_VIEW + f""",
+log_chunks AS (SELECT namespace, source_file, ord AS line_start, ord AS line_end, text,
+  sha256(namespace || ':' || source_file || ':' || ord || ':' || ord) AS chunk_id, {ingest_severity('text')} AS severity, 'log' AS source_type FROM log_view)"""
+
 QUESTIONS = f"""
 questions AS (
   SELECT conv_id * 1000 + turn AS query_id, 'ns' || (conv_id % 3) AS namespace,

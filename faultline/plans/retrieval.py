@@ -1,2 +1,434 @@
-from faultline.plans.registry import Catalog
+"""Registered queries: vectors, searches, fusion, ranking, deduplication, bundles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from faultline.functions import text as T
+from faultline.functions import vocab as V
+from faultline.operators import rank as R
+from faultline.operators import retrieve as S
+from faultline.plans import oracle as O
+from faultline.plans import views
+from faultline.plans.registry import Catalog, big, joined
+from faultline.sources import chunks as K
+
 C = Catalog()
+NS, Q = "namespace", "query_id"
+
+
+def vec_chunks(spark, sf):
+    v = K.with_ids(views.vec_chunks(spark, sf))
+    text = F.col("text")
+    return v.select("*", T.ingest_severity(text).alias("severity"), T.entry_timestamp(text).alias("detected_timestamp"),
+                    F.lit("").alias("class_name"))
+
+
+def _knn(spark, sf, k=8):
+    return S.knn(vec_chunks(spark, sf), views.vec_questions(spark, sf), k)
+
+
+@C.add("V1_vectorise")
+def vectorise(spark, sf):
+    v = S.vectorise(views.table(spark, sf, "documents").select("doc_id", "text"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("doc_id", F.size("embedding").alias("dims"), F.round(length, 4).alias("length"))
+
+
+@C.add("F14_cosine_distance", O.sql(O.VEC, """
+SELECT b.vec_id, round(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0"""))
+def cosine(spark, sf):
+    e = views.table(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 2).alias("pair"))
+    a, b = e.where("vec_id % 2 = 0").withColumnRenamed("embedding", "a"), e.where("vec_id % 2 = 1")
+    pairs = a.drop("vec_id").join(b, "pair")
+    return pairs.select("vec_id", F.round(T.cosine_distance(F.col("a"), F.col("embedding")), 6).alias("distance"))
+
+
+@C.add("F15_confidence_of", O.sql(O.VEC, f"""
+SELECT query_id, chunk_id, round(greatest(0.0, least(1.0, 1.0 - distance)), 4) AS confidence,
+  CASE WHEN round(greatest(0.0, least(1.0, 1.0 - distance)), 4) >= 0.7 THEN 'high' WHEN round(greatest(0.0, least(1.0, 1.0 - distance)), 4) >= 0.45 THEN 'medium' ELSE 'low' END AS label FROM knn"""))
+def confidence_of(spark, sf):
+    c = T.confidence_of(F.col("distance"))
+    return _knn(spark, sf).select(Q, "chunk_id", c.alias("confidence"), T.confidence_label(c).alias("label"))
+
+
+_BOOST = f"CASE WHEN ts IS NULL THEN 0.0 WHEN date_diff('second', ts, {O.REF}) <= 86400 THEN 0.03 WHEN date_diff('second', ts, {O.REF}) <= 604800 THEN 0.01 ELSE 0.0 END"
+
+
+@C.add("F16_recency_boost", O.sql(O.LOG_UNTIMED + f", x AS (SELECT ord, {O.entry_ts('text')} AS ts FROM log_mixed)",
+                                  f"SELECT ord, CAST({_BOOST} AS DOUBLE) AS boost FROM x"))
+def recency_boost(spark, sf):
+    v = views.log_view_untimed(spark, sf)
+    return v.select("ord", T.recency_boost(T.entry_timestamp(F.col("text")), views.ref_time()).alias("boost"))
+
+
+@C.add("Q1_knn", O.sql(O.VEC, "SELECT query_id, chunk_id, distance, rank FROM knn"))
+def knn(spark, sf):
+    return _knn(spark, sf).select(Q, "chunk_id", "distance", *big("rank"))
+
+
+_MAP = " ".join(f"WHEN contains(lower(question), {O.lit(w)}) THEN [{O.lits(t)}]" for w, t in V.SEARCH_TERMS.items())
+_TERMS_LIST = "list_concat(" + ", ".join(
+    f"CASE WHEN contains(lower(question), {O.lit(w)}) THEN [{O.lits(t)}] ELSE CAST([] AS VARCHAR[]) END" for w, t in V.SEARCH_TERMS.items()) + ")"
+
+
+def _terms_sql(source: str) -> str:
+    """Question words: distinct by first place, or the default list for 'logs' questions."""
+    return f""",
+term_raw AS (SELECT query_id, namespace, question, {_TERMS_LIST} AS t FROM {source}),
+term_all AS (SELECT query_id, namespace, CASE WHEN len(t) > 0 THEN t WHEN {O.rx('lower(question)', V.LOG_WORD)} THEN [{O.lits(V.DEFAULT_SEARCH_TERMS)}] ELSE CAST([] AS VARCHAR[]) END AS t FROM term_raw),
+term_pos AS (SELECT query_id, namespace, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM term_all),
+terms AS (SELECT query_id, namespace, term, min(pos) AS pos FROM term_pos GROUP BY ALL)"""
+
+
+@C.add("F13_search_terms", O.sql(O.QUESTIONS + _terms_sql("questions"), """
+SELECT q.query_id, coalesce(string_agg(t.term, '|' ORDER BY t.pos), '') AS terms FROM questions q LEFT JOIN terms t USING (query_id) GROUP BY ALL"""))
+def search_terms(spark, sf):
+    return views.questions(spark, sf).select(Q, joined(T.search_terms(F.col("question")), "terms"))
+
+
+def _keyword_sql(source: str, k: int) -> str:
+    return f""",
+kw_vocab AS (SELECT DISTINCT namespace, term FROM terms),
+kw_first AS (SELECT c.namespace, v.term, c.chunk_id, row_number() OVER (PARTITION BY c.namespace, v.term ORDER BY source_file, line_start, chunk_id) AS place
+  FROM {source} c JOIN kw_vocab v ON v.namespace = c.namespace AND contains(c.text, v.term) QUALIFY place <= {k}),
+kw_once AS (SELECT query_id, chunk_id, min(struct_pack(p := pos, l := place)) AS seen FROM terms JOIN kw_first USING (namespace, term) GROUP BY ALL),
+kw AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY seen, chunk_id) AS rank, 0.3::DOUBLE AS distance FROM kw_once QUALIFY rank <= {k})"""
+
+
+@C.add("Q2_keyword_search", O.sql(O.LOG_CHUNKS + "," + O.QUESTIONS + _terms_sql("questions") + _keyword_sql("log_chunks", 8),
+                                  "SELECT query_id, chunk_id, rank, distance FROM kw"))
+def keyword_search(spark, sf):
+    return S.keyword_search(views.log_chunks(spark, sf), views.questions(spark, sf)).select(Q, "chunk_id", *big("rank"), "distance")
+
+
+_SEVERE = """,
+sv AS (SELECT namespace, chunk_id, row_number() OVER (PARTITION BY namespace ORDER BY source_file, line_start, chunk_id) AS rank, 0.2::DOUBLE AS distance
+  FROM {0} WHERE severity = 'error' QUALIFY rank <= {1})"""
+
+
+@C.add("Q3_severity_search", O.sql(O.LOG_CHUNKS + _SEVERE.format("log_chunks", 20), "SELECT namespace, chunk_id, rank, distance FROM sv"))
+def severity_search(spark, sf):
+    return S.severity_search(views.log_chunks(spark, sf)).select(NS, "chunk_id", *big("rank"), "distance")
+
+
+_MERGE = O.VEC + _terms_sql("vec_questions") + _keyword_sql("vec_chunks", 8) + _SEVERE.format("vec_chunks", 16) + """,
+mg AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY list, rank) AS pos FROM (
+  SELECT query_id, chunk_id, distance, rank, 0 AS list FROM knn UNION ALL SELECT query_id, chunk_id, distance, rank, 1 FROM kw
+  UNION ALL SELECT q.query_id, s.chunk_id, s.distance, s.rank, 2 FROM sv s JOIN vec_questions q USING (namespace)))"""
+
+
+def _merged(spark, sf):
+    chunks, asked = vec_chunks(spark, sf), views.vec_questions(spark, sf)
+    return S.merge_hits(S.knn(chunks, asked, 8), S.keyword_search(chunks, asked, 8),
+                        S.severity_search(chunks, "error", 16), asked)
+
+
+@C.add("Q4_merge_hits", O.sql(_MERGE, "SELECT query_id, chunk_id, distance, pos FROM mg"))
+def merge_hits(spark, sf):
+    return _merged(spark, sf).select(Q, "chunk_id", "distance", *big("pos"))
+
+
+@C.add("Q5_query_variants")
+def query_variants(spark, sf):
+    return S.query_variants(views.questions(spark, sf))
+
+
+@C.add("Q6_rrf_fuse", O.sql(O.VEC, """
+SELECT query_id, chunk_id, round(score, 9) AS score, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS fused_rank FROM (
+  SELECT query_id // 2 AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(distance) AS distance, min(struct_pack(l := query_id % 2, r := rank)) AS seen
+  FROM knn GROUP BY query_id // 2, chunk_id)"""))
+def rrf_fuse(spark, sf):
+    lists = _knn(spark, sf).withColumn("list_no", F.col(Q) % 2).withColumn(Q, F.floor(F.col(Q) / 2))
+    out = S.rrf_fuse(lists.select(Q, "list_no", "rank", "distance", "chunk_id"), ["chunk_id"])
+    return out.select(Q, "chunk_id", F.round("score", 9).alias("score"), "distance", *big("fused_rank"))
+
+
+def _doc_chunks(spark, sf):
+    return K.with_ids(K.line_windows(views.doc_files(spark, sf)))
+
+
+@C.add("Q7_multi_query_knn")
+def multi_query_knn(spark, sf):
+    return S.multi_query_knn(_doc_chunks(spark, sf), views.questions(spark, sf), dims=128)
+
+
+@C.add("Q8_collection_stats", O.sql(O.VEC, "SELECT namespace, source_type, count(*) AS chunks FROM vec_chunks GROUP BY ALL"))
+def collection_stats(spark, sf):
+    return S.collection_stats(vec_chunks(spark, sf))
+
+
+@C.add("Q8_collection_samples", O.sql(O.DOC_CHUNKS, """
+SELECT namespace, row_number() OVER (PARTITION BY namespace ORDER BY source_file, line_start, chunk_id) AS rank, source_file, 'code' AS source_type,
+  CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, substring(text, 1, 300) AS text_preview FROM doc_chunks QUALIFY rank <= 10"""))
+def collection_samples(spark, sf):
+    out = S.collection_samples(_doc_chunks(spark, sf).withColumn("source_type", F.lit("code")))
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---- ranking ----------------------------------------------------------------------------
+
+_BOOSTS = f"""(CASE WHEN chunk_kind IN ('function', 'method', 'class') THEN 0.05 ELSE 0.0 END + CASE WHEN docstring <> '' THEN 0.02 ELSE 0.0 END
+  + CASE WHEN {O.rx('text', V.ERROR_SIGNAL)} THEN 0.08 ELSE 0.0 END + CASE WHEN {O.rx('text', V.TRACE_SIGNAL)} THEN 0.06 ELSE 0.0 END + {_BOOST})::DOUBLE"""
+
+
+def _rank_sql(source: str, name: str) -> str:
+    return f""",
+{name}_b AS (SELECT h.query_id, h.distance, h.pos, c.*, round(greatest(0.0, least(1.0, 1.0 - h.distance)), 4) AS base, {_BOOSTS} AS boost
+  FROM {source} h JOIN vec_chunks c USING (chunk_id)),
+{name}_c AS (SELECT *, CASE WHEN boost > 0 THEN least(1.0, round(base + boost, 4)) ELSE base END AS confidence FROM {name}_b),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, pos) AS rank FROM {name}_c)"""
+
+
+def _fold_sql(source: str, name: str, score: str) -> str:
+    """Walk of ranges per query and file; the first kept range met is replaced by a lower score."""
+    return f""",
+{name}_n AS (SELECT query_id, source_file, struct_pack(line_start := line_start, line_end := line_end, pos := pos, score := {score}) AS c,
+  row_number() OVER (PARTITION BY query_id, source_file ORDER BY line_start, line_end, pos) AS i, min(pos) OVER (PARTITION BY query_id, source_file) AS file_pos FROM {source}),
+{name}_w AS (
+  SELECT query_id, source_file, i, [c] AS kept FROM {name}_n WHERE i = 1
+  UNION ALL
+  SELECT n.query_id, n.source_file, n.i, CASE WHEN len(list_filter(w.kept, lambda e: e.line_start <= n.c.line_end AND n.c.line_start <= e.line_end)) = 0 THEN list_append(w.kept, n.c)
+    ELSE list_transform(w.kept, lambda e, j: CASE WHEN j = list_position(list_transform(w.kept, lambda g: g.line_start <= n.c.line_end AND n.c.line_start <= g.line_end), true) AND n.c.score < e.score THEN n.c ELSE e END) END
+  FROM {name}_w w JOIN {name}_n n ON n.query_id = w.query_id AND n.source_file = w.source_file AND n.i = w.i + 1),
+{name}_k AS (SELECT query_id, source_file, unnest(kept).pos AS pos, generate_subscripts(kept, 1) AS kept_no FROM (
+  SELECT query_id, source_file, arg_max(kept, i) AS kept FROM {name}_w GROUP BY ALL)),
+{name} AS (SELECT s.* EXCLUDE (pos), row_number() OVER (PARTITION BY s.query_id ORDER BY f.file_pos, k.kept_no) AS pos FROM {source} s
+  JOIN {name}_k k ON k.query_id = s.query_id AND k.source_file = s.source_file AND k.pos = s.pos
+  JOIN (SELECT DISTINCT query_id, source_file, file_pos FROM {name}_n) f ON f.query_id = s.query_id AND f.source_file = s.source_file)"""
+
+
+_HITS = _MERGE + """,
+hit AS (SELECT m.query_id, m.chunk_id, m.distance, m.pos, c.source_file, c.line_start, c.line_end FROM mg m JOIN vec_chunks c USING (chunk_id)),
+d1 AS (SELECT query_id, source_file, line_start, line_end, arg_min(chunk_id, struct_pack(d := distance, p := pos)) AS chunk_id, min(distance) AS distance, min(pos) AS pos FROM hit GROUP BY ALL)"""
+_D2 = _HITS + _fold_sql("d1", "d2", "distance")
+_RANKED = _D2 + _rank_sql("d2", "k1")
+
+
+def _hits(spark, sf):
+    chunks = vec_chunks(spark, sf).drop("embedding", NS)
+    return _merged(spark, sf).join(chunks, "chunk_id")
+
+
+def _ranked(spark, sf):
+    return R.boost_rank(R.dedup_overlap(R.dedup_exact(_hits(spark, sf))), views.ref_time())
+
+
+@C.add("D1_dedup_exact", O.sql(_HITS, "SELECT query_id, source_file, line_start, line_end, distance, pos FROM d1"))
+def dedup_exact(spark, sf):
+    return R.dedup_exact(_hits(spark, sf)).select(Q, "source_file", "line_start", "line_end", "distance", *big("pos"))
+
+
+@C.add("D2_dedup_overlap", O.sql(_D2, "SELECT query_id, source_file, line_start, line_end, distance, pos FROM d2"))
+def dedup_overlap(spark, sf):
+    out = R.dedup_overlap(R.dedup_exact(_hits(spark, sf)))
+    return out.select(Q, "source_file", "line_start", "line_end", "distance", *big("pos"))
+
+
+_K1 = "SELECT query_id, chunk_id, confidence, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS confidence_label, rank FROM k1"
+
+
+@C.add("K1_boost_rank", O.sql(_RANKED, _K1))
+def boost_rank(spark, sf):
+    return _ranked(spark, sf).select(Q, "chunk_id", "confidence", "confidence_label", *big("rank"))
+
+
+@C.add("K2_has_relevant", O.sql(_RANKED, "SELECT query_id, confidence >= 0.35 AS has_relevant FROM k1 WHERE rank = 1"))
+def has_relevant(spark, sf):
+    return R.has_relevant(_ranked(spark, sf))
+
+
+@C.add("K3_top_relevant", O.sql(_RANKED, "SELECT query_id, chunk_id, confidence, rank FROM k1 WHERE confidence >= 0.35 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5"))
+def top_relevant(spark, sf):
+    return R.top_relevant(_ranked(spark, sf)).select(Q, "chunk_id", "confidence", *big("rank"))
+
+
+@C.add("K4_split_evidence", O.sql(_RANKED, "SELECT query_id, chunk_id, CASE source_type WHEN 'log' THEN 'logs' ELSE 'code' END AS side, rank FROM k1"))
+def split_evidence(spark, sf):
+    logs, code = R.split_evidence(_ranked(spark, sf))
+    both = logs.withColumn("side", F.lit("logs")).unionByName(code.withColumn("side", F.lit("code")))
+    return both.select(Q, "chunk_id", "side", *big("rank"))
+
+
+def _dedup_ranked_sql(source: str, name: str) -> str:
+    return f""",
+{name}_e AS (SELECT query_id, source_file, line_start, line_end, arg_max(chunk_id, struct_pack(c := confidence, p := -rank)) AS chunk_id,
+  arg_max(source_type, struct_pack(c := confidence, p := -rank)) AS source_type, max(confidence) AS confidence, min(rank) AS pos FROM {source} GROUP BY ALL)""" + _fold_sql(
+        f"{name}_e", f"{name}_f", "-confidence") + f""",
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, pos) AS rank FROM {name}_f)"""
+
+
+_RAW_RANKED = _HITS + _rank_sql("hit", "k0")
+
+
+@C.add("D3_dedup_ranked", O.sql(_RAW_RANKED + _dedup_ranked_sql("k0", "d3"), "SELECT query_id, chunk_id, confidence, rank FROM d3"))
+def dedup_ranked(spark, sf):
+    out = R.dedup_ranked(R.boost_rank(_hits(spark, sf), views.ref_time()))
+    return out.select(Q, "chunk_id", "confidence", *big("rank"))
+
+
+@C.add("D4_cap_evidence", O.sql(
+    _RAW_RANKED + ", kl AS (SELECT * FROM k0 WHERE source_type = 'log'), kc AS (SELECT * FROM k0 WHERE source_type <> 'log')"
+    + _dedup_ranked_sql("kl", "dl") + _dedup_ranked_sql("kc", "dc"), """
+SELECT query_id, chunk_id, source_type, rank FROM dl WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, source_type, rank FROM dc WHERE rank <= 5"""))
+def cap_evidence(spark, sf):
+    out = R.cap_evidence(R.boost_rank(_hits(spark, sf), views.ref_time()))
+    return out.select(Q, "chunk_id", "source_type", *big("rank"))
+
+
+# ---- bundles ----------------------------------------------------------------------------
+
+_BUNDLE = _RANKED + """,
+sib AS (SELECT p.query_id, p.rank AS p_rank, s.rank AS s_rank, least(abs(s.line_start - p.line_end), abs(p.line_start - s.line_end)) AS gap
+  FROM k1 p JOIN k1 s ON s.query_id = p.query_id AND s.source_file = p.source_file AND s.rank <> p.rank
+  WHERE p.rank <= 5 AND least(abs(s.line_start - p.line_end), abs(p.line_start - s.line_end)) <= 100
+  QUALIFY row_number() OVER (PARTITION BY p.query_id, p.rank ORDER BY gap, s.rank) <= 2),
+sibp AS (SELECT *, row_number() OVER (PARTITION BY query_id, p_rank ORDER BY gap, s_rank) AS place FROM sib),
+imp AS (SELECT DISTINCT p.query_id, p.rank AS p_rank, s.rank AS s_rank FROM (SELECT query_id, rank, unnest(imported) AS name FROM k1 WHERE rank <= 5) p
+  JOIN k1 s ON s.query_id = p.query_id AND s.function_name = p.name AND s.rank <> p.rank WHERE p.name <> ''),
+impp AS (SELECT *, row_number() OVER (PARTITION BY query_id, p_rank ORDER BY s_rank) AS place FROM imp QUALIFY place <= 3),
+parts AS (SELECT query_id, p_rank, 'sibling' AS role, place, s_rank FROM sibp UNION ALL SELECT query_id, p_rank, 'import', place, s_rank FROM impp),
+bkey AS (SELECT query_id, rank, source_file || ':' || line_start AS key FROM k1),
+bused AS (SELECT p.query_id, p.p_rank, list(b.key) AS used FROM parts p JOIN bkey b ON b.query_id = p.query_id AND b.rank = p.s_rank GROUP BY ALL),
+bwalk AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS kept FROM bkey
+  UNION ALL
+  SELECT w.query_id, b.rank, CASE WHEN list_contains(w.seen, b.key) THEN w.seen ELSE list_append(list_concat(w.seen, coalesce(u.used, CAST([] AS VARCHAR[]))), b.key) END,
+    CASE WHEN list_contains(w.seen, b.key) THEN w.kept ELSE list_append(w.kept, b.rank) END
+  FROM bwalk w JOIN bkey b ON b.query_id = w.query_id AND b.rank = w.i + 1 AND b.rank <= 5 LEFT JOIN bused u ON u.query_id = b.query_id AND u.p_rank = b.rank),
+heads AS (SELECT query_id, unnest(kept) AS p_rank, generate_subscripts(kept, 1) AS bundle FROM (SELECT query_id, arg_max(kept, i) AS kept FROM bwalk GROUP BY ALL)),
+bundles AS (SELECT query_id, bundle, 'primary' AS role, 1 AS place, p_rank AS rank FROM heads
+  UNION ALL SELECT p.query_id, h.bundle, p.role, p.place, p.s_rank FROM parts p JOIN heads h ON h.query_id = p.query_id AND h.p_rank = p.p_rank),
+flat0 AS (SELECT b.query_id, k.source_file, k.line_start, k.line_end, arg_min(b.rank, struct_pack(b := bundle, r := CASE role WHEN 'primary' THEN 0 WHEN 'sibling' THEN 1 ELSE 2 END, p := place)) AS rank,
+  min(struct_pack(b := bundle, r := CASE role WHEN 'primary' THEN 0 WHEN 'sibling' THEN 1 ELSE 2 END, p := place)) AS o FROM bundles b JOIN k1 k ON k.query_id = b.query_id AND k.rank = b.rank GROUP BY ALL),
+flat AS (SELECT query_id, source_file, line_start, line_end, rank, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM flat0)"""
+
+
+@C.add("B1_siblings", O.sql(_BUNDLE, "SELECT query_id, p_rank, s_rank, gap, place FROM sibp"))
+def siblings(spark, sf):
+    return R.siblings(R_cut(_ranked(spark, sf))).select(Q, *big("p_rank", "s_rank", "gap", "place"))
+
+
+def R_cut(ranked):
+    """Bundles read the ranked rows several times, so they are written once."""
+    from faultline.session import cut
+
+    return cut(ranked, "ranked")
+
+
+@C.add("B2_import_defs", O.sql(_BUNDLE, "SELECT query_id, p_rank, s_rank, place FROM impp"))
+def import_defs(spark, sf):
+    return R.import_definitions(R_cut(_ranked(spark, sf))).select(Q, *big("p_rank", "s_rank", "place"))
+
+
+@C.add("B3_bundle", O.sql(_BUNDLE, "SELECT query_id, CAST(bundle AS BIGINT) AS bundle, role, CAST(place AS BIGINT) AS place, CAST(rank AS BIGINT) AS rank FROM bundles"))
+def bundle(spark, sf):
+    return R.bundles(R_cut(_ranked(spark, sf))).select(Q, *big("bundle"), "role", *big("place", "rank"))
+
+
+@C.add("B4_flatten_bundles", O.sql(_BUNDLE, "SELECT query_id, source_file, line_start, line_end, CAST(rank AS BIGINT) AS rank, place FROM flat"))
+def flatten_bundles(spark, sf):
+    ranked = R_cut(_ranked(spark, sf))
+    return R.flatten_bundles(R.bundles(ranked), ranked).select(Q, "source_file", "line_start", "line_end", *big("rank", "place"))
+
+
+_CLIP = "CASE WHEN length(text) > 800 THEN substring(text, 1, 800) || chr(10) || '[...truncated]' ELSE text END"
+
+
+@C.add("B5_render_context", O.sql(_RANKED, f"""
+SELECT query_id, string_agg('[' || rank || '] ' || source_file || '  lines ' || line_start || '–' || line_end || '  confidence: ' || printf('%.2f', round(confidence, 2)) || '  type: ' || source_type || chr(10) || {_CLIP},
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM k1 GROUP BY query_id"""))
+def render_context(spark, sf):
+    return R.render_context(_ranked(spark, sf))
+
+
+@C.add("B6_budget_context")
+def budget_context(spark, sf):
+    logs, code = R.split_evidence(R_cut(_ranked(spark, sf)))
+    sections = R.evidence_section(logs, "Log Evidence", "L", False, 1).unionByName(
+        R.evidence_section(code, "Code Evidence", "C", True, 2))
+    return R.budget_context(sections)
+
+
+# The budget walk over conversations: every turn of a conversation is one section.
+@C.add("B6_budget_conversations", """
+WITH RECURSIVE s AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept, CAST(0 AS BIGINT) AS used FROM s
+  UNION ALL
+  SELECT w.conv_id, s.i,
+    CASE WHEN used + length(text) <= 600 THEN list_append(kept, text) WHEN 600 - used > 200 THEN list_append(kept, substring(text, 1, 600 - used - 50) || chr(10) || chr(10) || '[...context truncated for safety]') ELSE kept END,
+    CASE WHEN used + length(text) <= 600 THEN used + length(text) WHEN 600 - used > 200 THEN used + least(length(text), 600 - used - 50) + 34 ELSE used END
+  FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1)
+SELECT conv_id AS query_id, chr(10) || chr(10) || repeat('═', 60) || chr(10) || chr(10) || array_to_string(arg_max(kept, i), chr(10) || chr(10)) AS context, len(arg_max(kept, i)) AS sections
+FROM w GROUP BY conv_id""")
+def budget_conversations(spark, sf):
+    c = views.table(spark, sf, "conversations")
+    out = R.budget_context(c.select(F.col("conv_id").alias(Q), F.col("turn").alias("ordinal"), F.col("text").alias("section")), 600)
+    return out.withColumn("sections", F.col("sections").cast("bigint"))
+
+
+# ---- reports ----------------------------------------------------------------------------
+
+_DIAG = O.VEC + _terms_sql("vec_questions") + _keyword_sql("vec_chunks", 8) + """,
+fw0 AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY list, rank) AS pos FROM (
+  SELECT query_id, chunk_id, distance, rank, 0 AS list FROM knn UNION ALL SELECT query_id, chunk_id, distance, rank, 1 FROM kw)),
+fw AS (SELECT query_id, chunk_id, arg_min(distance, pos) AS distance, min(pos) AS pos FROM fw0 GROUP BY ALL)""" + _rank_sql("fw", "kd")
+
+
+@C.add("Q9_retrieval_diagnostics", O.sql(_DIAG, """
+SELECT q.query_id, coalesce(s.n, 0) AS semantic_results, coalesce(k.n, 0) AS keyword_results, coalesce(m.n, 0) AS merged_results, m.best, coalesce(m.best >= 0.35, false) AS has_relevant
+FROM vec_questions q LEFT JOIN (SELECT query_id, count(*) AS n FROM knn GROUP BY ALL) s USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM kw GROUP BY ALL) k USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS n, arg_min(confidence, rank) AS best FROM kd GROUP BY ALL) m USING (query_id)"""))
+def retrieval_diagnostics(spark, sf):
+    chunks, asked = vec_chunks(spark, sf), views.vec_questions(spark, sf)
+    semantic, keyword = S.knn(chunks, asked, 8), S.keyword_search(chunks, asked, 8)
+    lists = semantic.select(Q, "chunk_id", "distance", "rank", F.lit(0).alias("list")).unionByName(
+        keyword.select(Q, "chunk_id", "distance", "rank", F.lit(1).alias("list")))
+    w = Window.partitionBy(Q).orderBy("list", "rank")
+    hits = S.first_wins(lists.select(Q, "chunk_id", "distance", F.row_number().over(w).alias("pos")), ["chunk_id"])
+    ranked = R.boost_rank(hits.join(chunks.drop("embedding", NS), "chunk_id"), views.ref_time())
+    return S.retrieval_diagnostics(semantic, keyword, ranked, asked)
+
+
+_PATHS_ASKED = O.LOG_CHUNKS + f""",
+asked AS (SELECT DISTINCT namespace, unnest({O.ref_files('text')}) AS path FROM log_chunks)"""
+
+
+@C.add("Q10_file_context", O.sql(_PATHS_ASKED, """
+SELECT a.namespace, a.path, c.chunk_id, row_number() OVER (PARTITION BY a.namespace, a.path ORDER BY c.source_file, c.line_start, c.chunk_id) AS rank
+FROM asked a JOIN log_chunks c ON c.namespace = a.namespace AND contains(c.text, a.path) QUALIFY rank <= 10"""))
+def file_context(spark, sf):
+    chunks = views.log_chunks(spark, sf)
+    paths = chunks.select(NS, F.explode(T.extract_all(F.col("text"), V.FILE_LINE, 1)).alias("term")).distinct()
+    wanted = paths.select(F.concat_ws("#", NS, "term").alias("name"), NS, F.lit(0).alias("pos"), "term")
+    hits = S.term_search(chunks, wanted.select(F.xxhash64("name").alias(Q), NS, "pos", "term"), 15, r"[\w./\\-]+")
+    named = wanted.select(F.xxhash64("name").alias(Q), NS, F.col("term").alias("path"))
+    return hits.where(F.col("rank") <= 10).join(named, Q).select(NS, "path", "chunk_id", *big("rank"))
+
+
+_REFS_ASKED = O.LOG_CHUNKS + "," + O.CODE_CHUNKS + f""",
+coded AS (SELECT *, sha256(namespace || ':' || source_file || ':' || line_start || ':' || line_end) AS chunk_id, text || ' ' || function_name || '() ' || class_name AS body FROM code_chunks),
+rterm AS (SELECT namespace, unnest({O.functions('text')}) AS term, line_start AS ord FROM log_chunks),
+rfirst AS (SELECT namespace, term, min(ord) AS seen FROM rterm GROUP BY ALL),
+rten AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY seen, term) AS pos FROM rfirst QUALIFY pos <= 10),
+rhit AS (SELECT r.namespace, r.term, r.pos, c.chunk_id, row_number() OVER (PARTITION BY r.namespace, r.term ORDER BY c.source_file, c.line_start, c.chunk_id) AS place
+  FROM rten r JOIN coded c ON c.namespace = r.namespace AND contains(c.body, r.term) QUALIFY place <= 8),
+ronce AS (SELECT namespace, chunk_id, min(struct_pack(p := pos, l := place)) AS seen FROM rhit GROUP BY ALL),
+rk AS (SELECT namespace, chunk_id, row_number() OVER (PARTITION BY namespace ORDER BY seen, chunk_id) AS rank FROM ronce QUALIFY rank <= 8)"""
+
+
+@C.add("Q11_retrieve_code", O.sql(_REFS_ASKED, """
+SELECT namespace, chunk_id, rank FROM rk WHERE chunk_id NOT IN (SELECT chunk_id FROM coded WHERE line_start % 3 = 0)"""))
+def retrieve_code(spark, sf):
+    logs = views.log_chunks(spark, sf)
+    code = K.with_ids(views.code_chunks(spark, sf))
+    body = code.withColumn("text", F.concat("text", F.lit(" "), "function_name", F.lit("() "), "class_name"))
+    refs = logs.select(NS, F.col("line_start").alias("ord"), F.explode(T.function_refs(F.col("text"))).alias("function_name"))
+    refs = refs.groupBy(NS, "function_name").agg(F.min("ord").alias("ord")).select(
+        F.expr("cast(substring(namespace, 3) as bigint)").alias(Q), NS, "ord", "function_name", F.lit("").alias("class_name"))
+    hits = S.term_search(body, S.identifiers_of(refs), 8).join(code.select(NS, "chunk_id", "line_start"), "chunk_id")
+    held = code.where(F.col("line_start") % 3 == 0).select(F.expr("cast(substring(namespace, 3) as bigint)").alias(Q), "chunk_id")
+    return S.not_in_evidence(hits, held, ["chunk_id"]).select(NS, "chunk_id", *big("rank"))

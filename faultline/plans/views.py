@@ -85,7 +85,7 @@ def doc_files(spark: SparkSession, sf: str) -> DataFrame:
 def vec_chunks(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     vec, label = F.col("vec_id"), F.col("label")
-    start = (vec * 10 + 1).cast("bigint")
+    start = (vec * 4 + 1).cast("bigint")
     namespace = F.concat(F.lit("ns"), _s(label % 3))
     source_file = F.concat(F.lit("src"), _s(label), F.lit(".py"))
     odd = vec % 2 == 1
@@ -105,6 +105,26 @@ def vec_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+VECTOR_QUESTIONS = ["Any error or exception?", "timeout and warning lines", "show me the logs", ""]
+
+
+def vec_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector asked as a question, with a text."""
+    e = table(spark, sf, "embeddings")
+    vec = F.col("vec_id")
+    return e.select(vec.alias("query_id"), F.concat(F.lit("ns"), _s(F.col("label") % 3)).alias("namespace"),
+                    T.lookup(vec % 4, dict(enumerate(VECTOR_QUESTIONS))).alias("question"), "embedding")
+
+
+def log_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The log entries as stored chunks, one line range per entry."""
+    v = log_view(spark, sf)
+    line = F.col("ord").cast("bigint")
+    ident = F.sha2(F.concat_ws(":", "namespace", "source_file", _s(line), _s(line)), 256)
+    return v.select("namespace", "source_file", line.alias("line_start"), line.alias("line_end"), "text", ident.alias("chunk_id"),
+                    T.ingest_severity(F.col("text")).alias("severity"), F.lit("log").alias("source_type"))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """User turns phrased as questions; most phrases are followed by the whole turn text."""
     c = table(spark, sf, "conversations").where(F.col("role") == "user")

@@ -34,10 +34,18 @@ def local_session(cores: str = "*", app: str = "faultline", **conf: str) -> Spar
     return spark
 
 
+PINNED = {
+    "spark.sql.session.timeZone": "UTC",
+    # Joins over unions of equally partitioned inputs can be planned with unequal partition counts.
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
+
 def pin(spark: SparkSession) -> SparkSession:
-    """Set the runtime options results depend on (UTC times)."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Set the runtime options results depend on."""
+    for key, value in PINNED.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
