@@ -53,12 +53,12 @@ def extract_all(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Constant lookup table as one CASE expression."""
-    expr = None
-    for k, v in table.items():
-        cond = key == F.lit(k)
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return expr if default is None else expr.otherwise(F.lit(default))
+    """Constant lookup table; the key is evaluated once, however long the table is."""
+    number = all(isinstance(k, int) for k in table)
+    keys = [F.lit(k).cast("bigint") if number else F.lit(k) for k in table]
+    pairs = [c for k, v in zip(keys, table.values()) for c in (k, F.lit(v))]
+    found = F.try_element_at(F.create_map(*pairs), key.cast("bigint") if number else key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 # ---- severities and times ---------------------------------------------------------------

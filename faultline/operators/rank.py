@@ -194,7 +194,8 @@ def clip(text: Column, max_chars: int) -> Column:
 
 
 def _number(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    """Two decimals of a four-decimal confidence, ties up."""
+    return c.cast("decimal(9,4)").cast("decimal(9,2)").cast("string")
 
 
 def render_context(rows: DataFrame, order: str = "rank", max_chars: int = 800) -> DataFrame:

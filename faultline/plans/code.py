@@ -88,9 +88,9 @@ def brace_blocks(spark, sf):
 @C.add("P5_end_blocks", O.sql(_CODE + f""",
 st AS (SELECT DISTINCT namespace, source_file, line_no FROM ({_STARTS}) WHERE language = 'ruby'),
 rb AS (SELECT *, CASE WHEN starts_with(t, '#') THEN 0 WHEN {O.rx('t', V.RUBY_OPEN)} THEN 1 WHEN t = 'end' THEN -1 ELSE 0 END AS step FROM (SELECT *, trim(text, {_SP}) AS t FROM cl WHERE language = 'ruby')),
-ac AS (SELECT s.namespace, s.source_file, s.line_no, l.line_no AS at, l.t, 1 + sum(l.step) OVER (PARTITION BY s.namespace, s.source_file, s.line_no ORDER BY l.line_no) AS depth
+ac AS (SELECT s.namespace, s.source_file, s.line_no, l.line_no AS spot, l.t, 1 + sum(l.step) OVER (PARTITION BY s.namespace, s.source_file, s.line_no ORDER BY l.line_no) AS depth
   FROM st s JOIN rb l ON l.namespace = s.namespace AND l.source_file = s.source_file AND l.line_no > s.line_no)""", """
-SELECT namespace, source_file, line_no, coalesce(min(at) FILTER (WHERE t = 'end' AND depth = 0), max(at)) AS "end" FROM ac GROUP BY ALL"""))
+SELECT namespace, source_file, line_no, coalesce(min(spot) FILTER (WHERE t = 'end' AND depth = 0), max(spot)) AS "end" FROM ac GROUP BY ALL"""))
 def end_blocks(spark, sf):
     lines = cut(_lines(spark, sf), "lines")
     return U.end_blocks(lines, U.unit_starts(lines)).select(*FILE, *big("line_no", "end"))

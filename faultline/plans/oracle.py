@@ -24,8 +24,18 @@ def rx(c: str, pattern: str) -> str:
     return f"regexp_matches({c}, {lit(pattern)})"
 
 
+_WORD = r"\p{L}\p{N}_"
+
+
+def any_script(pattern: str) -> str:
+    """Word boundaries for all scripts: DuckDB's ``\\b`` only knows ASCII letters."""
+    out = pattern.replace(r"\b.*\b", f"[^{_WORD}](?:.*[^{_WORD}])?")
+    out = re.sub(r"\\b(?=[A-Za-z0-9(])", lambda m: f"(?:^|[^{_WORD}])", out)
+    return re.sub(r"\\b", lambda m: f"(?:$|[^{_WORD}])", out)
+
+
 def rx_any(c: str, patterns, flags="(?i)") -> str:
-    return rx(c, flags + "|".join(f"(?:{p})" for p in patterns))
+    return rx(c, flags + "|".join(f"(?:{any_script(p)})" for p in patterns))
 
 
 def first_line(c: str) -> str:

@@ -338,7 +338,7 @@ _CLIP = "CASE WHEN length(text) > 800 THEN substring(text, 1, 800) || chr(10) ||
 
 
 @C.add("B5_render_context", O.sql(_RANKED, f"""
-SELECT query_id, string_agg('[' || rank || '] ' || source_file || '  lines ' || line_start || '–' || line_end || '  confidence: ' || printf('%.2f', round(confidence, 2)) || '  type: ' || source_type || chr(10) || {_CLIP},
+SELECT query_id, string_agg('[' || rank || '] ' || source_file || '  lines ' || line_start || '–' || line_end || '  confidence: ' || CAST(CAST(CAST(confidence AS DECIMAL(9,4)) AS DECIMAL(9,2)) AS VARCHAR) || '  type: ' || source_type || chr(10) || {_CLIP},
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM k1 GROUP BY query_id"""))
 def render_context(spark, sf):
     return R.render_context(_ranked(spark, sf))

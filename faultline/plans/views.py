@@ -28,7 +28,16 @@ def _s(c: Column) -> Column:
 
 def log_view(spark: SparkSession, sf: str) -> DataFrame:
     """One log entry per event: namespace, source_file, ord, text."""
-    e = table(spark, sf, "events")
+    return entries_of(table(spark, sf, "events"))
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a file stream."""
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+
+
+def entries_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     user, kind, eid = F.col("user_id"), F.col("event_type"), F.col("event_id")
     level = F.when(kind == "error", "ERROR").when(kind == "purchase", "WARNING").otherwise("INFO")
