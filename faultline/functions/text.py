@@ -52,6 +52,27 @@ def extract_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(UNIX + pattern), F.lit(group))
 
 
+# A pattern opening with a run of word characters is tried from every letter of every word. A match
+# can only begin at the start of such a run or right after the match before it; saying so makes the
+# search linear and changes no result.
+RUN_START = r"(?:(?<![\w.])|\G)"
+
+
+def _from_run_start(pattern: str, run: str) -> str:
+    return pattern.replace(run, RUN_START + run)
+
+
+EXCEPTION = V.EXCEPTION.replace("(?i)(", "(?i)" + RUN_START + "(")
+EXCEPTION_NO_PANIC = V.EXCEPTION_NO_PANIC.replace("(?i)(", "(?i)" + RUN_START + "(")
+STACK_FRAME = _from_run_start(V.STACK_FRAME, r"[\w.]+\.(?:py")
+EXCEPTION_HINT = "(?i)error|exception|fault|failure|panic"
+
+
+def non_empty(c: Column) -> Column:
+    """The text, or null if it is empty; ``c`` is evaluated once."""
+    return F.try_element_at(F.filter(F.array(c), lambda x: x != ""), F.lit(1))
+
+
 def lookup(key: Column, table: dict, default=None) -> Column:
     """Constant lookup table; the key is evaluated once, however long the table is."""
     number = all(isinstance(k, int) for k in table)
@@ -99,16 +120,22 @@ def normalise_error(text: Column) -> Column:
     return F.lower(strip(out))
 
 
+def _named_exception(text: Column) -> Column:
+    """First exception name that is no bare level word, else null."""
+    def base(hit: Column) -> Column:
+        return strip(F.substring_index(hit, ":", 1))
+
+    named = F.filter(F.transform(extract_all(text, EXCEPTION, 1), base), lambda b: ~F.lower(b).isin(V.LEVEL_WORDS))
+    return F.when(text.rlike(EXCEPTION_HINT), F.try_element_at(named, F.lit(1)))
+
+
 def exception_type(text: Column) -> Column:
-    hits = extract_all(text, V.EXCEPTION, 1)
-    bases = F.transform(hits, lambda h: strip(F.substring_index(h, ":", 1)))
-    named = F.filter(bases, lambda b: ~F.lower(b).isin(V.LEVEL_WORDS))
-    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
+    return F.coalesce(_named_exception(text), F.lit(""))
 
 
 def stack_frames(text: Column) -> Column:
     """Every frame in order, repeats included."""
-    return F.transform(extract_all(text, V.STACK_FRAME), lambda m: F.lower(strip(m)))
+    return F.transform(extract_all(text, STACK_FRAME), lambda m: F.lower(strip(m)))
 
 
 def file_line_refs(text: Column) -> Column:
@@ -129,17 +156,17 @@ def function_refs(text: Column) -> Column:
 
 
 def error_signature(text: Column) -> Column:
-    exc = exception_type(text)
     message = F.regexp_replace(
         F.regexp_replace(normalise_error(text), V.LEVEL_PREFIX, ""), V.TS_PREFIX, ""
     )
-    ref = F.try_element_at(file_line_refs(text), F.lit(1))
-    return (
-        F.when(exc != "", F.concat(F.lit("exc:"), exc))
-        .when(message != "", F.concat(F.lit("msg:"), F.substring(message, 1, 100)))
-        .when(ref.isNotNull(), F.concat(F.lit("loc:"), ref["file"], F.lit(":"), ref["line"].cast("string")))
-        .otherwise(F.concat(F.lit("raw:"), F.lower(strip(F.substring(text, 1, 50)))))
-    )
+    place = F.try_element_at(
+        F.transform(F.slice(file_line_refs(text), 1, 1),
+                    lambda r: F.concat(F.lit("loc:"), r["file"], F.lit(":"), r["line"].cast("string"))), F.lit(1))
+    return F.coalesce(
+        F.concat(F.lit("exc:"), _named_exception(text)),
+        F.concat(F.lit("msg:"), non_empty(F.substring(message, 1, 100))),
+        place,
+        F.concat(F.lit("raw:"), F.lower(strip(F.substring(text, 1, 50)))))
 
 
 def clean_signature(signature: Column) -> Column:
@@ -148,15 +175,14 @@ def clean_signature(signature: Column) -> Column:
 
 
 def failure_signature(text: Column) -> Column:
-    hits = extract_all(text, V.EXCEPTION_NO_PANIC, 1)
-    tidy = F.transform(hits, lambda h: F.substring(F.regexp_replace(strip(h), r"\s+", " "), 1, 120))
-    named = F.try_element_at(F.filter(tidy, lambda s: ~F.lower(s).isin(V.LEVEL_WORDS)), F.lit(1))
-    status = F.regexp_extract(text, V.HTTP_STATUS, 1)
-    return (
-        F.when(named.isNotNull(), named)
-        .when(status != "", F.concat(F.lit("HTTP "), status))
-        .when(text.rlike(V.TIMED_OUT), F.lit("Connection timeout"))
-    )
+    def tidy(hit: Column) -> Column:
+        return F.substring(F.regexp_replace(strip(hit), r"\s+", " "), 1, 120)
+
+    named = F.filter(F.transform(extract_all(text, EXCEPTION_NO_PANIC, 1), tidy), lambda s: ~F.lower(s).isin(V.LEVEL_WORDS))
+    return F.coalesce(
+        F.when(text.rlike(EXCEPTION_HINT), F.try_element_at(named, F.lit(1))),
+        F.concat(F.lit("HTTP "), non_empty(F.regexp_extract(text, V.HTTP_STATUS, 1))),
+        F.when(text.rlike(V.TIMED_OUT), F.lit("Connection timeout")))
 
 
 def tokens(message: Column) -> Column:

@@ -19,7 +19,17 @@ def ref_time() -> Column:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return pin(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spread(pin(spark).read.parquet(f"{sf}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of fewer splits than cores out over the cores; the text features are pure CPU work.
+
+    Only small inputs (a file or two) are affected. A table with at least one split per core is read
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _s(c: Column) -> Column:
