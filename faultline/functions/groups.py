@@ -46,29 +46,6 @@ def ordered_list(rank: str, value: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(rank, value))), lambda s: s[value])
 
 
-def gap_stats(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Per group: first and last time and the largest gap in seconds between successive times.
-
-    Equal times add no gap, so rows shrink to distinct seconds with a map-side aggregate; hours are
-    measured on their own and joined by one row per hour.
-    """
-    seconds = df.select(*keys, F.col(ts).cast("long").alias("_s")).groupBy(*keys, "_s").agg(F.lit(1).alias("_one"))
-    seconds = seconds.withColumn("_h", F.floor(F.col("_s") / 3600))
-    w = Window.partitionBy(*keys, "_h").orderBy("_s")
-    hours = (
-        seconds.withColumn("_gap", F.col("_s") - F.lag("_s").over(w))
-        .groupBy(*keys, "_h")
-        .agg(F.max("_gap").alias("_gap"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    )
-    across = Window.partitionBy(*keys).orderBy("_h")
-    hours = hours.withColumn("_jump", F.col("_lo") - F.lag("_hi").over(across))
-    return hours.groupBy(*keys).agg(
-        F.min("_lo").alias("first_s"),
-        F.max("_hi").alias("last_s"),
-        F.greatest(F.max("_gap"), F.max("_jump")).alias("max_gap_s"),
-    )
-
-
 def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int) -> DataFrame:
     """Distinct seconds per group with a session number; a gap above ``gap_seconds`` starts a session."""
     seconds = df.select(*keys, F.col(ts).cast("long").alias("sec")).groupBy(*keys, "sec").agg(F.lit(1).alias("_one"))

@@ -138,7 +138,8 @@ def end_blocks(lines: DataFrame, starts: DataFrame) -> DataFrame:
 
 def unit_ranges(lines: DataFrame) -> DataFrame:
     """Definition lines with the last line of their block and what stands above them."""
-    starts = unit_starts(_above(lines))
+    above = _above(lines)
+    starts = unit_starts(above)
     ends = indent_ends(lines, starts).unionByName(brace_ends(lines, starts)).unionByName(end_blocks(lines, starts))
     out = starts.join(ends, [*FILE, "line_no"])
     last = lines.groupBy(*FILE).agg(F.max("line_no").alias("_last"))
@@ -148,9 +149,12 @@ def unit_ranges(lines: DataFrame) -> DataFrame:
     flat_class = (F.col("kind") == "class") & F.col("language").isin(V.C_LANGS) & (F.col("end") <= F.col("line_no"))
     decorated = F.col("language").isin(V.INDENT_LANGS)
     head = F.when(decorated, F.col("line_no") - F.col("decorators")).otherwise(F.col("line_no"))
+    # Comments stand above the decorators, so they are looked up from the unit's first line.
+    comments = above.select(*FILE, F.col("line_no").alias("head"), "comment_from")
+    out = out.where(~flat_class).withColumn("head", head.cast("bigint")).drop("comment_from").join(comments, [*FILE, "head"])
     closed = F.coalesce("_shut.closed", F.lit(False)) & F.col("_open").isNotNull()
-    return out.where(~flat_class).select(
-        *FILE, "language", "kind", "name", "indent", "line_no", "end", head.cast("bigint").alias("head"), "comment_from",
+    return out.select(
+        *FILE, "language", "kind", "name", "indent", "line_no", "end", "head", "comment_from",
         F.when(closed, F.col("_open")).alias("doc_from"), F.when(closed, F.col("_shut.n")).alias("doc_to"))
 
 

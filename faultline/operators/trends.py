@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions import text as T
 from faultline.functions import vocab as V
 from faultline.operators.errors import NS, exception_tails
+from faultline.session import cut
 
 SPIKE_MULTIPLIER = 2.0
 QUIET_GAP_HOURS = 6
@@ -136,7 +137,8 @@ def label_trends(times: DataFrame, ref_time: Column) -> DataFrame:
 
 
 def cluster_trends(core: DataFrame, log: DataFrame, ref_time: Column) -> DataFrame:
-    return label_trends(cluster_times(core, signature_times(log, ref_time)), ref_time)
+    times = cut(signature_times(log, ref_time), "times")  # read for the match and for the fallback
+    return label_trends(cluster_times(core, times), ref_time)
 
 
 def trend_alerts(trends: DataFrame) -> DataFrame:

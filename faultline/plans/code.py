@@ -238,13 +238,13 @@ place AS (SELECT *, row_number() OVER (PARTITION BY namespace, s ORDER BY seen)
 
 @C.add("L2_link_logs_code", O.sql(_LINKS, "SELECT sig.namespace, sig.ord, p.link_no, p.code_file, p.code_start FROM sig JOIN place p ON p.namespace = sig.namespace AND p.s = sig.s"))
 def link_logs_code(spark, sf):
-    links = L.link_logs_code(L.code_refs(views.log_view(spark, sf)), views.code_chunks(spark, sf))
+    links = L.link_logs_code(cut(L.code_refs(views.log_view(spark, sf)), "refs"), views.code_chunks(spark, sf))
     return links.select(NS, "ord", *big("link_no"), "code_file", "code_start")
 
 
 @C.add("L3_cross_context")
 def cross_context(spark, sf):
-    log, code = views.log_view(spark, sf), views.code_chunks(spark, sf)
+    log, code = cut(views.log_view(spark, sf), "log"), views.code_chunks(spark, sf)
     refs = cut(L.code_refs(log), "refs")
     links = cut(L.link_logs_code(refs, code), "links")
     return L.cross_context(log, refs, links, code)

@@ -11,12 +11,18 @@ from faultline.operators import errors, incidents, scoring, trends
 from faultline.plans import oracle as O
 from faultline.plans import views
 from faultline.plans.registry import Catalog, big, joined, stamp
+from faultline.session import cut
 from faultline.sources import chunks, files, logs
 
 C = Catalog()
 NS = "namespace"
 
 
+def stored(view: DataFrame) -> DataFrame:
+    """The derived log, written once where a query reads it several times (real logs are stored anyway)."""
+    return cut(view, "log")
+
+
 # ---- sources ----------------------------------------------------------------------------
 
 
@@ -244,7 +250,7 @@ def error_entries(spark, sf):
 
 
 def _facts(spark, sf):
-    return errors.signature_facts(errors.error_entries(views.log_view(spark, sf)))
+    return errors.signature_facts(errors.error_entries(stored(views.log_view(spark, sf))))
 
 
 @C.add("E2_signature_groups", O.sql(_LE, f"""
@@ -256,7 +262,7 @@ def signature_groups(spark, sf):
 
 @C.add("E3_signature_pairs", O.sql(_LE, "SELECT namespace, sig_a, sig_b, round(similarity, 6) AS similarity FROM spairs"))
 def signature_pairs(spark, sf):
-    return errors.signature_pairs(errors.cut(_facts(spark, sf), "facts")).withColumn("similarity", F.round("similarity", 6))
+    return errors.signature_pairs(cut(_facts(spark, sf), "facts")).withColumn("similarity", F.round("similarity", 6))
 
 
 @C.add("F11_signature_similarity", O.sql(_LE + """,
@@ -272,7 +278,7 @@ def signature_similarity(spark, sf):
 
 
 def _clusters(spark, sf):
-    return errors.cluster_errors(views.log_view(spark, sf))
+    return errors.cluster_errors(stored(views.log_view(spark, sf)))
 
 
 @C.add("E4_leader_merge", O.sql(_MERGED, "SELECT namespace, sig AS signature, leader, cluster_id FROM clustered"))
@@ -325,8 +331,8 @@ FROM (SELECT namespace, count(*) AS n FROM log_view GROUP BY ALL) l
 JOIN (SELECT namespace, count(*) AS k, CAST(sum(count) AS BIGINT) AS s FROM core GROUP BY ALL) c USING (namespace)
 JOIN (SELECT * FROM core QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY count DESC, cluster_id) = 1) dom USING (namespace)"""))
 def cluster_report(spark, sf):
-    log = views.log_view(spark, sf)
-    out = errors.cluster_report(log, errors.cluster_core(_clusters(spark, sf)))
+    log = stored(views.log_view(spark, sf))
+    out = errors.cluster_report(log, errors.cluster_core(errors.cluster_errors(log)))
     return out.select(NS, *big("total_entries", "cluster_count", "unclustered_count", "dominant_cluster_id"),
                       "dominant_signature", *big("dominant_count"))
 
@@ -401,14 +407,14 @@ ctrend AS (SELECT *, CASE WHEN n IS NULL THEN 'unknown'
 
 
 def _trends(spark, sf):
-    log = views.log_view(spark, sf)
+    log = stored(views.log_view(spark, sf))
     return trends.cluster_trends(errors.cluster_core(errors.cluster_errors(log)), log, views.ref_time())
 
 
 @C.add("T6_cluster_timestamps", O.sql(_TIMES, f"""
 SELECT namespace, cluster_id, total, n, {O.ts_text('first_ts')} AS first_ts, {O.ts_text('last_ts')} AS last_ts FROM ctimes"""))
 def cluster_timestamps(spark, sf):
-    log = views.log_view(spark, sf)
+    log = stored(views.log_view(spark, sf))
     core = errors.cluster_core(errors.cluster_errors(log))
     t = trends.cluster_times(core, trends.signature_times(log, views.ref_time()))
     return t.select(NS, *big("cluster_id", "total", "n"), stamp(F.timestamp_seconds("first_s"), "first_ts"),
@@ -488,10 +494,10 @@ def severity_distribution(spark, sf):
 
 
 def _profile_and_trends(spark, sf):
-    log = views.log_view(spark, sf)
+    log = stored(views.log_view(spark, sf))
     clusters = errors.cluster_errors(log)
-    profile = errors.cut(errors.cluster_profile(clusters), "profile")
-    return log, profile, errors.cut(trends.cluster_trends(profile, log, views.ref_time()), "trends")
+    profile = cut(errors.cluster_profile(clusters), "profile")
+    return log, profile, cut(trends.cluster_trends(profile, log, views.ref_time()), "trends")
 
 
 _CAUSAL = _TIMES + f""",
@@ -634,19 +640,19 @@ ilab AS (SELECT *, CASE WHEN dominant_error IS NOT NULL THEN substring(dominant_
 
 @C.add("I2_merge_incidents", O.sql(_INC, "SELECT namespace, session, incident_id FROM inc"))
 def merge_incidents(spark, sf):
-    return incidents.Incidents(views.log_view_untimed(spark, sf)).order.select(NS, *big("session", "incident_id"))
+    return incidents.Incidents(stored(views.log_view_untimed(spark, sf))).order.select(NS, *big("session", "incident_id"))
 
 
 @C.add("I3_incident_order", O.sql(_INC, "SELECT namespace, incident_id, min(session) AS first_session, count(*) AS sessions FROM inc GROUP BY ALL"))
 def incident_order(spark, sf):
-    o = incidents.Incidents(views.log_view_untimed(spark, sf)).order
+    o = incidents.Incidents(stored(views.log_view_untimed(spark, sf))).order
     return o.groupBy(NS, F.col("incident_id").cast("bigint").alias("incident_id")).agg(
         F.min("session").cast("bigint").alias("first_session"), F.count(F.lit(1)).alias("sessions"))
 
 
 @C.add("I4_assign_untimed", O.sql(_INC, "SELECT namespace, ord, incident_id, overlap FROM asg"))
 def assign_untimed(spark, sf):
-    a = incidents.Incidents(views.log_view_untimed(spark, sf)).assigned()
+    a = incidents.Incidents(stored(views.log_view_untimed(spark, sf))).assigned()
     return a.select(NS, "ord", *big("incident_id", "overlap"))
 
 
@@ -654,7 +660,7 @@ def assign_untimed(spark, sf):
 SELECT namespace, incident_id, entries, {O.ts_text('start_time')} AS start_time, {O.ts_text('end_time')} AS end_time, counts AS severity_counts,
   dominant_error, shared_keywords, label FROM ilab"""))
 def incident_profile(spark, sf):
-    p = incidents.Incidents(views.log_view_untimed(spark, sf)).profile()
+    p = incidents.Incidents(stored(views.log_view_untimed(spark, sf))).profile()
     counts = F.array_join(F.transform(F.map_entries("severity_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
     return p.select(NS, *big("incident_id", "entries"), stamp("start_time"), stamp("end_time"), counts.alias("severity_counts"),
                     "dominant_error", joined("shared_keywords"), "label")
@@ -664,7 +670,7 @@ def incident_profile(spark, sf):
 SELECT l.namespace, l.n AS total_entries, c.k AS incident_count, l.n - c.s AS unclustered_count FROM (SELECT namespace, count(*) AS n FROM ie GROUP BY ALL) l
 JOIN (SELECT namespace, count(*) AS k, CAST(sum(entries) AS BIGINT) AS s FROM icore GROUP BY ALL) c USING (namespace)"""))
 def incident_report(spark, sf):
-    log = views.log_view_untimed(spark, sf)
+    log = stored(views.log_view_untimed(spark, sf))
     return incidents.incident_report(log, incidents.Incidents(log).profile())
 
 
@@ -673,5 +679,5 @@ SELECT namespace, incident_id, '[' || label || '] ' || entries || ' entries' ||
   ELSE ' from ' || {O.ts_text('start_time')} || ' to ' || {O.ts_text('end_time')} END ||
   CASE WHEN dominant_error IS NOT NULL THEN ', dominant: "' || dominant_error || '"' ELSE '' END AS line FROM ilab"""))
 def incident_lines(spark, sf):
-    p = incidents.Incidents(views.log_view_untimed(spark, sf)).profile()
+    p = incidents.Incidents(stored(views.log_view_untimed(spark, sf))).profile()
     return incidents.incident_lines(p).select(NS, *big("incident_id"), "line")

@@ -48,7 +48,9 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entries_of(e: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
+    # A column of its own, so the JSON of an event is read once and not once per use below.
+    e = e.select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = F.col("k")
     user, kind, eid = F.col("user_id"), F.col("event_type"), F.col("event_id")
     level = F.when(kind == "error", "ERROR").when(kind == "purchase", "WARNING").otherwise("INFO")
     error = (
