@@ -19,6 +19,8 @@ from faultline.session import cut
 NS = "namespace"
 MERGE_SIMILARITY = 0.5
 SHARED_FRAMES = 2
+# At most 1000, so that picking a batch is trimmed in every task before its shuffle.
+BATCH = 1000
 
 
 def error_entries(log: DataFrame) -> DataFrame:
@@ -92,7 +94,9 @@ def signature_frames(facts: DataFrame) -> DataFrame:
 
 
 def _rarest_first(df: DataFrame, item: str, keep: Column, out: str) -> DataFrame:
-    """Per (namespace, pos) the ``keep`` rarest items; two sets alike enough always share one of these."""
+    """Per (namespace, pos) the ``keep`` rarest items; two sets alike enough always share one of these.
+
+    A group is the tokens of one signature, at most a hundred characters."""
     freq = df.groupBy(NS, item).agg(F.count(F.lit(1)).alias("_df"))
     w = Window.partitionBy(NS, "pos").orderBy("_df", item)
     size = F.count(F.lit(1)).over(Window.partitionBy(NS, "pos"))
@@ -115,7 +119,12 @@ def similarity_keys(groups: DataFrame, frames: DataFrame) -> tuple[DataFrame, Da
     whole = exc.select(NS, "pos", F.concat(F.lit("x:"), "type").alias("key"), F.lit("part").alias("role"))
     tails = exc.select(NS, "pos", F.explode(exception_tails(F.col("type"))).alias("key")).select(
         NS, "pos", F.concat(F.lit("x:"), "key").alias("key"), F.lit("whole").alias("role"))
-    frame_keys = _rarest_first(frames.select(NS, "pos", "frame"), "frame", F.col("_n") - (SHARED_FRAMES - 1), "key")
+    # Two shared frames include one that is not the most common frame of the signature. Found with an
+    # aggregate: a signature may have any number of frames.
+    common = frames.join(frames.groupBy(NS, "frame").agg(F.count(F.lit(1)).alias("_df")), [NS, "frame"])
+    top = common.groupBy(NS, "pos").agg(F.max(F.struct("_df", "frame"))["frame"].alias("_top"))
+    frame_keys = frames.select(NS, "pos", "frame").join(top, [NS, "pos"]).where(F.col("frame") != F.col("_top")).select(
+        NS, "pos", F.col("frame").alias("key"))
     return token_keys.unionByName(whole).unionByName(tails), frame_keys
 
 
@@ -190,7 +199,7 @@ def signature_pairs(facts: DataFrame) -> DataFrame:
 # ---- clusters ---------------------------------------------------------------------------
 
 
-def leader_merge(facts: DataFrame, batch: int = 1024) -> DataFrame:
+def leader_merge(facts: DataFrame, batch: int = BATCH) -> DataFrame:
     """namespace, signature, pos, leader: signatures in first-seen order; an unclaimed one leads and
     claims every later similar one.
 
@@ -247,7 +256,7 @@ class Clusters:
     members: DataFrame
 
 
-def cluster_errors(log: DataFrame, merge: bool = True, batch: int = 1024) -> Clusters:
+def cluster_errors(log: DataFrame, merge: bool = True, batch: int = BATCH) -> Clusters:
     facts = cut(signature_facts(error_entries(log)), "facts")
     if merge:
         merged = leader_merge(facts, batch)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from faultline.functions import text as T
 from faultline.functions import vocab as V
 from faultline.functions.groups import containment_pairs, first_n
+from faultline.session import cut
 
 NS, Q = "namespace", "query_id"
 ORDER = ["source_file", "line_start", "chunk_id"]
@@ -105,6 +106,8 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 8, slice_bytes: int = QU
     for i in range(slices):
         mine = queries if slices == 1 else queries.where(F.pmod(F.xxhash64(Q), F.lit(slices)) == i)
         part = _nearest(chunks, mine.select(Q, NS, "embedding").toPandas(), k)
+        if slices > 1:
+            part = cut(part, "nearest")  # one job per slice, not one plan with all of them
         parts = part if parts is None else parts.unionByName(part)
     return first_n(parts, [Q], [F.col("distance"), F.col("chunk_id")], k)
 
@@ -207,7 +210,8 @@ def multi_query_knn(chunks: DataFrame, questions: DataFrame, k: int = 8, dims: i
     variants = query_variants(questions)
     coded = variants.select((F.col(Q) * 4 + F.col("variant_no") - 1).alias(Q), NS, F.col("variant").alias("text"))
     vectors = vectorise(coded, dims=dims, fit_on=chunks)
-    hits = knn(vectorise(chunks, dims=dims), vectors, k)
+    stored = cut(vectorise(chunks, dims=dims).select(NS, "chunk_id", "embedding"), "vectors")
+    hits = knn(stored, cut(vectors.select(Q, NS, "embedding"), "query-vectors"), k)
     lists = hits.select(F.floor(F.col(Q) / 4).alias(Q), F.pmod(F.col(Q), F.lit(4)).alias("list_no"), "rank", "chunk_id", "distance")
     return rrf_fuse(lists, ["chunk_id"])
 

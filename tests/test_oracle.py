@@ -15,6 +15,31 @@ def con():
     return check.connect(SF)
 
 
+@pytest.fixture(autouse=True, scope="module")
+def shared_tables(spark):
+    """Queries of one family differ in their last step; the tables before it are made once per run."""
+    from functools import cache
+
+    from faultline.operators import incidents
+    from faultline.plans import code, evidence, logs, retrieval
+    from faultline.session import cut
+
+    patch = pytest.MonkeyPatch()
+    made: dict = {}
+    for name in ("_clusters", "_profile_and_trends"):
+        patch.setattr(logs, name, cache(getattr(logs, name)))
+    for module, name in ((logs, "_trends"), (retrieval, "_ranked"), (retrieval, "_hits"), (code, "_units"), (code, "_files"),
+                         (logs, "_facts")):
+        plain = getattr(module, name)
+        patch.setattr(module, name, cache(lambda s, sf, plain=plain: cut(plain(s, sf))))
+    one = incidents.Incidents
+    patch.setattr(incidents, "Incidents", lambda log: made.setdefault("incidents", one(log)))
+    search = evidence.search_logs
+    patch.setattr(evidence, "search_logs", lambda *a, **k: made.setdefault("search", search(*a, **k)))
+    yield
+    patch.undo()
+
+
 def test_sql_only_for_known_queries():
     assert set(SQL) <= set(QUERIES)
 

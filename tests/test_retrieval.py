@@ -107,7 +107,7 @@ def test_containment_pairs(spark):
 
 def test_references_and_links(spark):
     text = ('Traceback\n  File "src/auth/s.py", line 31, in get\n  at com.x.Store.put(Store.java:9)\n'
-            "  at send (web/app.js:4:10)\nlib/z.go:7 failed calling Cache.load, System.out in method 'retry'")
+            "  at send (web/app.js:4:10)\nlib/z.go:7 failed calling Cache.load, System.out by method 'retry'")
     log = spark.createDataFrame([("n", "l", 1, text), ("n", "l", 2, "no code")], "namespace string, source_file string, ord long, text string")
     refs = linking.code_refs(log)
     got = [(r.file_path, r.line_number, r.function_name, r.class_name, r.confidence) for r in refs.orderBy("ref_no").collect()]
