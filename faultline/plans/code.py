@@ -386,7 +386,21 @@ def structural_lookups(spark, sf):
     return G.structural_lookups(views.questions(spark, sf))
 
 
-@C.add("G11_structural_answers")
+_ANSWERS = O.QUESTIONS + "," + _IMP.replace("unit_docs AS", "unit_docs AS", 1) + f""",
+qq AS (SELECT *, lower({O.strip('question')}) AS q FROM questions),
+look AS (SELECT DISTINCT namespace, CASE {_LOOK} END AS lookup, CASE {_ARG} END AS name FROM qq WHERE CASE {_LOOK} END IS NOT NULL),
+defined AS (SELECT namespace, name AS caller, max(source_file) AS source_file FROM units WHERE kind <> 'module' GROUP BY ALL),
+owned AS (SELECT DISTINCT namespace, class_name, name FROM units WHERE kind = 'method' AND class_name <> ''),
+infile AS (SELECT l.namespace, l.name, min(u.source_file) AS source_file FROM look l JOIN units u ON u.namespace = l.namespace AND u.kind <> 'module' AND contains(u.source_file, l.name) WHERE l.lookup = 'symbols' AND l.name <> '' GROUP BY ALL)"""
+
+
+@C.add("G11_structural_answers", O.sql(_ANSWERS, """
+SELECT DISTINCT l.namespace, l.lookup, l.name, i.source_file AS item FROM look l JOIN imported i USING (namespace, name) WHERE lookup = 'importers'
+UNION SELECT l.namespace, l.lookup, l.name, d.source_file FROM look l JOIN called c ON c.namespace = l.namespace AND c.callee = l.name JOIN defined d ON d.namespace = c.namespace AND d.caller = c.caller
+  WHERE l.lookup = 'importers' AND NOT EXISTS (SELECT 1 FROM imported i WHERE i.namespace = l.namespace AND i.name = l.name)
+UNION SELECT l.namespace, l.lookup, l.name, i.source_file FROM look l JOIN imported i ON i.namespace = l.namespace AND contains(i.name, l.name) WHERE lookup = 'dependents'
+UNION SELECT l.namespace, l.lookup, l.name, o.name || '()' FROM look l JOIN owned o ON o.namespace = l.namespace AND lower(o.class_name) = l.name WHERE lookup = 'methods'
+UNION SELECT f.namespace, 'symbols', f.name, u.kind || ': ' || u.name || ' (lines ' || u.start_line || '–' || u.end_line || ')' FROM infile f JOIN units u ON u.namespace = f.namespace AND u.source_file = f.source_file AND u.kind <> 'module'"""))
 def structural_answers(spark, sf):
     lookups = cut(G.structural_lookups(views.questions(spark, sf)), "lookups")
     return G.structural_answers(views.units(spark, sf), lookups)

@@ -533,7 +533,21 @@ def causal_confidence(spark, sf):
     return scoring.causal_confidence(scoring.causal_factors(profile, tr)).select(NS, "score", "level")
 
 
-@C.add("A8_explain_confidence")
+_BARS = " || chr(10) || ".join(
+    f"'  ' || repeat('█', CAST(floor({n} * 10) AS INTEGER)) || repeat('░', 10 - CAST(floor({n} * 10) AS INTEGER)) || ' {label}: ' || CAST(round_even({n} * 100, 0) AS INTEGER) || '% (contributes ' || "
+    f"CAST(round_even(round_even({n} * {V.CAUSAL_WEIGHTS[n]} * 100, 1), 0) AS INTEGER) || ' pts)'" for n, label in V.CAUSAL_LABELS.items())
+_EXPLAINED = _CAUSAL + f""",
+alerts AS ({_ALERTS}),
+ex AS (SELECT s.namespace, s.score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS level, d.count, d.severity, s.dominant_error,
+  spike_count, regression_count, new_error_count, {_BARS} AS bars
+  FROM (SELECT * REPLACE (CAST(frequency AS DOUBLE) AS frequency, CAST(stack_trace AS DOUBLE) AS stack_trace, CAST(code_match AS DOUBLE) AS code_match, CAST(dependency AS DOUBLE) AS dependency, CAST(trend AS DOUBLE) AS trend) FROM cs) s
+  JOIN dm d USING (namespace) LEFT JOIN alerts USING (namespace)),
+expl AS (SELECT namespace, score, level, 'Causal Confidence: ' || score || '/100 (' || level || ')' || chr(10) || bars || chr(10) || chr(10) || 'Dominant failure: "' || dominant_error || '" (' || count || ' occurrences, ' || severity || ')' ||
+  CASE WHEN spike_count + regression_count + new_error_count > 0 THEN chr(10) || 'Active alerts: ' || concat_ws(', ', CASE WHEN spike_count > 0 THEN spike_count || ' spike(s)' END,
+    CASE WHEN regression_count > 0 THEN regression_count || ' regression(s)' END, CASE WHEN new_error_count > 0 THEN new_error_count || ' new error(s)' END) ELSE '' END AS explanation FROM ex)"""
+
+
+@C.add("A8_explain_confidence", O.sql(_EXPLAINED, "SELECT namespace, score, level, explanation FROM expl"))
 def explain_confidence(spark, sf):
     _, profile, tr = _profile_and_trends(spark, sf)
     scored = scoring.causal_confidence(scoring.causal_factors(profile, tr))
@@ -565,7 +579,27 @@ def top_clusters_of(spark: SparkSession, sf: str) -> DataFrame:
 C.add("X2_top_clusters", O.sql(_CAUSAL, _TOP))(top_clusters_of)
 
 
-@C.add("X3_reasoning_block")
+_BLOCK = _EXPLAINED + f""",
+tp AS (SELECT r.*, substring(r.primary_signature, 5) AS sg5, row_number() OVER (PARTITION BY r.namespace ORDER BY round(rank_score, 9) DESC, r.cluster_id) AS rank,
+  array_to_string(f.v, ', ') AS files, array_to_string(u.v, ', ') AS funcs FROM ranked r LEFT JOIN cfiles f USING (namespace, cluster_id) LEFT JOIN cfuncs u USING (namespace, cluster_id) QUALIFY rank <= 5),
+tx AS (SELECT namespace,
+  max(CASE WHEN rank = 1 THEN chr(10) || '## Dominant Failure Pattern' || chr(10) || '- **Error**: ' || sg5 || chr(10) || '- **Exception type**: ' || exception_type || chr(10) || '- **Occurrences**: ' || count || chr(10)
+    || '- **Severity**: ' || severity || chr(10) || '- **First seen**: ' || {O.ts_text('first_seen')} || chr(10) || '- **Last seen**: ' || {O.ts_text('last_seen')} || chr(10) || '- **Related files**: ' || coalesce(files, '') || chr(10)
+    || '- **Related functions**: ' || coalesce(funcs, '') || chr(10) || '- **Trend**: ' || trend_label END) AS first,
+  string_agg('  • Cluster ' || cluster_id || ': total=' || count || ', 1h=' || last_1h || ', 24h=' || last_24h || ', change=' || CASE WHEN round_even(pct_change, 0) >= 0 THEN '+' ELSE '' END || CAST(round_even(pct_change, 0) AS INTEGER)
+    || '%, trend=' || trend_label, chr(10) ORDER BY cluster_id) AS trend_lines,
+  string_agg('- "' || sg5 || '" × ' || count || ' (severity: ' || severity || ', trend: ' || trend_label || ')', chr(10) ORDER BY rank) FILTER (WHERE rank > 1) AS others FROM tp GROUP BY ALL),
+fr AS (SELECT namespace, count(*) AS k, round(max(count) / sum(count) * 100, 1) AS share FROM core GROUP BY ALL),
+ln AS (SELECT namespace, count(*) AS total FROM log_view GROUP BY ALL)"""
+
+
+@C.add("X3_reasoning_block", O.sql(_BLOCK, """
+SELECT namespace, score, level, concat_ws(chr(10), '## Causal Confidence Score: ' || score || '/100 (' || level || ')', first,
+  chr(10) || '## Error Frequency Statistics' || chr(10) || '- Total clusters: ' || k || chr(10) || '- Total error entries: ' || total || chr(10) || '- Dominant pattern share: ' || CAST(round_even(share, 0) AS INTEGER) || '%',
+  chr(10) || '## Time-Based Trends' || chr(10) || concat_ws(chr(10), CASE WHEN spike_count > 0 THEN '- ⚠ ' || spike_count || ' spike(s) detected' END, CASE WHEN regression_count > 0 THEN '- 🔙 ' || regression_count || ' regression(s)' END,
+    CASE WHEN new_error_count > 0 THEN '- 🆕 ' || new_error_count || ' newly introduced error(s)' END, trend_lines),
+  chr(10) || '## Other Error Clusters' || chr(10) || others, chr(10) || '## Confidence Breakdown' || chr(10) || explanation) AS block
+FROM tx JOIN expl USING (namespace) JOIN alerts USING (namespace) JOIN fr USING (namespace) JOIN ln USING (namespace)"""))
 def reasoning_block(spark, sf):
     log, profile, tr = _profile_and_trends(spark, sf)
     alerts = trends.trend_alerts(tr)

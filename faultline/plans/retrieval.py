@@ -9,6 +9,7 @@ from faultline.functions import text as T
 from faultline.functions import vocab as V
 from faultline.operators import rank as R
 from faultline.operators import retrieve as S
+from faultline.operators import scoring
 from faultline.plans import oracle as O
 from faultline.plans import views
 from faultline.plans.registry import Catalog, big, joined
@@ -131,6 +132,28 @@ def merge_hits(spark, sf):
     return _merged(spark, sf).select(Q, "chunk_id", "distance", *big("pos"))
 
 
+_STOP = O.lits(V.QUESTION_STOPWORDS)
+_KEYWORD = f"array_to_string(list_filter(regexp_extract_all(question, '[a-zA-Z0-9_./-]+'), lambda w: lower(w) NOT IN ({_STOP}) AND length(w) > 1), ' ')"
+
+
+def _synonym_sql() -> str:
+    """First word of the table that stands in the question and has an unused substitute, replaced once."""
+    arms = []
+    for word, substitutes in V.SYNONYMS.items():
+        present = f"regexp_matches(lower(question), {O.lit(O.any_script(chr(92) + 'b' + word + chr(92) + 'b'))})"
+        for s in substitutes:
+            used = " AND ".join([f"contains(lower(question), {O.lit(t.lower())})" for t in substitutes[: substitutes.index(s)]] + ["true"])
+            arms.append(f"WHEN {present} AND {used} AND NOT contains(lower(question), {O.lit(s.lower())}) THEN "
+                        f"regexp_replace(question, {O.lit('(?i)(^|[^' + O._WORD + '])' + word + '($|[^' + O._WORD + '])')}, {O.lit(chr(92) + '1' + s + chr(92) + '2')})")
+    return "CASE " + " ".join(arms) + " ELSE '' END"
+
+
+@C.add("Q5_keyword_and_synonym_variants", O.sql(O.QUESTIONS, f"SELECT query_id, {_KEYWORD} AS keyword, {_synonym_sql()} AS synonym FROM questions"))
+def keyword_and_synonym_variants(spark, sf):
+    q = F.col("question")
+    return views.questions(spark, sf).select(Q, T.keyword_variant(q).alias("keyword"), T.synonym_variant(q).alias("synonym"))
+
+
 @C.add("Q5_query_variants")
 def query_variants(spark, sf):
     return S.query_variants(views.questions(spark, sf))
@@ -278,6 +301,27 @@ def cap_evidence(spark, sf):
     return out.select(Q, "chunk_id", "source_type", *big("rank"))
 
 
+_W = V.CONFIDENCE_WEIGHTS
+_SUM = " + ".join(f"CASE WHEN broad THEN {_W['broad'][n]} ELSE {_W['specific'][n]} END * {n}" for n in _W["broad"])
+
+
+@C.add("A4_confidence_of_ranked", O.sql(_RANKED + f""",
+cs AS (SELECT *, {O.severity('text')} AS sv, date_diff('second', ts, {O.REF}) / 3600.0 AS age FROM k1),
+cg AS (SELECT query_id, count(*) AS n, arg_min(confidence, rank) AS top, avg(confidence) AS mean, max({O.case('sv', V.SEVERITY_WEIGHT, '0.15')}) AS severity,
+  avg(CASE WHEN age < 1 THEN 1.0 WHEN age < 24 THEN 0.8 WHEN age < 168 THEN 0.5 WHEN age IS NOT NULL THEN 0.2 END) AS recent,
+  count(*) FILTER (WHERE sv IN ({O.lits(V.ERROR_SEVERITIES)})) AS high, count(DISTINCT source_file) AS files FROM cs GROUP BY ALL),
+cq AS (SELECT q.query_id, {O.rx_any('q.question', V.BROAD)} AS broad, n, 0.6 * top + 0.4 * mean AS similarity,
+  CASE WHEN n >= 8 THEN 1.0 WHEN n >= 5 THEN 0.85 WHEN n >= 3 THEN 0.65 ELSE 0.3 END AS volume, severity, coalesce(recent, 0.5) AS recency,
+  CASE WHEN high >= 3 THEN 1.0 WHEN high = 2 THEN 0.75 WHEN high = 1 THEN 0.5 ELSE 0.2 END AS pattern,
+  CASE WHEN files >= 4 THEN 1.0 WHEN files = 3 THEN 0.85 WHEN files = 2 THEN 0.65 WHEN files = 1 THEN 0.4 ELSE 0.2 END AS cross_file
+  FROM vec_questions q JOIN cg USING (query_id)),
+ct AS (SELECT *, {_SUM} AS total FROM cq)""", """
+SELECT query_id, broad, n, CAST(round(total, 4) AS DOUBLE) AS score, CASE WHEN round(total, 4) >= 0.65 THEN 'high' WHEN round(total, 4) >= 0.40 THEN 'medium' ELSE 'low' END AS level FROM ct"""))
+def confidence_of_ranked(spark, sf):
+    out = scoring.retrieval_confidence(_ranked(spark, sf), views.vec_questions(spark, sf), views.ref_time())
+    return out.select(Q, "broad", "n", "score", "level")
+
+
 # ---- bundles ----------------------------------------------------------------------------
 
 _BUNDLE = _RANKED + """,
@@ -344,7 +388,23 @@ def render_context(spark, sf):
     return R.render_context(_ranked(spark, sf))
 
 
-@C.add("B6_budget_context")
+_TWO = "CAST(CAST(CAST(confidence AS DECIMAL(9,4)) AS DECIMAL(9,2)) AS VARCHAR)"
+
+
+def _section_sql(side: str, mark: str, title: str, names: str) -> str:
+    block = (f"'[{mark}' || p || '] ' || source_file || '  lines ' || line_start || '–' || line_end || '  confidence: ' || {_TWO} || {names} || chr(10) || text")
+    return (f"SELECT query_id, '## {title}' || chr(10) || chr(10) || string_agg({block}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p) AS t "
+            f"FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM k1 WHERE source_type {side} 'log' QUALIFY p <= 8) GROUP BY query_id")
+
+
+_NAMES = "CASE WHEN function_name <> '' THEN '  function: ' || function_name ELSE '' END"
+
+
+# Two sections of eight short rows always fit, so the check states their whole text; the walk itself
+# is checked by B6_budget_conversations.
+@C.add("B6_budget_context", O.sql(_RANKED + f", ls AS ({_section_sql('=', 'L', 'Log Evidence', chr(39) * 2)}), co AS ({_section_sql('<>', 'C', 'Code Evidence', _NAMES)})", """
+SELECT query_id, chr(10) || chr(10) || repeat('═', 60) || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), ls.t, co.t) AS context,
+  CAST((ls.t IS NOT NULL)::INTEGER + (co.t IS NOT NULL)::INTEGER AS INTEGER) AS sections FROM ls FULL JOIN co USING (query_id)"""))
 def budget_context(spark, sf):
     logs, code = R.split_evidence(R_cut(_ranked(spark, sf)))
     sections = R.evidence_section(logs, "Log Evidence", "L", False, 1).unionByName(

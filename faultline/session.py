@@ -46,6 +46,10 @@ def pin(spark: SparkSession) -> SparkSession:
     for key, value in PINNED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The default suits a cluster; on one machine it means hundreds of empty tasks per shuffle.
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
