@@ -44,14 +44,29 @@ def _severity_rank(c: Column) -> Column:
     return T.lookup(c, V.SEVERITY_ORDER, 0)
 
 
+PLACE_BITS = 1 << 20
+
+
+def _place(ord_: Column, idx: Column) -> Column:
+    """Position of a value: its entry, then its place in the entry, as one number.
+
+    Numbers keep the aggregate hashed; a struct or text buffer would make every task sort its facts.
+    """
+    inside = F.least(idx.cast("int"), F.lit(PLACE_BITS - 1))
+    return (ord_.cast("decimal(20,0)") * F.lit(PLACE_BITS) + inside).cast("decimal(38,0)")
+
+
+def _entry_of(place: str) -> Column:
+    return F.expr(f"cast({place} div {PLACE_BITS} as bigint)")
+
+
 def signature_facts(entries: DataFrame) -> DataFrame:
-    """namespace, signature, kind, value -> n, first (position), times, severity, sample.
+    """namespace, signature, kind, value -> n, first (place), first_ts, last_ts, sev (rank).
 
     kind 'entry' has one row per signature; 'file', 'function', 'frame', 'message' one per distinct value.
     """
-    def fact(kind: str, value: Column, idx: Column, sample: Column = F.lit(None).cast("string")) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), idx.cast("int").alias("idx"),
-                        sample.alias("sample"))
+    def fact(kind: str, value: Column, idx: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), idx.cast("int").alias("idx"))
 
     def facts(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v, i: fact(kind, v, i))
@@ -59,28 +74,23 @@ def signature_facts(entries: DataFrame) -> DataFrame:
     files = F.array_distinct(F.concat(
         F.array("file_name"), F.transform("refs", lambda r: T.basename(r["file"]))))
     everything = F.concat(
-        F.array(fact("entry", F.lit(""), F.lit(0)),
-                fact("message", F.col("norm"), F.lit(0), F.substring(T.first_line(F.col("text")), 1, 150))),
+        F.array(fact("entry", F.lit(""), F.lit(0)), fact("message", F.col("norm"), F.lit(0))),
         facts("file", F.filter(files, lambda f: f != "")),
         facts("function", F.col("functions")),
         facts("frame", F.col("frames")),
     )
-    rows = entries.select(NS, "signature", "ord", "ts", "severity", F.explode(everything).alias("f"))
-    return rows.groupBy(NS, "signature", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(F.col("ord"), F.col("f.idx").alias("idx"))).alias("first"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.max(F.struct(_severity_rank(F.col("severity")).alias("rank"), F.col("severity"))).alias("top"),
-        F.min_by("f.sample", "ord").alias("sample"),
-    )
+    rows = entries.select(NS, "signature", "ord", "ts", _severity_rank(F.col("severity")).alias("sev"), F.explode(everything).alias("f"))
+    rows = rows.select(NS, "signature", "f.kind", "f.value", "ts", "sev", _place(F.col("ord"), F.col("f.idx")).alias("place"))
+    return rows.groupBy(NS, "signature", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"), F.max("sev").alias("sev"))
 
 
 def signature_groups(facts: DataFrame) -> DataFrame:
     """One row per exact signature: n, first position, time range, worst severity."""
+    severity = T.lookup(F.col("sev"), {rank: name for name, rank in V.SEVERITY_ORDER.items()})
     return facts.where(F.col("kind") == "entry").select(
-        NS, "signature", "n", F.col("first.ord").alias("pos"), "first_ts", "last_ts",
-        F.col("top.severity").alias("severity"))
+        NS, "signature", "n", _entry_of("first").alias("pos"), "first_ts", "last_ts", severity.alias("severity"))
 
 
 def signature_frames(facts: DataFrame) -> DataFrame:
@@ -250,8 +260,9 @@ def number_clusters(merged: DataFrame) -> DataFrame:
 
 @dataclass
 class Clusters:
-    """Facts and cluster membership, each written once and shared by the profile jobs."""
+    """The log, its facts and cluster membership; the latter two written once and shared by the profile jobs."""
 
+    log: DataFrame
     facts: DataFrame
     members: DataFrame
 
@@ -262,7 +273,7 @@ def cluster_errors(log: DataFrame, merge: bool = True, batch: int = BATCH) -> Cl
         merged = leader_merge(facts, batch)
     else:
         merged = signature_groups(facts).select(NS, "signature", "pos", F.col("pos").alias("leader"))
-    return Clusters(facts, cut(number_clusters(merged), "members"))
+    return Clusters(log, facts, cut(number_clusters(merged), "members"))
 
 
 def _of_kind(c: Clusters, kind: str) -> DataFrame:
@@ -291,16 +302,21 @@ def cluster_values(c: Clusters, kind: str, n: int = 10) -> DataFrame:
 
 
 def cluster_samples(c: Clusters, n: int = 3) -> DataFrame:
-    """First lines of the first entries with distinct normalised text, in member order."""
-    seen = F.struct(F.col("pos"), F.col("first.ord").alias("ord"))
-    rows = _of_kind(c, "message").groupBy(NS, "cluster_id", "value").agg(
-        F.min(seen).alias("seen"), F.min_by("sample", seen).alias("sample"))
-    return first_n(rows, [NS, "cluster_id"], [F.col("seen")], n).select(NS, "cluster_id", "rank", "sample")
+    """First lines of the first entries with distinct normalised text, in member order.
+
+    Only the chosen entries' texts are fetched, from the log, by their position.
+    """
+    seen = F.struct(F.col("pos"), F.col("first"))
+    rows = _of_kind(c, "message").groupBy(NS, "cluster_id", "value").agg(F.min(seen).alias("seen"))
+    top = first_n(rows, [NS, "cluster_id"], [F.col("seen")], n).select(
+        NS, "cluster_id", "rank", _entry_of("seen.first").alias("ord"))
+    lines = c.log.select(NS, "ord", F.substring(T.first_line(F.col("text")), 1, 150).alias("sample"))
+    return top.join(lines, [NS, "ord"]).select(NS, "cluster_id", "rank", "sample")
 
 
 def common_frames(c: Clusters, n: int = 5) -> DataFrame:
     """Of the ``n`` most frequent frames of a cluster, those seen at least twice."""
-    seen = F.struct(F.col("pos"), F.col("first.ord").alias("ord"), F.col("first.idx").alias("idx"))
+    seen = F.struct(F.col("pos"), F.col("first"))
     rows = _of_kind(c, "frame").groupBy(NS, "cluster_id", "value").agg(
         F.sum("n").alias("hits"), F.min(seen).alias("seen"))
     top = first_n(rows, [NS, "cluster_id"], [F.col("hits").desc(), F.col("seen")], n)
