@@ -242,7 +242,21 @@ def link_logs_code(spark, sf):
     return links.select(NS, "ord", *big("link_no"), "code_file", "code_start")
 
 
-@C.add("L3_cross_context")
+_CROSS = _LINKS + """,
+linked AS (SELECT sig.namespace, sig.ord, p.link_no, p.code_file, p.code_start FROM sig JOIN place p ON p.namespace = sig.namespace AND p.s = sig.s),
+heads AS (SELECT namespace, ord, row_number() OVER (PARTITION BY namespace ORDER BY ord) AS no FROM (SELECT DISTINCT namespace, ord FROM linked) QUALIFY no <= 5),
+rt AS (SELECT r.namespace, r.ord, string_agg('  - ' || concat_ws(', ', CASE WHEN file_path <> '' THEN 'file: ' || file_path END, CASE WHEN line_number <> 0 THEN 'line: ' || line_number END,
+  CASE WHEN function_name <> '' THEN 'function: ' || function_name END, CASE WHEN class_name <> '' THEN 'class: ' || class_name END), chr(10) ORDER BY ref_no) AS refs
+  FROM refs r JOIN heads USING (namespace, ord) GROUP BY ALL),
+ct AS (SELECT l.namespace, l.ord, string_agg('*' || l.code_file || CASE WHEN c.function_name <> '' THEN ' → ' || c.function_name || '()' ELSE '' END || CASE WHEN c.class_name <> '' THEN ' [class: ' || c.class_name || ']' ELSE '' END
+  || '* (lines ' || l.code_start || '–' || c.line_end || '):' || chr(10) || '```' || chr(10) || substring(c.text, 1, 800) || chr(10) || '```' || chr(10), chr(10) ORDER BY link_no) AS code
+  FROM linked l JOIN heads USING (namespace, ord) JOIN code_chunks c ON c.namespace = l.namespace AND c.source_file = l.code_file AND c.line_start = l.code_start GROUP BY ALL)"""
+
+
+@C.add("L3_cross_context", O.sql(_CROSS, """
+SELECT h.namespace, string_agg('## Error #' || no || chr(10) || '**Log entry** (' || v.source_file || ', lines ' || h.ord || '–' || h.ord || '):' || chr(10) || '```' || chr(10) || substring(v.text, 1, 800) || chr(10) || '```' || chr(10) || chr(10)
+  || '**Extracted references:**' || chr(10) || refs || chr(10) || chr(10) || '**Related source code:**' || chr(10) || chr(10) || code, chr(10) ORDER BY no) AS context
+FROM heads h JOIN log_view v ON v.namespace = h.namespace AND v.ord = h.ord JOIN rt ON rt.namespace = h.namespace AND rt.ord = h.ord JOIN ct ON ct.namespace = h.namespace AND ct.ord = h.ord GROUP BY ALL"""))
 def cross_context(spark, sf):
     log, code = cut(views.log_view(spark, sf), "log"), views.code_chunks(spark, sf)
     refs = cut(L.code_refs(log), "refs")
