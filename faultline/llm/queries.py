@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, shards
-from faultline.llm.common import table
+from faultline.llm import mixing, shards, toxicity
+from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
 C = Catalog()
 
 
+@C.add("op2_toxicity")
+def op2_toxicity(spark, sf):
+    scored = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
+
+
 @C.add("op5_sharding")
 def op5_sharding(spark, sf):
     placed = shards.shard_documents(table(spark, sf, "documents"))
