@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, shards, toxicity
+from faultline.llm import jaccard, mixing, shards, toxicity
 from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
@@ -29,3 +29,8 @@ def op5_sharding(spark, sf):
 def op7_mixing(spark, sf):
     mixture = mixing.mix(table(spark, sf, "documents"))
     return mixture.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
+
+
+@C.add("op8_ngram_jaccard")
+def op8_ngram_jaccard(spark, sf):
+    return jaccard.similarity_classes(table(spark, sf, "documents"))
