@@ -21,6 +21,7 @@ are measured one by one and drawn alike; other columns are not read. All draws h
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,10 +62,16 @@ def targets(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tup
     return per.withColumn("target", target).drop("_level", "weight", "cap")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written once in the expression, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def log_factorial(n: Column) -> Column:
-    x = F.greatest(n, F.lit(1)).cast("double")
-    far = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(n <= 20, F.log(F.factorial(n.cast("int")).cast("double"))).otherwise(far)
+    def far(x: Column) -> Column:
+        return x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+    return F.when(n <= 20, F.log(F.factorial(n.cast("int")).cast("double"))).otherwise(let(n.cast("double"), far))
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -72,28 +79,34 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
 
     Walks ten deviations to both sides of the mode; what lies beyond has less weight than a double resolves.
     """
-    lo = F.greatest(F.lit(0), drawn + marked - total)
-    hi = F.least(marked, drawn)
-    n, k, d = total.cast("double"), marked.cast("double"), drawn.cast("double")
-    mode = F.floor((d + 1) * (k + 1) / (n + 2)).cast("long")
-    spread = F.sqrt(d * (k / n) * (1 - k / n) * ((n - d) / F.greatest(n - 1, F.lit(1.0))))
-    reach = F.ceil(10 * spread).cast("long") + 10
-
-    def logp(x: Column) -> Column:
-        parts = (x, marked - x, drawn - x, total - marked - drawn + x)
-        return -sum((log_factorial(p) for p in parts[1:]), log_factorial(parts[0]))
-
-    mode = F.greatest(lo, F.least(hi, mode))
-    values = F.sequence(F.greatest(lo, mode - reach), F.least(hi, mode + reach))
-    weighed = F.transform(values, lambda x: F.struct(x.alias("x"), F.exp(logp(x) - logp(mode)).alias("p")))
-    whole = F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v["p"])
-    start = F.struct(u * whole, F.lit(None).cast("long"))
-    picked = F.aggregate(
-        weighed, F.struct(start["col1"].alias("left"), F.lit(None).cast("long").alias("x")),
-        lambda a, v: F.struct(
-            (a["left"] - v["p"]).alias("left"), F.when(a["left"] >= 0, v["x"]).otherwise(a["x"]).alias("x")),
-    )["x"]
-    return F.when(hi == lo, lo).otherwise(F.coalesce(picked, hi))
+    def logp(c: Column, x: Column) -> Column:
+        rest = c["n"] - c["k"] - c["d"] + x
+        return -(log_factorial(x) + log_factorial(c["k"] - x) + log_factorial(c["d"] - x) + log_factorial(rest))
+
+    def spread(c: Column) -> Column:
+        share = c["k"] / F.greatest(c["n"], F.lit(1))
+        variance = c["d"] * share * (1 - share) * (c["n"] - c["d"]) / F.greatest(c["n"] - 1, F.lit(1))
+        return F.struct(
+            c["n"].alias("n"), c["k"].alias("k"), c["d"].alias("d"), c["lo"].alias("lo"), c["hi"].alias("hi"),
+            F.greatest(c["lo"], F.least(c["hi"], F.floor((c["d"] + 1) * ((c["k"] + 1) / (c["n"] + 2))))).alias("mode"),
+            (F.ceil(10 * F.sqrt(variance)) + 10).alias("reach"))
+
+    def weigh(c: Column) -> Column:
+        values = F.sequence(F.greatest(c["lo"], c["mode"] - c["reach"]), F.least(c["hi"], c["mode"] + c["reach"]))
+        return let(logp(c, c["mode"]), lambda top: F.transform(
+            values, lambda x: F.struct(x.alias("x"), F.exp(logp(c, x) - top).alias("p"))))
+
+    def pick(weighed: Column) -> Column:
+        goal = u * F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v["p"])
+        start = F.struct(goal.alias("left"), F.lit(None).cast("long").alias("x"))
+        return F.aggregate(weighed, start, lambda a, v: F.struct(
+            (a["left"] - v["p"]).alias("left"), F.when(a["left"] >= 0, v["x"]).otherwise(a["x"]).alias("x")))["x"]
+
+    case = F.struct(
+        total.alias("n"), marked.alias("k"), drawn.alias("d"),
+        F.greatest(F.lit(0).cast("long"), drawn + marked - total).alias("lo"), F.least(marked, drawn).alias("hi"))
+    return let(case, lambda c: F.when(c["lo"] == c["hi"], c["lo"]).otherwise(
+        let(let(spread(c), weigh), pick)))
 
 
 def uniform(key: Column) -> Column:
@@ -109,19 +122,19 @@ def drawn_before(x: Column, total: Column, drawn: Column, key: Column) -> Column
 
     def halve(a: Column, _: Column) -> Column:
         half = F.floor(a["n"] / 2).cast("long")
-        inside = (a["x"] > 0) & (a["x"] < a["n"])
-        # The draw of this half is bound once, in an array of one, and used for both sides.
-        draw = F.array(F.when(inside, hypergeometric(a["n"], half, a["d"], uniform(a["key"]))))
-        return F.transform(draw, lambda g: F.when(~inside, a).when(
-            a["x"] < half,
-            F.struct(a["x"].alias("x"), half.alias("n"), g.alias("d"), a["sum"].alias("sum"),
-                     F.xxhash64(a["key"], F.lit(0)).alias("key")),
-        ).otherwise(F.struct(
-            (a["x"] - half).alias("x"), (a["n"] - half).alias("n"), (a["d"] - g).alias("d"),
-            (a["sum"] + g).alias("sum"), F.xxhash64(a["key"], F.lit(1)).alias("key"))))[0]
+        draw = hypergeometric(a["n"], half, a["d"], uniform(a["key"]))
+
+        def step(g: Column) -> Column:
+            low = a["x"] < half
+            return F.struct(
+                F.when(low, a["x"]).otherwise(a["x"] - half).alias("x"), F.when(low, half).otherwise(a["n"] - half).alias("n"),
+                F.when(low, g).otherwise(a["d"] - g).alias("d"), F.when(low, a["sum"]).otherwise(a["sum"] + g).alias("sum"),
+                F.xxhash64(a["key"], low).alias("key"))
+
+        return F.when((a["x"] > 0) & (a["x"] < a["n"]), let(draw, step)).otherwise(a)
 
-    end = F.aggregate(steps, start, halve)
-    return end["sum"] + F.when(end["x"] >= end["n"], end["d"]).otherwise(F.lit(0))
+    return let(F.aggregate(steps, start, halve),
+               lambda end: end["sum"] + F.when(end["x"] >= end["n"], end["d"]).otherwise(F.lit(0)))
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -136,7 +149,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             "_all", F.sum("n").over(Window.partitionBy("node"))).withColumn("_left", left)
         drawn = F.round(F.col("_all") * F.col("_left") / F.col("leaves")).cast("long")
         count = drawn_before(F.col("_end"), F.col("_all"), drawn, spread_seed("node", "leaves", seed=seed))
-        nodes = nodes.withColumn("_count", count)
+        nodes = keep(nodes.withColumn("_count", count), "mix-draws")
         nodes = nodes.withColumn("_x", F.col("_count") - F.coalesce(F.lag("_count").over(by_source), F.lit(0)))
         x = F.when(F.col("leaves") == 1, F.col("n")).otherwise(F.col("_x"))
         sides = F.array(
@@ -166,9 +179,9 @@ def fitting(docs: Column, room: Column) -> Column:
     first = F.aggregate(docs, start, lambda a, d: take(a, d, F.size(a["left"]) > 0))
     longest = lambda x, y: F.when(x["size"] > y["size"], -1).when(x["size"] < y["size"], 1).when(
         x["order"] < y["order"], -1).when(x["order"] > y["order"], 1).otherwise(0)
-    return F.flatten(F.transform(F.array(first), lambda f: F.aggregate(
+    return let(first, lambda f: F.aggregate(
         F.array_sort(f["left"], longest), F.struct(f["room"].alias("room"), f["ids"].alias("ids"), none.alias("left")),
-        lambda a, d: take(a, d, F.lit(False)))["ids"]))
+        lambda a, d: take(a, d, F.lit(False)))["ids"])
 
 
 def mix(docs: DataFrame, shards: int = 8, seed: int = 7, share: float = 1.5, most: float = 2.0,
