@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import jaccard, mixing, shards, toxicity
+from faultline.llm import jaccard, mixing, repeats, shards, toxicity
 from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
@@ -34,3 +34,10 @@ def op7_mixing(spark, sf):
 @C.add("op8_ngram_jaccard")
 def op8_ngram_jaccard(spark, sf):
     return jaccard.similarity_classes(table(spark, sf, "documents"))
+
+
+@C.add("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf):
+    left = repeats.without_repeats(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
