@@ -44,6 +44,15 @@ def drop_kept(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of a few dozen bytes each that may be broadcast.
+SMALL = 1 << 19
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Join with a kept table; it is broadcast if a count shows that it is small, else both sides are shuffled."""
+    return df.join(F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small, on)
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """Whether the CRC-32 of the id as text leaves the remainder (null id: no)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import keep, spread_seed
+from faultline.llm.common import SMALL, join_small, keep, spread_seed
 from faultline.llm.graph import components
 
 COMMON = 64
@@ -217,33 +217,57 @@ def prefixes(reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     dense = keep(dense.join(reps.select("doc", "digest"), "doc").select("doc", "n", "digest"), "dense")
     placed = placed.where((F.col("place") < p)).join(dense.select("doc"), "doc", "left_anti").select(
         "gram", "doc", "n", "df")
-    # Sets that hold too many common grams: order all their members anew.
-    every = grams_of(texts.join(dense, "doc"), n).select("doc", "n", F.explode("members").alias("gram")).distinct()
-    ordered = every.join(df.where(common), "gram", "left").withColumn("last", F.coalesce("df", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("last", F.col("gram")))
-    anew = ordered.withColumn("place", nth - 1).where(F.col("place") < p)
-    anew = anew.select("gram", "doc", "n", "last")
-    counted = anew.where("last > 0").select("gram", "doc", "n", F.col("last").alias("df"))
-    rare = anew.where("last = 0").join(df, "gram").select("gram", "doc", "n", "df")
-    return placed.unionByName(counted).unionByName(rare)
+    # Sets that hold too many common grams: all their members in the new order.
+    counts = keep(df.where(common).select("gram", "df"), "common")
+    whole = join_small(texts, dense, ["doc"])
+    if counts.limit(SMALL + 1).count() <= SMALL:
+        anew = reordered(whole, counts, n, num, den)
+    else:
+        every = grams_of(whole, n).select("doc", "n", F.explode("members").alias("gram")).distinct()
+        ordered = every.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        nth = F.row_number().over(Window.partitionBy("doc").orderBy("df", "gram"))
+        anew = ordered.withColumn("place", nth - 1).where(F.col("place") < p).select("gram", "doc", "n", "df")
+    anew = keep(anew, "anew")
+    rare = anew.where("df = 0").drop("df").join(df, "gram").select("gram", "doc", "n", "df")
+    return placed.unionByName(anew.where("df > 0")).unionByName(rare)
 
 
-def grams_of(texts: DataFrame, n: int) -> DataFrame:
-    """doc, n, members for rows with doc, n, digest, text whose text has that digest."""
+def reordered(texts: DataFrame, counts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """gram, doc, n, df (0: not common): prefixes with the common grams last, by a lookup in every task.
+    ``counts`` holds at most SMALL grams."""
+    known = counts.toPandas().sort_values("gram")
+    shared = texts.sparkSession.sparkContext.broadcast((known["gram"].to_numpy(), known["df"].to_numpy()))
+
     def run(batches):
-        cache: dict[bytes, int] = {}
-        for pdf in batches:
-            sets = [gram_set(t, n, cache) for t in pdf["text"]]
-            right = [digest_of(s) == bytes(d) for s, d in zip(sets, pdf["digest"], strict=True)]
-            yield pd.DataFrame({"doc": pdf["doc"], "n": pdf["n"], "members": sets})[right]
+        grams, df = shared.value
+        for pdf in grams_in(batches, n):
+            for doc, size, members in zip(pdf["doc"], pdf["n"], pdf["members"], strict=True):
+                at = np.minimum(np.searchsorted(grams, members), max(0, len(grams) - 1))
+                found = np.where(grams[at] == members, df[at], 0) if len(grams) else np.zeros(len(members), np.int64)
+                order = np.lexsort((members, found))[:prefix_length(size, num, den)]
+                yield pd.DataFrame({"gram": members[order], "doc": doc, "n": size, "df": found[order]})
+
+    return texts.select("doc", "n", "digest", "text").mapInPandas(run, "gram long, doc long, n long, df long")
 
-    return texts.select("doc", "n", "digest", "text").mapInPandas(run, "doc long, n long, members array<long>")
+
+def grams_in(batches, n: int):
+    cache: dict[bytes, int] = {}
+    for pdf in batches:
+        sets = [gram_set(t, n, cache) for t in pdf["text"]]
+        right = [digest_of(s) == bytes(d) for s, d in zip(sets, pdf["digest"], strict=True)]
+        yield pd.DataFrame({"doc": pdf["doc"], "n": pdf["n"], "members": sets})[right]
+
+
+def grams_of(texts: DataFrame, n: int) -> DataFrame:
+    """doc, n, members for rows with doc, n, digest, text whose text has that digest."""
+    return texts.select("doc", "n", "digest", "text").mapInPandas(
+        lambda batches: grams_in(batches, n), "doc long, n long, members array<long>")
 
 
 def full_sets(wanted: DataFrame, reps: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """doc, n, members of the wanted sets, from their texts."""
     wanted = keep(wanted.toDF("doc").distinct().join(reps.select("doc", "n", "digest"), "doc"), "wanted")
-    return keep(grams_of(texts.join(wanted, "doc"), n), "members")
+    return keep(grams_of(join_small(texts, wanted, ["doc"]), n), "members")
 
 
 def streamed_groups(batches, keys: list[str]):
