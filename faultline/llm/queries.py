@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import jaccard, mixing, repeats, shards, toxicity
+from faultline.llm import jaccard, mixing, pieces, repeats, shards, toxicity
 from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
 C = Catalog()
 
 
+@C.add("op1_sentencepiece")
+def op1_sentencepiece(spark, sf):
+    return pieces.encoded(table(spark, sf, "documents")).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 @C.add("op2_toxicity")
 def op2_toxicity(spark, sf):
     scored = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))

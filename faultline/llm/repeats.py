@@ -18,8 +18,8 @@ in one place: their windows become rows keyed by a 128-bit hash, whose smallest
 shuffle. Both ways give the same answer. Members of one context cost a row each and are never gathered: those
 that are not the smallest document lose the whole context, whatever else holds.
 
-Defined results: a null text is empty; texts under WIDTH bytes keep everything; a null id is larger than none and smaller than
-none, its row keeps everything; rows with equal ids do not remove from each other; an empty table gives no rows.
+Defined results: a null text is empty; texts under WIDTH bytes keep everything; a row with a null id keeps everything and
+removes nothing; rows with equal ids do not remove from each other; an empty table gives no rows.
 Anchors and contexts are compared by 64-bit hashes each (128 bits together).
 """
 
@@ -29,7 +29,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import keep
@@ -301,30 +302,42 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.collect_list(F.col("place").bitwiseAND((1 << TAG) - 1)).alias("places"), F.collect_list("mask").alias("masks"))
 
 
-def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def tagged_columns(id_col: str, text_col: str) -> dict[str, Column]:
     text = F.col(text_col)
-    tag = F.xxhash64(text).bitwiseAND(0xFFFF)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(tag, F.lit(0)).alias("tag"), text.alias("text"))
+    tag = F.coalesce(F.xxhash64(text).bitwiseAND(0xFFFF), F.lit(0))
+    return {"doc": F.col(id_col).cast("long"), "tag": tag, "text": text}
+
+
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*[c.alias(k) for k, c in tagged_columns(id_col, text_col).items()])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (start, end of removed runs) for every row."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, kept (the bytes that stay), spans (start, end of removed runs) for every row, and ``carry``."""
     lost = keep(find_repeats(docs, id_col, text_col), "lost")
+    carry = carry or []
+    extra = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    rows = docs.select(*extra, *[tagged_columns(id_col, text_col)[k].alias(k) for k in ("doc", "tag", "text")])
+    both = rows.join(lost, ["doc", "tag"], "left").select("doc", "text", "places", "masks", *[
+        f"_carry{i}" for i in range(len(carry))])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for text, places, masks in zip(pdf["text"], pdf["places"], pdf["masks"], strict=True):
+        for batch in batches:
+            sizes, kept, spans = [], [], []
+            for text, places, masks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw = encoded(text)
-                starts, ends = removed_runs(places, masks, len(raw)) if places is not None else ([], [])
+                starts, ends = removed_runs(places, masks, len(raw)) if places else ([], [])
                 cuts = np.concatenate([[0], np.ravel(np.column_stack([starts, ends])), [len(raw)]]).astype(int)
-                kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(starts, ends, strict=True)]
-                out.append((len(raw), kept, spans))
-            rows = pd.DataFrame(out, columns=["n_bytes", "kept", "spans"])
-            rows.insert(0, "doc_id", pdf["doc"].values)
-            yield rows
-
-    both = tagged(docs, id_col, text_col).join(lost, ["doc", "tag"], "left").select("doc", "text", "places", "masks")
-    return both.mapInPandas(
-        run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+                sizes.append(len(raw))
+                kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(starts, ends, strict=True)])
+            made = [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)]
+            names = ["doc_id", "n_bytes", "kept", "spans", *batch.schema.names[4:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], names=names)
+
+    kinds = ", ".join(f"_carry{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = both.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
+                          + (f", {kinds}" if kinds else ""))
+    return out.select("doc_id", "n_bytes", "kept", "spans", *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,3 +245,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              label_col: str = "toxic", modulus: int = 5, remainder: int = 0, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Fit on labelled rows whose id hash does not leave ``remainder``, then score every row."""
     return score(docs, fit(docs, labels, id_col, text_col, label_col, modulus, remainder, fit_rows), id_col, text_col)
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        cache: dict[str, int] = {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            proof = np.array([evidence_of(shared.value.passages(token_buckets(t, cache))) for t in texts])
+            yield batch.filter(pa.array(shared.value.probability(proof) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
