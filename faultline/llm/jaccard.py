@@ -12,7 +12,7 @@ for all sets that share a path; the overlap so far is kept at each node, and a s
 the members that remain on either side cannot reach the overlap needed, or when all of its sets are already linked to
 the set. Found links are contracted to components. Rounds with other hubs follow while they still find links; at the end
 all pairs of sets that share enough prefix grams and are in different components are compared, so no link between
-components is missed.
+components is missed; sets whose prefixes hold common grams meet in blocks for that.
 
 A hot group (copies, a common passage) costs its members one row per round: hubs come from aggregates, equal sets are one
 row, and groups are cut to ``GROUP`` sets each.
@@ -36,6 +36,7 @@ from faultline.llm.graph import components
 
 COMMON = 64
 GROUP = 256
+BLOCK = 1024
 ROUNDS = 2
 CACHE = 1 << 20
 
@@ -331,19 +332,64 @@ def round_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: Da
     return full.sortWithinPartitions("hub", "part").mapInPandas(join_groups, "a long, b long")
 
 
+def family_pairs(entries: DataFrame, common: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of sets from different components that share enough prefix grams, for sets with common grams in their
+    prefix. Sets that common grams connect are a family; its prefixes meet block by block, so a family of m sets costs
+    m / BLOCK copies of each prefix, and the pairs themselves never become rows before they pass the bound."""
+    hubs = common.groupBy("gram").agg(F.min("doc").alias("hub"))
+    chained = components(common.join(hubs, "gram").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    families = keep(chained.select(F.col("node").alias("doc"), F.col("root").alias("family")), "families")
+    lists = entries.join(families, "doc").groupBy("doc", "family", "n").agg(F.collect_list("gram").alias("grams"))
+    lists = lists.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(spread_seed("doc", seed=5), F.col("parts")).cast("int")
+    cells = lists.join(sizes, "family").withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("family", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part",
+                         "doc", "n", "root", "grams")
+
+    def meet(batches):
+        for pdf in streamed_groups(batches, ["family", "lo", "hi"]):
+            inner = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+            left, right = (pdf, pdf) if inner else (pdf[pdf["part"] == pdf["lo"]], pdf[pdf["part"] == pdf["hi"]])
+            if not len(left) or not len(right):
+                continue
+            places = np.repeat(np.arange(len(right)), [len(g) for g in right["grams"]])
+            flat = np.concatenate(right["grams"].tolist())
+            order = np.argsort(flat, kind="stable")
+            flat, places = flat[order], places[order]
+            ids, n, roots_ = (right[c].to_numpy() for c in ("doc", "n", "root"))
+            for doc, size, root, grams in zip(left["doc"], left["n"], left["root"], left["grams"], strict=True):
+                a, b = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
+                hits = np.concatenate([places[x:y] for x, y in zip(a, b, strict=True)])
+                shared = np.bincount(hits, minlength=len(ids))
+                most = np.maximum(n, size)
+                need = -(-(num * (n + size)) // (den + num))
+                ok = (shared > 0) & (roots_ != root) & (num * most <= den * np.minimum(n, size))
+                ok &= shared - (-num * most // den) - 1 >= need
+                found = ids[ok & (ids > doc)] if inner else ids[ok]
+                if len(found):
+                    yield pd.DataFrame({"a": np.minimum(found, doc), "b": np.maximum(found, doc)})
+
+    dealt = cells.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    return dealt.mapInPandas(meet, "a long, b long")
+
+
 def rest_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: DataFrame, n: int, num: int,
                den: int) -> DataFrame:
     """a, b: links among sets that share enough prefix grams and are still in different components."""
     open_ = entries.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     split = open_.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = keep(open_.join(split.select("gram"), "gram").select("gram", "doc", "n", "root"), "open")
-    other = open_.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-    pairs = open_.withColumnRenamed("doc", "a").join(other, "gram").where(
+    open_ = keep(open_.join(split.select("gram"), "gram").select("gram", "doc", "n", "root", "df"), "open")
+    rare = open_.where(F.col("df") <= COMMON).drop("df")
+    other = rare.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
+    pairs = rare.withColumnRenamed("doc", "a").join(other, "gram").where(
         (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
         & (num * F.greatest("n", "nb") <= den * F.least("n", "nb")))
     pairs = pairs.groupBy("a", "b", "n", "nb").agg(F.count(F.lit(1)).alias("shared")).where(
-        shared_enough("n", "nb", "shared", num, den))
-    pairs = keep(pairs.select("a", "b"), "bounded")
+        shared_enough("n", "nb", "shared", num, den)).select("a", "b")
+    dense = family_pairs(entries, open_.where(F.col("df") > COMMON), roots, num, den)
+    pairs = keep(pairs.unionByName(dense).distinct(), "bounded")
     sets = full_sets(pairs.select("a").union(pairs.select("b")), reps, texts, n)
 
     def exact(batches):
