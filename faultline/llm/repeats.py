@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import keep
+from faultline.llm.common import drop_kept, keep
 
 WIDTH = 50
 GRAM = 16
@@ -281,8 +281,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = tagged(docs, id_col, text_col).where("doc is not null")
     texts = texts.where(F.octet_length("text") >= WIDTH)
     shared = anchor_rows(texts, False).groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    shared = shared.where("lo < hi").select("gram")
+    # Kept for itself, so that its shuffle is gone before the anchors are shuffled in full.
+    shared = keep(shared.where("lo < hi").select("gram"), "shared")
     members = keep(anchor_rows(texts, True).join(shared, "gram"), "anchors")
+    drop_kept(shared)
     firsts = members.groupBy("gram", "context").agg(
         F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
     firsts = keep(firsts, "contexts")
