@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,10 @@ from faultline.llm.common import keep
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 17
 LONGEST_WORD = 60  # of the dictionary: a boundary is a bit of a 64-bit number
-FLUSH = 1 << 19
+FLUSH = 1 << 17
+SLICE = 512
 UNIGRAM, BPE = 1, 2
 
 
@@ -274,26 +276,35 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
     def run(batches):
         p, have = shared.value, known.value
         more: dict[str, bytes] = {}
-        for pdf in batches:
-            ids, same = [], []
-            for text in pdf["text"]:
-                words = p.split(text)
-                parts = []
-                for w in words:
-                    part = have.get(w)
+
+        def ids_of(text: str | None) -> bytes:
+            parts = []
+            for w in p.split(text):
+                part = have.get(w)
+                if part is None:
+                    part = more.get(w)
                     if part is None:
-                        part = more.get(w)
-                        if part is None:
-                            part = more[w] = np.array(p.encode_word(w), np.int32).tobytes()
-                    parts.append(part)
-                if len(more) > FLUSH // 4:
+                        part = more[w] = np.array(p.encode_word(w), np.int32).tobytes()
+                parts.append(part)
+            return b"".join(parts)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                if len(more) > FLUSH:
                     more.clear()
-                ids.append(np.frombuffer(b"".join(parts), np.int32))
-                same.append(decode_ids(ids[-1], p) == (text or ""))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same})
+                texts = batch.column(1).to_pylist()
+                raws = [ids_of(t) for t in texts]
+                same = [decode_ids(np.frombuffer(r, np.int32), p) == (t or "") for r, t in zip(raws, texts, strict=True)]
+                sizes = np.array([len(r) // 4 for r in raws], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), ids, pa.array(sizes), pa.array(same, pa.bool_())],
+                    names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, ids array<int>, n_tokens long, round_trip boolean")
+    return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
