@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import jaccard, mixing, pieces, repeats, shards, toxicity
+from faultline.llm import jaccard, language, mixing, pieces, quality, repeats, shards, toxicity
 from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
@@ -46,3 +46,14 @@ def op3_suffix_dedup(spark, sf):
     left = repeats.without_repeats(table(spark, sf, "documents"))
     return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@C.add("op9_quality")
+def op9_quality(spark, sf):
+    return quality.quality(table(spark, sf, "documents"))
+
+
+@C.add("op10_language")
+def op10_language(spark, sf):
+    found = language.languages(table(spark, sf, "documents"))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
