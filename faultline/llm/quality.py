@@ -52,8 +52,8 @@ def answers(text: str | None) -> list[int] | None:
     solid = sum(1 for w in words if len(MARKS.findall(w)) <= 1)
     return [
         vote(40 <= n <= 20000, n < 8),
-        vote(marks < 0.06 * chars, marks > 0.15 * chars),
-        vote(alpha > 0.85 * chars, alpha < 0.65 * chars),
+        vote(marks < 0.06 * chars, marks > 0.1 * chars),
+        vote(alpha > 0.93 * chars, alpha < 0.9 * chars),
         vote(upper < 0.15 * max(1, alpha), upper > 0.4 * max(1, alpha)),
         vote(len(lines) > 2 and len(set(lines)) > 0.9 * len(lines), len(lines) > 4 and len(set(lines)) < 0.6 * len(lines)),
         vote(n > 60 and len(set(words)) > 0.35 * n, n > 60 and len(set(words)) < 0.2 * n),

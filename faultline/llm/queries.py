@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import jaccard, language, mixing, pieces, quality, repeats, shards, toxicity
+from faultline.llm import jaccard, language, mixing, pieces, quality, repeats, shards, topk, toxicity
 from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
@@ -57,3 +57,8 @@ def op9_quality(spark, sf):
 def op10_language(spark, sf):
     found = language.languages(table(spark, sf, "documents"))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@C.add("op4_exact_topk")
+def op4_exact_topk(spark, sf):
+    return topk.top_products(table(spark, sf, "embeddings"))
