@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,9 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds what Python has let go of, the second what the driver then let go of
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return out
 
 

@@ -42,7 +42,7 @@ BEFORE = STARTS - 1
 CONTEXT = BEFORE + WIDTH
 HOT = 2048
 SHARD = 1 << 15
-PIECE = 1 << 21
+PIECE = 1 << 19
 TAG = 40  # bits of a position; 16 bits of the text's hash stand above it
 MISSING = 256
 
@@ -63,7 +63,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
+    size = 1 << max(20, (n - 1).bit_length())
     if size not in _powers:
         _powers.clear()
         with np.errstate(over="ignore"):
@@ -144,24 +144,28 @@ def anchor_rows(texts: DataFrame, whole: bool) -> DataFrame:
 
 
 def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, context, doc, before (bytes left of the anchor), bytes for wanted rows gram, context, doc, place."""
+    """gram, context, doc, hot, before (bytes left of the anchor), bytes for wanted rows gram, context, doc, place, hot."""
     lists = wanted.withColumn("tag", F.shiftright("place", TAG)).groupBy("doc", "tag").agg(
         F.collect_list("gram").alias("grams"), F.collect_list("context").alias("contexts"),
-        F.collect_list(F.col("place").bitwiseAND((1 << TAG) - 1)).alias("places"))
+        F.collect_list("hot").alias("hots"), F.collect_list(F.col("place").bitwiseAND((1 << TAG) - 1)).alias("places"))
+    columns = ["gram", "context", "doc", "hot", "before", "bytes"]
 
     def run(batches):
         for pdf in batches:
             out = []
-            for doc, text, grams, contexts, places in zip(
-                    pdf["doc"], pdf["text"], pdf["grams"], pdf["contexts"], pdf["places"], strict=True):
+            for doc, text, grams, contexts, hots, places in pdf.itertuples(index=False):
                 raw = encoded(text)
-                for g, c, p in zip(grams.tolist(), contexts.tolist(), places.tolist(), strict=True):
+                for g, c, h, p in zip(grams, contexts, hots, places, strict=True):
                     start = max(0, p - BEFORE)
-                    out.append((g, c, doc, p - start, raw[start:p + WIDTH]))
-            yield pd.DataFrame(out, columns=["gram", "context", "doc", "before", "bytes"])
+                    out.append((g, c, doc, h, p - start, raw[start:p + WIDTH]))
+                    if len(out) == SHARD:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
-    return texts.join(lists, ["doc", "tag"]).select("doc", "text", "grams", "contexts", "places").mapInPandas(
-        run, "gram long, context long, doc long, before int, bytes binary")
+    both = texts.join(lists, ["doc", "tag"]).select("doc", "text", "grams", "contexts", "hots", "places")
+    return both.mapInPandas(run, "gram long, context long, doc long, hot boolean, before int, bytes binary")
 
 
 def between(lcp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -289,14 +293,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
     firsts = keep(firsts, "contexts")
     kinds = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = firsts.join(kinds, "gram")
-    found = context_bytes(texts, wanted).join(kinds, "gram")
-    found = keep(found, "context-bytes")
-    masks = sorted_shards(found.where(F.col("kinds") <= HOT).drop("kinds")).unionByName(
-        hot_windows(found.where(F.col("kinds") > HOT).drop("kinds")))
+    wanted = firsts.join(kinds, "gram").withColumn("hot", F.col("kinds") > HOT).drop("kinds")
+    found = keep(context_bytes(texts, wanted), "context-bytes")
+    masks = sorted_shards(found.where("not hot")).unionByName(hot_windows(found.where("hot")))
     answers = keep(firsts.select("gram", "context", F.col("doc").alias("least")).join(
         masks, ["gram", "context"], "left"), "answers")
     every = F.lit((1 << STARTS) - 1)
+    drop_kept(found, firsts)
     lost = members.join(answers, ["gram", "context"]).select(
         "doc", "place", F.when(F.col("doc") > F.col("least"), every).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"))
     lost = lost.where("mask != 0").withColumn("tag", F.shiftright("place", TAG))
