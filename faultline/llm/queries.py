@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import jaccard, language, mixing, pieces, quality, repeats, shards, topk, toxicity
+from faultline.llm import jaccard, language, mixing, neighbours, pieces, quality, repeats, shards, topk, toxicity
 from faultline.llm.common import held_out, table
 from faultline.plans.registry import Catalog
 
@@ -62,3 +62,8 @@ def op10_language(spark, sf):
 @C.add("op4_exact_topk")
 def op4_exact_topk(spark, sf):
     return topk.top_products(table(spark, sf, "embeddings"))
+
+
+@C.add("op6_embedding_dedup")
+def op6_embedding_dedup(spark, sf):
+    return neighbours.near_duplicates(table(spark, sf, "embeddings"))
