@@ -301,9 +301,8 @@ def search_terms(question: Column) -> Column:
 
 def keyword_variant(question: Column) -> Column:
     words = F.regexp_extract_all(question, F.lit(r"[a-zA-Z0-9_./-]+"), F.lit(0))
-    stop = [F.lit(w) for w in V.QUESTION_STOPWORDS]
     kept = F.filter(words, lambda w: ~F.lower(w).isin(V.QUESTION_STOPWORDS) & (F.length(w) > 1))
-    return F.array_join(kept, " ") if stop else F.lit("")
+    return F.array_join(kept, " ")
 
 
 def synonym_variant(question: Column) -> Column:

@@ -364,14 +364,6 @@ CONVERSATIONAL = [
     r"^what\s+can\s+you\s+do",
     r"^(f+u+c+k+|sh+i+t+|damn|wtf|stfu|shut\s+up)",
 ]
-WEAK_PROJECT = [
-    r"what\s+(is|does|caused|happened|triggers?|calls?)",
-    r"where\s+(is|are|does|did|can)",
-    r"show\s+me|find|search|look\s+(for|at|up)",
-    r"explain|describe|summarize|analyse|analyze",
-    r"how\s+(does|do|to|is|did)",
-    r"why\s+(does|do|is|did|was)",
-]
 ROUTE_KEYWORDS = (
     "error exception stack log trace function module file service crash dependency architecture bug issue "
     "timeout latency slow oom memory leak null undefined segfault panic deadlock deploy docker container "

@@ -44,7 +44,7 @@ def _severity_rank(c: Column) -> Column:
     return T.lookup(c, V.SEVERITY_ORDER, 0)
 
 
-PLACE_BITS = 1 << 20
+PLACE_BITS = 1 << 31  # a place in an entry is an int, so it always fits
 
 
 def _place(ord_: Column, idx: Column) -> Column:
@@ -52,8 +52,7 @@ def _place(ord_: Column, idx: Column) -> Column:
 
     Numbers keep the aggregate hashed; a struct or text buffer would make every task sort its facts.
     """
-    inside = F.least(idx.cast("int"), F.lit(PLACE_BITS - 1))
-    return (ord_.cast("decimal(20,0)") * F.lit(PLACE_BITS) + inside).cast("decimal(38,0)")
+    return (ord_.cast("decimal(20,0)") * F.lit(PLACE_BITS) + idx.cast("int")).cast("decimal(38,0)")
 
 
 def _entry_of(place: str) -> Column:

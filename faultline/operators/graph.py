@@ -297,7 +297,7 @@ def architecture_totals(paths: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def architecture_report(paths: DataFrame, units: DataFrame, project: str = "Unknown Project") -> DataFrame:
-    """One text per namespace; every list in it has a fixed upper length."""
+    """One text per namespace. Entry points are listed in full; the other lists have a fixed upper length."""
     def block(title: str, rows: DataFrame, order: str, line: Column, end: str = "\n") -> DataFrame:
         lines = rows.select(NS, F.col(order).alias("o"), line.alias("l"))
         return lines.groupBy(NS).agg(F.concat(F.lit(f"### {title}\n"), F.array_join(F.transform(
@@ -324,7 +324,7 @@ def architecture_report(paths: DataFrame, units: DataFrame, project: str = "Unkn
     blocks = [
         block("Languages", langs, "rank", F.concat(F.lit("  - "), F.col("language"), F.lit(": "), s("files"), F.lit(" file(s)"))),
         overview,
-        block("Entry Points", firsts(entry_points(paths), 50), "rank", dash),
+        block("Entry Points", entry_points(paths), "path", dash),
         block("Modules / Services", modules(paths, units), "rank", module_line),
         block("Core Dependencies (most imported)", core_deps(units, 10), "rank", F.concat(F.lit("  - "), F.col("name"))),
         block("Configuration Files", firsts(config_files(paths), 15), "rank", dash),

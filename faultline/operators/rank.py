@@ -232,7 +232,7 @@ def budget_context(sections: DataFrame, limit: int = 8000) -> DataFrame:
 
     kept = F.aggregate(rows, start, step)["kept"]
     return sections.groupBy(Q).agg(
-        F.concat(F.lit("\n\n" + SEPARATOR + "\n\n"), F.array_join(kept, "\n\n")).alias("context"),
+        F.concat(F.lit("\n\n" + SEPARATOR), F.array_join(kept, "\n\n")).alias("context"),
         F.size(kept).alias("sections"))
 
 

@@ -403,7 +403,7 @@ _NAMES = "CASE WHEN function_name <> '' THEN '  function: ' || function_name ELS
 # Two sections of eight short rows always fit, so the check states their whole text; the walk itself
 # is checked by B6_budget_conversations.
 @C.add("B6_budget_context", O.sql(_RANKED + f", ls AS ({_section_sql('=', 'L', 'Log Evidence', chr(39) * 2)}), co AS ({_section_sql('<>', 'C', 'Code Evidence', _NAMES)})", """
-SELECT query_id, chr(10) || chr(10) || repeat('═', 60) || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), ls.t, co.t) AS context,
+SELECT query_id, chr(10) || chr(10) || repeat('═', 60) || concat_ws(chr(10) || chr(10), ls.t, co.t) AS context,
   CAST((ls.t IS NOT NULL)::INTEGER + (co.t IS NOT NULL)::INTEGER AS INTEGER) AS sections FROM ls FULL JOIN co USING (query_id)"""))
 def budget_context(spark, sf):
     logs, code = R.split_evidence(R_cut(_ranked(spark, sf)))
@@ -422,7 +422,7 @@ w AS (
     CASE WHEN used + length(text) <= 600 THEN list_append(kept, text) WHEN 600 - used > 200 THEN list_append(kept, substring(text, 1, 600 - used - 50) || chr(10) || chr(10) || '[...context truncated for safety]') ELSE kept END,
     CASE WHEN used + length(text) <= 600 THEN used + length(text) WHEN 600 - used > 200 THEN used + least(length(text), 600 - used - 50) + 34 ELSE used END
   FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1)
-SELECT conv_id AS query_id, chr(10) || chr(10) || repeat('═', 60) || chr(10) || chr(10) || array_to_string(arg_max(kept, i), chr(10) || chr(10)) AS context, len(arg_max(kept, i)) AS sections
+SELECT conv_id AS query_id, chr(10) || chr(10) || repeat('═', 60) || array_to_string(arg_max(kept, i), chr(10) || chr(10)) AS context, len(arg_max(kept, i)) AS sections
 FROM w GROUP BY conv_id""")
 def budget_conversations(spark, sf):
     c = views.table(spark, sf, "conversations")
