@@ -203,7 +203,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
 
 
 def prefixes(reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """gram, doc, n, df: the prefix of every representative in the order with common grams last, where df > 1."""
+    """gram, doc, n: the prefix of every representative in the order with common grams last, without grams of one set."""
     entries = reps.where(F.size("first") > 0).select("doc", "n", F.posexplode("first").alias("pos", "gram"))
     df = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     hits = keep(entries.join(df, "gram"), "grams")
@@ -212,12 +212,13 @@ def prefixes(reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     held = F.least(F.col("n"), p + F.floor(p / 4) + 8)
     # Common grams before a member push it forward by one place each.
     shifts = hits.where(common).groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("commons"))
-    placed = hits.where(~common).join(shifts, "doc", "left").withColumn(
-        "place", F.col("pos") - F.coalesce(F.size(F.filter("commons", lambda c: c < F.col("pos"))), F.lit(0)))
+
+    def within(rows: DataFrame) -> DataFrame:
+        place = F.col("pos") - F.coalesce(F.size(F.filter("commons", lambda c: c < F.col("pos"))), F.lit(0))
+        return rows.join(shifts, "doc", "left").where(place < p).select("gram", "doc", "n")
+
     dense = hits.groupBy("doc", "n").agg(F.sum(common.cast("long")).alias("c")).where(held - F.col("c") < p)
     dense = keep(dense.join(reps.select("doc", "digest"), "doc").select("doc", "n", "digest"), "dense")
-    placed = placed.where((F.col("place") < p)).join(dense.select("doc"), "doc", "left_anti").select(
-        "gram", "doc", "n", "df")
     # Sets that hold too many common grams: all their members in the new order.
     counts = keep(df.where(common).select("gram", "df"), "common")
     whole = join_small(texts, dense, ["doc"])
@@ -229,8 +230,10 @@ def prefixes(reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
         nth = F.row_number().over(Window.partitionBy("doc").orderBy("df", "gram"))
         anew = ordered.withColumn("place", nth - 1).where(F.col("place") < p).select("gram", "doc", "n", "df")
     anew = keep(anew, "anew")
-    rare = anew.where("df = 0").drop("df").join(df, "gram").select("gram", "doc", "n", "df")
-    return placed.unionByName(anew.where("df > 0")).unionByName(rare)
+    # A gram that only one set shows among its first members may stand in the new prefix of a set with common grams.
+    new = keep(anew.where("df = 0").select("gram").distinct().join(df, "gram", "left_anti"), "new-grams")
+    placed = within(hits.where(~common)).unionByName(within(join_small(entries, new, ["gram"]).select("doc", "n", "pos", "gram")))
+    return placed.join(dense.select("doc"), "doc", "left_anti").unionByName(anew.select("gram", "doc", "n"))
 
 
 def reordered(texts: DataFrame, counts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -333,8 +336,8 @@ def round_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: Da
 
 
 def family_pairs(entries: DataFrame, common: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of sets from different components that share enough prefix grams, for sets with common grams in their
-    prefix. Sets that common grams connect are a family; its prefixes meet block by block, so a family of m sets costs
+    """a, b: pairs of sets from different components that share enough prefix grams, for sets with a prefix gram that
+    more than COMMON sets have there. Sets that such grams connect are a family; its prefixes meet block by block, so a family of m sets costs
     m / BLOCK copies of each prefix, and the pairs themselves never become rows before they pass the bound."""
     hubs = common.groupBy("gram").agg(F.min("doc").alias("hub"))
     chained = components(common.join(hubs, "gram").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
@@ -379,16 +382,17 @@ def rest_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: Dat
                den: int) -> DataFrame:
     """a, b: links among sets that share enough prefix grams and are still in different components."""
     open_ = entries.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    split = open_.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = keep(open_.join(split.select("gram"), "gram").select("gram", "doc", "n", "root", "df"), "open")
-    rare = open_.where(F.col("df") <= COMMON).drop("df")
+    split = open_.groupBy("gram").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets")).where("lo < hi")
+    open_ = keep(open_.join(split, "gram").select("gram", "doc", "n", "root", "sets"), "open")
+    rare = open_.where(F.col("sets") <= COMMON).drop("sets")
     other = rare.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
     pairs = rare.withColumnRenamed("doc", "a").join(other, "gram").where(
         (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
         & (num * F.greatest("n", "nb") <= den * F.least("n", "nb")))
     pairs = pairs.groupBy("a", "b", "n", "nb").agg(F.count(F.lit(1)).alias("shared")).where(
         shared_enough("n", "nb", "shared", num, den)).select("a", "b")
-    dense = family_pairs(entries, open_.where(F.col("df") > COMMON), roots, num, den)
+    dense = family_pairs(entries, open_.where(F.col("sets") > COMMON), roots, num, den)
     pairs = keep(pairs.unionByName(dense).distinct(), "bounded")
     sets = full_sets(pairs.select("a").union(pairs.select("b")), reps, texts, n)
 

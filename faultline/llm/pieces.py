@@ -188,7 +188,8 @@ def word_counts(docs: DataFrame, text_col: str, pieces: Pieces) -> DataFrame:
                 if len(counts) > FLUSH:
                     yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
                     counts.clear()
-        yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
 
     rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
