@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import SMALL, join_small, keep, spread_seed
+from faultline.llm.common import SMALL, drop_kept, join_small, keep, spread_seed
 from faultline.llm.graph import components
 
 COMMON = 64
@@ -233,7 +233,9 @@ def prefixes(reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     # A gram that only one set shows among its first members may stand in the new prefix of a set with common grams.
     new = keep(anew.where("df = 0").select("gram").distinct().join(df, "gram", "left_anti"), "new-grams")
     placed = within(hits.where(~common)).unionByName(within(join_small(entries, new, ["gram"]).select("doc", "n", "pos", "gram")))
-    return placed.join(dense.select("doc"), "doc", "left_anti").unionByName(anew.select("gram", "doc", "n"))
+    out = keep(placed.join(dense.select("doc"), "doc", "left_anti").unionByName(anew.select("gram", "doc", "n")), "prefixes")
+    drop_kept(hits, anew)
+    return out
 
 
 def reordered(texts: DataFrame, counts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -413,11 +415,13 @@ def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     known = all_.where("n > 0 and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.min(F.struct("digest", "n", "first")).alias("s")).select("doc_id", "s.*")
     known = keep(known, "known")
+    sizes, ids = keep(all_.select("doc_id", "n"), "sizes"), keep(known.select("doc_id", "digest"), "ids")
     classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("doc")), "classes")
     reps = keep(known.join(classes.select("doc"), F.col("doc_id") == F.col("doc")).select(
         "doc", "n", "first", "digest"), "reps")
+    drop_kept(all_, known)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    entries = keep(prefixes(reps, texts, n, num, den), "prefixes")
+    entries = prefixes(reps, texts, n, num, den)
     links, roots = None, None
     for turn in range(ROUNDS):
         found = keep(round_links(entries, reps, texts, roots, turn, n, num, den), "found")
@@ -430,7 +434,7 @@ def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     rest = keep(rest_links(entries, reps, texts, roots, n, num, den), "rest")
     links = rest if links is None else links.unionByName(rest)
     # Copies of a set, and equal ids with several sets, are links as well.
-    same_set = known.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    same_set = ids.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     final = components(links.unionByName(same_set)).select(F.col("node").alias("doc_id"), "root")
-    return all_.select("doc_id", "n").join(final, "doc_id", "left").select(
+    return sizes.join(final, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

@@ -96,7 +96,7 @@ SCALE = 50.0  # shares are small numbers; the penalties are set for features of
 
 
 def with_bias(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.append(rows, BUCKETS), np.append(x * SCALE, 1.0)
+    return np.append(rows, BUCKETS).astype(np.int32), np.append(x * SCALE, 1.0).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, order: np.ndarray, idf: np.ndarray, classes: int) -> tuple[np.ndarray, float]:
