@@ -303,8 +303,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lost = members.join(answers, ["gram", "context"]).select(
         "doc", "place", F.when(F.col("doc") > F.col("least"), every).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"))
     lost = lost.where("mask != 0").withColumn("tag", F.shiftright("place", TAG))
-    return lost.groupBy("doc", "tag").agg(
-        F.collect_list(F.col("place").bitwiseAND((1 << TAG) - 1)).alias("places"), F.collect_list("mask").alias("masks"))
+    lost = keep(lost.groupBy("doc", "tag").agg(
+        F.collect_list(F.col("place").bitwiseAND((1 << TAG) - 1)).alias("places"), F.collect_list("mask").alias("masks")), "lost")
+    drop_kept(members, answers)
+    return lost
 
 
 def tagged_columns(id_col: str, text_col: str) -> dict[str, Column]:
@@ -320,7 +322,7 @@ def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), spans (start, end of removed runs) for every row, and ``carry``."""
-    lost = keep(find_repeats(docs, id_col, text_col), "lost")
+    lost = find_repeats(docs, id_col, text_col)
     carry = carry or []
     extra = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
     rows = docs.select(*extra, *[tagged_columns(id_col, text_col)[k].alias(k) for k in ("doc", "tag", "text")])
