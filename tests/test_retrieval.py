@@ -67,7 +67,7 @@ def test_budget_equals_model(spark):
         rows += [(q, i, p) for i, p in enumerate(parts)]
     df = spark.createDataFrame(rows, "query_id long, ordinal int, section string")
     for r in rank.budget_context(df, 1000).collect():
-        assert r.context == "\n\n" + "═" * 60 + "\n\n" + "\n\n".join(want[r.query_id])
+        assert r.context == "\n\n" + "═" * 60 + "\n\n".join(want[r.query_id])
 
 
 def test_boosts_and_labels(spark):
