@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -29,11 +30,22 @@ ROUNDS = 200
 EPOCHS = 3
 RATE = 0.5
 
-LETTER = re.compile(r"[^\W\d_]")
 MARKS = re.compile(r"[^\w\s]")
 RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
 
+_kinds: list[np.ndarray] = []
+
+
+def character_kinds() -> np.ndarray:
+    """Per code point: 1 letter, 2 upper case, 4 neither letter, digit, underscore nor white space."""
+    if not _kinds:
+        _kinds.append(np.fromiter((
+            (c.isalpha()) + 2 * c.isupper() + 4 * (not (c.isalnum() or c == "_" or c.isspace()))
+            for c in map(chr, range(0x110000))), np.uint8, 0x110000))
+    return _kinds[0]
+
+
 def vote(good: bool, poor: bool) -> int:
     return 0 if poor else 1 if good else -1
 
@@ -45,11 +57,11 @@ def answers(text: str | None) -> list[int] | None:
         return None
     n, chars = len(words), sum(map(len, words))
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    alpha = len(LETTER.findall(text))
-    upper = sum(1 for c in text if c.isupper())
-    marks = len(MARKS.findall(text))
-    bare = sum(1 for w in words if not any(c.isalnum() for c in w))
-    solid = sum(1 for w in words if len(MARKS.findall(w)) <= 1)
+    kinds = character_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    alpha, upper, marks = (int(np.count_nonzero(kinds & bit)) for bit in (1, 2, 4))
+    flags = Counter(words)
+    bare = sum(k for w, k in flags.items() if not any(map(str.isalnum, w)))
+    solid = sum(k for w, k in flags.items() if w.isalnum() or len(MARKS.findall(w)) <= 1)
     return [
         vote(40 <= n <= 20000, n < 8),
         vote(marks < 0.06 * chars, marks > 0.1 * chars),
