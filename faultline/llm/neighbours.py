@@ -3,9 +3,10 @@
 Equal vectors are one node with a weight. Every node keeps a list of its nearest known nodes. Lists start from ``TABLES`` random
 hyperplane tables (nodes of one bucket, in groups of bounded size) and are refined: the neighbours of a node, and
 nodes that have it as neighbour, meet each other, and every node keeps the best it has seen, until hardly any
-list changes. An audit compares a sample of nodes with all rows; while the share of their links that was found is below
-``RECALL``, lists are doubled, tables are added and the descent goes on. Links are exact: the cosine in double precision
-decides.
+list changes. An audit compares sampled nodes with all rows, separately outside and inside of the components that are
+completed in blocks, until ``AUDIT`` nodes with a link are found outside; while the mean share of a node's links that was
+found is below ``RECALL`` for either, lists are doubled, tables are added and the descent goes on. Links an audit finds are
+kept. Links are exact: the cosine in double precision decides.
 
 Saturated lists hold links only, so the node may have more. Their components (by the links known so far) are enlarged to
 completeness: all members of such a component meet in blocks and links are counted, without one row per pair. A dense
@@ -35,6 +36,9 @@ DESCENTS = 6
 SETTLED = 0.005
 RECALL = 0.95
 AUDIT = 256
+AUDIT_SEED = 1000
+ASKED = 4096  # nodes an audit compares with all rows in one pass
+CELLS = 1 << 21
 BLOCK = 1024
 LONGEST_LIST = 160
 
@@ -122,40 +126,80 @@ def descend(lists: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
     return shortened(lists.select("node", "other", "sim").unionByName(found.mapInPandas(meet, NEAR)), k)
 
 
-def audit(nodes: DataFrame, lists: DataFrame, threshold: float, n: int) -> float:
-    """Share of the links of a sample of nodes, found by comparing them with all rows, that the lists hold or that a
-    saturated list stands for."""
-    share = min(1.0, AUDIT / max(1, n))
-    asked = nodes.where(F.pmod(spread_seed("node", seed=8), F.lit(1 << 20)) < share * (1 << 20))
-    rows = asked.select("node", "v").collect()  # about AUDIT rows
-    known = nodes.sparkSession.sparkContext.broadcast([(r["node"], np.array(r["v"])) for r in rows])
+def true_links(nodes: DataFrame, asked: list, threshold: float) -> DataFrame:
+    """node, other: all links of the asked rows (node, v), by comparing them with all rows."""
+    known = nodes.sparkSession.sparkContext.broadcast([(r["node"], np.array(r["v"])) for r in asked])
 
     def compare(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
                 mine = [(i, v) for i, v in known.value if len(v) == dim]
-                if mine:
-                    s = cosines(np.stack([v for _, v in mine]), np.stack(part["v"].tolist()))
-                    i, j = np.nonzero(s >= threshold)
-                    ids = np.array([x for x, _ in mine])
-                    out = pd.DataFrame({"node": ids[i], "other": part["node"].to_numpy()[j]})
+                if not mine:
+                    continue
+                ids, m = np.array([i for i, _ in mine]), np.stack([v for _, v in mine])
+                step = max(1, CELLS // len(mine))
+                for at in range(0, len(part), step):
+                    rows = part.iloc[at:at + step]
+                    i, j = np.nonzero(cosines(m, np.stack(rows["v"].tolist())) >= threshold)
+                    out = pd.DataFrame({"node": ids[i], "other": rows["node"].to_numpy()[j]})
                     yield out[out["node"] != out["other"]]
 
-    true = keep(nodes.select("node", "v").mapInPandas(compare, "node long, other long"), "audit")
-    total = true.count()
-    if not total:
-        return 1.0
+    return nodes.select("node", "v").mapInPandas(compare, "node long, other long")
+
+
+def audit(nodes: DataFrame, lists: DataFrame, bridges: DataFrame | None, threshold: float, n: int,
+          turn: int = 0) -> tuple[float, float, DataFrame]:
+    """Recall outside and inside of dense components, and the missed links as (node, other).
+
+    Recall is the mean share of a sampled node's links that is held, over sampled nodes that have a link. Nodes outside are
+    asked until ``AUDIT`` of them have a link or none is left: then all their links are known, with the missed ones added.
+    Inside, a component with a saturated list is compared completely later: what it reaches counts as found.
+    """
     links = lists.where(F.col("sim") >= threshold).select("node", "other")
-    both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    # Within a component with a saturated list everything is compared later: what it reaches counts as found.
-    roots = components(links, "node", "other").withColumnRenamed("node", "x")
-    dense = saturated(lists, threshold).join(roots.withColumnRenamed("x", "node"), "node").select("root").distinct()
-    left = true.join(both, ["node", "other"], "left_anti")
-    left = left.join(roots.select(F.col("x").alias("node"), F.col("root").alias("ra")), "node", "left").join(
-        roots.select(F.col("x").alias("other"), F.col("root").alias("rb")), "other", "left")
-    missed = left.join(dense.withColumn("d", F.lit(1)), F.col("ra") == F.col("root"), "left").where(
-        "not coalesce(ra = rb and d = 1, false)").count()
-    return 1 - missed / total
+    if bridges is not None:
+        links = links.unionByName(bridges)
+    both = keep(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(),
+                "audit-links")
+    roots = components(both, "node", "other")
+    members = keep(roots.join(saturated(lists, threshold).join(roots, "node").select("root").distinct(), "root", "left_semi"),
+                   "audit-dense")
+    inside = members.count()
+    spread = F.pmod(spread_seed("node", seed=AUDIT_SEED + turn), F.lit(1 << 30))
+    held = both.withColumn("held", F.lit(1))
+    found = []
+
+    def ask(asked: DataFrame, within: DataFrame | None) -> tuple[np.ndarray, int]:
+        rows = asked.collect()
+        true = keep(true_links(nodes, rows, threshold), "audit")
+        seen = true.join(held, ["node", "other"], "left")
+        if within is not None:
+            seen = seen.join(within.withColumnRenamed("root", "ra"), "node", "left").join(
+                within.select(F.col("node").alias("other"), F.col("root").alias("rb")), "other", "left")
+            seen = seen.withColumn("held", F.when(F.col("ra") == F.col("rb"), 1).otherwise(F.col("held"))).drop("ra", "rb")
+        found.append(keep(seen.where("held is null").select("node", "other"), "audit-missed"))
+        per_node = seen.groupBy("node").agg(F.avg(F.coalesce("held", F.lit(0))).alias("share")).toPandas()
+        drop_kept(true)
+        return per_node["share"].to_numpy(float), len(rows)
+
+    in_shares = np.empty(0)
+    if inside:
+        some = members.orderBy(spread, "node").limit(AUDIT).select("node")
+        in_shares, _ = ask(nodes.select("node", "v").join(F.broadcast(some), "node"), members)
+    shares, low, asked, want = np.empty(0), 0, 0, AUDIT
+    while n > inside and low < 1 << 30 and len(shares) < AUDIT:
+        high = min(1 << 30, low + max(1, int((1 << 30) * want / (n - inside))))
+        part = nodes.where((spread >= low) & (spread < high)).select("node", "v").join(members.select("node"), "node", "left_anti")
+        more, size = ask(part, None)
+        shares, low, asked = np.concatenate([shares, more]), high, asked + size
+        rate = max(len(shares), 1) / max(asked, 1)
+        want = min(ASKED, max(2 * want, int((AUDIT - len(shares)) / rate)))
+    missed = found[0] if found else both.limit(0)
+    for more in found[1:]:
+        missed = missed.unionByName(more)
+    missed = keep(missed.distinct(), "bridges")
+    drop_kept(*found, both, members)
+    outside = 1.0 if low >= 1 << 30 or not len(shares) else float(shares.mean())
+    return outside, float(in_shares.mean()) if len(in_shares) else 1.0, missed
 
 
 def saturated(lists: DataFrame, threshold: float) -> DataFrame:
@@ -163,11 +207,12 @@ def saturated(lists: DataFrame, threshold: float) -> DataFrame:
     return full.where((F.col("least") >= threshold) & (F.col("n") >= F.col("k"))).select("node")
 
 
-def neighbour_lists(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
-    """node, other, sim, k: lists whose audited recall of links is at least RECALL."""
+def neighbour_lists(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(node, other, sim, k) and (node, other): lists whose audited recall of links is at least RECALL outside of dense
+    components and inside, and further links that audits have found."""
     bits = max(1, int(np.ceil(np.log2(max(2, n) / BUCKET))))
     k, done = LIST, 0
-    lists = None
+    lists = bridges = None
     while True:
         pairs = table_pairs(nodes, done, done + TABLES, bits, k)
         done += TABLES
@@ -181,8 +226,12 @@ def neighbour_lists(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
             if new <= SETTLED * k * n:
                 break
         lists = lists.withColumn("k", F.lit(k))
-        if k >= LONGEST_LIST or audit(nodes, lists, threshold, n) >= RECALL:
-            return lists
+        if k >= LONGEST_LIST:
+            return lists, bridges if bridges is not None else lists.select("node", "other").limit(0)
+        outside, inside, missed = audit(nodes, lists, bridges, threshold, n, done)
+        bridges = missed if bridges is None else keep(bridges.unionByName(missed).distinct(), "bridges")
+        if min(outside, inside) >= RECALL:
+            return lists, bridges
         k *= 2
 
 
@@ -225,8 +274,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
 
     nodes = keep(classes.select("node", "weight", "v").mapInPandas(scaled, "node long, weight long, v array<double>"), "nodes")
     n = nodes.count()
-    lists = neighbour_lists(nodes, threshold, n)
-    linked = lists.where(F.col("sim") >= threshold).select("node", "other")
+    lists, bridges = neighbour_lists(nodes, threshold, n)
+    linked = lists.where(F.col("sim") >= threshold).select("node", "other").unionByName(bridges)
     links = keep(linked.unionByName(linked.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(),
                  "near-links")
     roots = keep(components(links, "node", "other"), "near-roots")

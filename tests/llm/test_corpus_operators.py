@@ -236,6 +236,34 @@ def test_near_vectors(spark):
     assert neighbours.near_duplicates(e.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    """One group of 500 near copies, 150 pairs of cosine 0.90 to 0.93 and 700 others."""
+    rng = np.random.default_rng(11)
+
+    def unit(m):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    group = unit(unit(rng.standard_normal((1, 64))) + 0.02 * rng.standard_normal((500, 64)))
+    left, noise = unit(rng.standard_normal((150, 64))), rng.standard_normal((150, 64))
+    noise = unit(noise - (noise * left).sum(axis=1, keepdims=True) * left)
+    c = rng.uniform(0.901, 0.93, (150, 1))
+    rows = np.concatenate([group, left, c * left + np.sqrt(1 - c * c) * noise, unit(rng.standard_normal((700, 64)))])
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+
+
+def pairs_found(frame):
+    got = {x["vec_id"]: x for x in neighbours.near_duplicates(frame).collect()}
+    assert all(got[i]["n_links"] == 499 for i in range(500))
+    return sum(got[500 + i]["component_id"] == got[650 + i]["component_id"] for i in range(150))
+
+
+def test_near_pairs_beside_a_large_group(lopsided, monkeypatch):
+    for name, value in (("TABLES", 2), ("BUCKET", 8), ("DESCENTS", 2), ("AUDIT", 100)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert pairs_found(lopsided) >= 0.9 * 150
+
+
 def test_hypergeometric_draws(spark):
     n, k, d = 60, 25, 20
     x = mixing.hypergeometric(*(F.lit(v).cast("long") for v in (n, k, d)), mixing.uniform(F.xxhash64("id")))
