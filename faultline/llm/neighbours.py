@@ -5,8 +5,8 @@ hyperplane tables (nodes of one bucket, in groups of bounded size) and are refin
 nodes that have it as neighbour, meet each other, and every node keeps the best it has seen, until hardly any
 list changes. An audit compares sampled nodes with all rows, separately outside and inside of the components that are
 completed in blocks, until ``AUDIT`` nodes with a link are found outside; while the mean share of a node's links that was
-found is below ``RECALL`` for either, lists are doubled, tables are added and the descent goes on. Links an audit finds are
-kept. Links are exact: the cosine in double precision decides.
+found is below ``RECALL`` for either, lists are doubled up to ``LONGEST_LIST``, tables are added and the descent goes on. No
+lists are returned below it: after ``MOST_TABLES`` tables an error gives the recall. Links an audit finds are kept. Links are exact: the cosine in double precision decides.
 
 Saturated lists hold links only, so the node may have more. Their components (by the links known so far) are enlarged to
 completeness: all members of such a component meet in blocks and links are counted, without one row per pair. A dense
@@ -41,6 +41,7 @@ ASKED = 4096  # nodes an audit compares with all rows in one pass
 CELLS = 1 << 21
 BLOCK = 1024
 LONGEST_LIST = 160
+MOST_TABLES = 512
 
 NEAR = "node long, other long, sim double"
 
@@ -218,6 +219,8 @@ def neighbour_lists(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFra
         done += TABLES
         old = lists
         lists = keep(shortened(pairs if old is None else pairs.unionByName(old.select("node", "other", "sim")), k), "lists")
+        if old is not None:
+            drop_kept(old)
         for turn in range(DESCENTS):
             before = lists
             lists = keep(descend(before, nodes, k, done + turn), "lists")
@@ -226,13 +229,14 @@ def neighbour_lists(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFra
             if new <= SETTLED * k * n:
                 break
         lists = lists.withColumn("k", F.lit(k))
-        if k >= LONGEST_LIST:
-            return lists, bridges if bridges is not None else lists.select("node", "other").limit(0)
         outside, inside, missed = audit(nodes, lists, bridges, threshold, n, done)
         bridges = missed if bridges is None else keep(bridges.unionByName(missed).distinct(), "bridges")
         if min(outside, inside) >= RECALL:
             return lists, bridges
-        k *= 2
+        if done >= MOST_TABLES:
+            raise RuntimeError(f"{done} hyperplane tables left the recall of links at {outside:.4f} outside and "
+                               f"{inside:.4f} inside of dense components, below {RECALL}")
+        k = min(2 * k, LONGEST_LIST)
 
 
 def dense_links(members: DataFrame, threshold: float) -> DataFrame:

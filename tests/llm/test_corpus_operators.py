@@ -264,6 +264,18 @@ def test_near_pairs_beside_a_large_group(lopsided, monkeypatch):
     assert pairs_found(lopsided) >= 0.9 * 150
 
 
+@pytest.mark.parametrize("most", [1, 512])
+def test_longest_lists_are_audited(lopsided, monkeypatch, most):
+    for name, value in (("TABLES", 1), ("BUCKET", 8), ("DESCENTS", 1), ("AUDIT", 30), ("LIST", 10), ("LONGEST_LIST", 10),
+                        ("MOST_TABLES", most)):
+        monkeypatch.setattr(neighbours, name, value, raising=name != "MOST_TABLES")
+    if most == 1:
+        with pytest.raises(RuntimeError, match="recall of links"):
+            neighbours.near_duplicates(lopsided)
+    else:
+        assert pairs_found(lopsided) >= 0.85 * 150
+
+
 def test_hypergeometric_draws(spark):
     n, k, d = 60, 25, 20
     x = mixing.hypergeometric(*(F.lit(v).cast("long") for v in (n, k, d)), mixing.uniform(F.xxhash64("id")))
