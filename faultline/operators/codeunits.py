@@ -63,13 +63,50 @@ def _above(lines: DataFrame) -> DataFrame:
 
 
 def unit_starts(lines: DataFrame) -> DataFrame:
-    """Definition lines: kind, name and the line's own columns (a line may open more than one unit)."""
+    """Definition lines: kind, name and the line's own columns (a line may open more than one unit).
+
+    A definition spread over several lines starts at its first line that is not blank.
+    """
     options = F.array(*[
         F.when(F.col("language").isin(langs) & F.col("text").rlike(pattern),
                F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", pattern, group).alias("name")))
         for langs, kind, pattern, group in V.UNIT_PATTERNS])
     hits = lines.withColumn("_u", F.explode(F.filter(options, lambda u: u.isNotNull())))
-    return hits.select("*", "_u.kind", "_u.name").drop("_u")
+    hits = hits.select("*", "_u.kind", "_u.name").drop("_u")
+    spread = lines.join(_spread_starts(lines), [*FILE, "line_no"])
+    return hits.unionByName(spread)
+
+
+def _spread_starts(lines: DataFrame) -> DataFrame:
+    """(file, line_no, kind, name) of definitions that the whole text of a file holds and none of their lines alone."""
+    mark = "\u0001"
+    item = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    whole = lines.groupBy(*FILE, "language").agg(item.alias("_l")).select(*FILE, "language", F.translate(
+        F.array_join(F.transform("_l", lambda x: x["text"]), "\n"), mark, "\u0002").alias("_t"))
+
+    def matches(kind: str, pattern: str, group: int) -> Column:
+        """Per match: the text from the match before to it, its own text and its name."""
+        p = "(?md)" + pattern
+        gaps = F.split(F.regexp_replace("_t", p, mark + "$0"), mark, -1)
+        found = F.regexp_extract_all("_t", F.lit(p), F.lit(0))
+        names = F.regexp_extract_all("_t", F.lit(p), F.lit(group))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"), F.transform(
+            found, lambda m, i: F.struct(
+                _newlines(F.get(gaps, i)).alias("gap"), m.alias("m"), F.get(names, i).alias("name"),
+                F.exists(F.split(m, "\n", -1), lambda x: x.rlike(pattern)).alias("alone"))).alias("found"))
+
+    options = F.array(*[F.when(F.col("language").isin(langs), matches(kind, pattern, group))
+                        for langs, kind, pattern, group in V.UNIT_PATTERNS])
+    each = whole.select(*FILE, F.explode(F.filter(options, lambda o: o.isNotNull())).alias("o"))
+    each = each.select(*FILE, "o.kind", "o.pattern", F.posexplode("o.found").alias("_i", "f"))
+    before = Window.partitionBy(*FILE, "pattern").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    blank = _newlines(F.regexp_extract("f.m", r"^\s*", 0))
+    each = each.withColumn("line_no", (F.sum("f.gap").over(before) + blank + 1).cast("bigint"))
+    return each.where(~F.col("f.alone")).select(*FILE, "line_no", "kind", "f.name")
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
 # ---- block ends -------------------------------------------------------------------------

@@ -54,6 +54,20 @@ def test_python_units(spark):
     assert module.imports == ["import os", "from a.b import c as d, e"] and module.text.startswith("import os") and "x = 1" in module.text
 
 
+SPREAD_C = "#include <x.h>\n\nstatic int\nadd(int a,\n    int b)\n{\n    return a + b;\n}\n\nint one(void) {\n    return 1;\n}\n\nint two(void)\n{\n    return 2;\n}\n"
+SPREAD_JS = "let z = 1;\nconst pick = (\n  a,\n  b\n) => {\n  return a;\n};\nconst id = (x) => x;\n"
+
+
+def test_definitions_over_several_lines(spark):
+    files_ = U.with_language(source(spark, {"a.c": SPREAD_C, "a.js": SPREAD_JS}))
+    lines = U.code_lines(files_)
+    got = {(r.source_file, r.line_no, r.kind, r.name) for r in U.unit_starts(lines).collect()}
+    assert got == {("a.c", 3, "function", "add"), ("a.c", 10, "function", "one"), ("a.c", 14, "function", "two"),
+                   ("a.js", 2, "arrow", "pick"), ("a.js", 8, "arrow", "id")}
+    units = {r.name: (r.start_line, r.end_line) for r in U.code_units(source(spark, {"a.c": SPREAD_C})).collect()}
+    assert units["add"] == (3, 8) and units["one"] == (10, 12) and units["two"] == (14, 17)
+
+
 def test_brace_ends_equal_scan(spark):
     rng = random.Random(11)
     named = {}
