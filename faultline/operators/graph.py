@@ -225,6 +225,16 @@ def structural_answers(units: DataFrame, lookups: DataFrame) -> DataFrame:
     return out
 
 
+def answer_subjects(units: DataFrame, lookups: DataFrame) -> DataFrame:
+    """(namespace, lookup, name, subject): the class as it is spelled, the file whose symbols are listed."""
+    asked = lookups.select(NS, "lookup", "name").distinct()
+    classes = methods_of(units, asked.where("lookup = 'methods'").select(NS, "name"))
+    classes = classes.select(NS, F.lit("methods").alias("lookup"), "name", F.col("class_name").alias("subject")).distinct()
+    files = symbols_in(units, asked.where("lookup = 'symbols'").select(NS, "name"))
+    files = files.groupBy(NS, F.lit("symbols").alias("lookup"), "name").agg(F.min("source_file").alias("subject"))
+    return classes.unionByName(files)
+
+
 # ---- architecture -----------------------------------------------------------------------
 
 

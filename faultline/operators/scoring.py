@@ -245,7 +245,8 @@ def reasoning_block(top: DataFrame, explained: DataFrame, alerts: DataFrame, tot
     g = g.join(explained, NS).join(alerts, NS, "left").join(totals.select(NS, "total_entries"), NS)
     deps = F.lit(None).cast("string")
     if dependencies is not None:
-        listed = first_n(dependencies, [NS], [F.col("dependency")], 10).groupBy(NS).agg(
+        by = "no" if "no" in dependencies.columns else "dependency"
+        listed = first_n(dependencies, [NS], [F.col(by)], 10).groupBy(NS).agg(
             ordered_list("rank", "dependency").alias("deps"))
         g = g.join(listed, NS, "left")
         deps = F.concat(F.lit("\n## Dependency Chain\n- "), F.array_join("deps", "\n- "))

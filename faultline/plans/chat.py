@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
 from faultline.functions import vocab as V
 from faultline.operators import questions as P
-from faultline.operators import rank as R
 from faultline.operators import scoring
-from faultline.plans import evidence as E
 from faultline.plans import oracle as O
 from faultline.plans import views
 from faultline.plans.registry import Catalog, big, joined, stamp
@@ -141,38 +138,3 @@ SELECT conv_id, turn, (length({_END}) > 60 AND NOT contains({O.lit(V.TERMINAL_CH
 def answer_flags(spark, sf):
     a = F.col("answer")
     return views.answers(spark, sf).select("conv_id", "turn", T.looks_truncated(a).alias("truncated"), T.too_short(a).alias("too_short"))
-
-
-# ---- the whole chain --------------------------------------------------------------------
-
-
-def _chain(spark, sf) -> E.Evidence:
-    return E.gather(E.log_and_code_chunks(spark, sf), views.questions(spark, sf), views.ref_time())
-
-
-@C.add("C11_evidence_chain")
-def evidence_chain(spark, sf) -> DataFrame:
-    return E.contexts(_chain(spark, sf))
-
-
-@C.add("C11_evidence_counts")
-def evidence_counts(spark, sf):
-    ev = _chain(spark, sf)
-    return ev.ranked.groupBy(Q).agg(
-        F.count_if(F.col("source_type") == "log").alias("logs"), F.count_if(F.col("source_type") != "log").alias("code"),
-        F.max("confidence").alias("best"))
-
-
-@C.add("C12_search_code")
-def search_code(spark, sf):
-    chunks = E.log_and_code_chunks(spark, sf)
-    asked = views.questions(spark, sf)
-    _, held = R.split_evidence(E.search_logs(chunks, asked, views.ref_time()))
-    return E.search_code(chunks, asked, held, views.ref_time()).select(Q, "chunk_id", "confidence", *big("rank"))
-
-
-@C.add("A4_retrieval_confidence")
-def retrieval_confidence(spark, sf):
-    asked = views.questions(spark, sf)
-    ranked = E.search_logs(E.log_and_code_chunks(spark, sf), asked, views.ref_time())
-    return scoring.retrieval_confidence(ranked, asked, views.ref_time())

@@ -23,7 +23,7 @@ def shared_tables(spark):
     from functools import cache
 
     from faultline.operators import incidents
-    from faultline.plans import code, evidence, logs, retrieval
+    from faultline.plans import chain, code, logs, retrieval
     from faultline.session import cut
 
     patch = pytest.MonkeyPatch()
@@ -35,9 +35,16 @@ def shared_tables(spark):
         plain = getattr(module, name)
         patch.setattr(module, name, cache(lambda s, sf, plain=plain: cut(plain(s, sf))))
     one = incidents.Incidents
-    patch.setattr(incidents, "Incidents", lambda log: made.setdefault("incidents", one(log)))
-    search = evidence.search_logs
-    patch.setattr(evidence, "search_logs", lambda *a, **k: made.setdefault("search", search(*a, **k)))
+
+    def incidents_of(log):
+        """One run per log: equal plans over equal files are the same log."""
+        key = log.semanticHash()
+        if key not in made:
+            made[key] = one(log)
+        return made[key]
+
+    patch.setattr(incidents, "Incidents", incidents_of)
+    patch.setattr(chain, "_evidence", cache(chain._evidence))
     yield
     patch.undo()
 
