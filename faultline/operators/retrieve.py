@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +14,11 @@ from pyspark.sql import functions as F
 from faultline.functions import text as T
 from faultline.functions import vocab as V
 from faultline.functions.groups import containment_pairs, first_n
+from faultline.operators.vectorindex import build_index, search_index
 from faultline.session import cut
 
 NS, Q = "namespace", "query_id"
 ORDER = ["source_file", "line_start", "chunk_id"]
-QUERY_SLICE_BYTES = 32 << 20
-QUERY_BLOCK = 512
 
 
 # ---- vectors ----------------------------------------------------------------------------
@@ -50,66 +48,9 @@ def embed_with(rows: DataFrame, model, text: str = "text", dims: int = 384) -> D
     return rows.mapInPandas(run, schema)
 
 
-def _k_best(old, dist: np.ndarray, ids: np.ndarray, k: int):
-    """Merge new distances (queries x rows) into the k best so far; equal distances go by id."""
-    out_d = np.full((len(dist), k), np.inf)
-    out_n = np.full((len(dist), k), "", dtype=object)
-    for i, row in enumerate(dist):
-        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-        d, n = row[near], ids[near]
-        if old is not None:
-            d, n = np.concatenate([old[0][i], d]), np.concatenate([old[1][i].astype(str), n])
-        order = np.lexsort((n, d))[:k]
-        out_d[i, : len(order)], out_n[i, : len(order)] = d[order], n[order]
-    return out_d, out_n
-
-
-def _nearest(chunks: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
-    """Per partition, the k nearest rows of each query of its namespace; blocks of one matrix product."""
-    by_ns = {
-        ns: (part[Q].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float64))
-        for ns, part in queries.groupby(NS)
-    } if len(queries) else {}
-    shared = chunks.sparkSession.sparkContext.broadcast(by_ns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            for ns, part in pdf.groupby(NS):
-                if ns not in shared.value:
-                    continue
-                vectors = np.stack(part["embedding"].to_numpy()).astype(np.float64).T
-                ids = part["chunk_id"].to_numpy(dtype=str)
-                asked = shared.value[ns][1]
-                for lo in range(0, len(asked), QUERY_BLOCK):
-                    dist = np.round(1.0 - asked[lo: lo + QUERY_BLOCK] @ vectors, 9)
-                    best[ns, lo] = _k_best(best.get((ns, lo)), dist, ids, k)
-        for (ns, lo), (dist, names) in best.items():
-            found = np.isfinite(dist)
-            asked = np.repeat(shared.value[ns][0][lo: lo + QUERY_BLOCK], dist.shape[1]).reshape(dist.shape)
-            yield pd.DataFrame({Q: asked[found], "chunk_id": names[found], "distance": dist[found]})
-
-    slim = chunks.select(NS, F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
-    return slim.mapInPandas(run, f"{Q} bigint, chunk_id string, distance double")
-
-
-def knn(chunks: DataFrame, queries: DataFrame, k: int = 8, slice_bytes: int = QUERY_SLICE_BYTES) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): the k nearest chunks of each query in its namespace, exact.
-
-    The queries are counted first. Up to ``slice_bytes`` of query vectors go to the tasks at a time;
-    more queries are served slice by slice (by hash of the id), so no broadcast outgrows the limit.
-    Each task hands on at most k rows per query.
-    """
-    seen = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    slices = max(1, math.ceil(seen["n"] * (seen["d"] or 1) * 8 / slice_bytes))
-    parts = None
-    for i in range(slices):
-        mine = queries if slices == 1 else queries.where(F.pmod(F.xxhash64(Q), F.lit(slices)) == i)
-        part = _nearest(chunks, mine.select(Q, NS, "embedding").toPandas(), k)
-        if slices > 1:
-            part = cut(part, "nearest")  # one job per slice, not one plan with all of them
-        parts = part if parts is None else parts.unionByName(part)
-    return first_n(parts, [Q], [F.col("distance"), F.col("chunk_id")], k)
+def knn(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, chunk_id, distance, rank): the k nearest chunks of each query in its namespace, exact."""
+    return search_index(build_index(chunks), queries, k)[0]
 
 
 # ---- keyword and severity search --------------------------------------------------------

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import models
-from faultline.operators import linking, rank, retrieve
+from faultline.operators import linking, rank, retrieve, vectorindex
 from faultline.operators import questions as P
 from faultline.functions.groups import containment_pairs
 
@@ -14,22 +15,51 @@ def ref():
     return F.lit("2024-01-30 23:00:00").cast("timestamp")
 
 
-def test_knn_in_slices_equals_brute_force(spark):
+def brute_force(rows, queries, k):
+    """{query: [(distance, chunk_id)]} over rows (namespace, chunk_id, vector)."""
+    def apart(a, b):
+        return round(1 - float(np.asarray(a, np.float32).astype(np.float64) @ np.asarray(b, np.float32).astype(np.float64)), 9)
+
+    return {q: sorted((apart(v, x), c) for ns, c, x in rows if ns == asked)[:k] for q, asked, v in queries}
+
+
+def found(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: r["rank"]):
+        out.setdefault(r["query_id"], []).append((r["distance"], r["chunk_id"]))
+    return out
+
+
+CHUNK, ASKED = "namespace string, chunk_id string, embedding array<float>", "query_id long, namespace string, embedding array<float>"
+
+
+@pytest.mark.parametrize(("cell", "block"), [(512, 4096), (20, 8), (3, 1000)])
+def test_index_equals_brute_force(spark, cell, block):
+    """Random vectors of any length, clusters, equal vectors and a namespace with most rows."""
     rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(300, 8)).astype(np.float32)
+    vectors = rng.normal(size=(300, 8)) * rng.uniform(0, 3, size=(300, 1))
+    vectors[100:200] = vectors[100] + rng.normal(size=(100, 8)) * 0.01
+    vectors[200:240] = vectors[200]  # equal distances go by id
+    vectors[250] = 0
+    rows = [("hot" if i % 7 else "cold", f"c{i:04d}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    queries = [(i, rows[i][0], rows[i][2]) for i in range(0, 300, 5)]
+    index = vectorindex.build_index(spark.createDataFrame(rows, CHUNK).repartition(5), cell, block)
+    hits, _ = vectorindex.search_index(index, spark.createDataFrame(queries, ASKED).repartition(3), 6)
+    assert found(hits) == brute_force(rows, queries, 6)
+
+
+def test_index_leaves_cells_out(spark):
+    """On clustered vectors a query visits a small part of the pairs, and still finds what brute force finds."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    vectors = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.02
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors[50] = vectors[51]  # equal distances go by id
-    rows = [("hot" if i % 3 else "cold", f"c{i:04d}", [float(x) for x in v]) for i, v in enumerate(vectors)]
-    chunks = spark.createDataFrame(rows, "namespace string, chunk_id string, embedding array<float>").repartition(5)
-    queries = spark.createDataFrame([(i, r[0], r[2]) for i, r in enumerate(rows[:40])], "query_id long, namespace string, embedding array<float>")
-    for limit in (32 << 20, 500):  # 500 bytes force several slices
-        got = {}
-        for r in retrieve.knn(chunks, queries, 6, limit).collect():
-            got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
-        for q in range(40):
-            same = [(round(1 - float(vectors[q].astype(np.float64) @ v.astype(np.float64)), 9), rows[i][1])
-                    for i, v in enumerate(vectors) if rows[i][0] == rows[q][0]]
-            assert [c for _, c in sorted(got[q])] == [c for _, c in sorted(same)[:6]]
+    rows = [("n", f"c{i:04d}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    queries = [(i, "n", rows[i][2]) for i in range(0, 2000, 40)]
+    index = vectorindex.build_index(spark.createDataFrame(rows, CHUNK), cell=25)
+    hits, visits = vectorindex.search_index(index, spark.createDataFrame(queries, ASKED), 8)
+    assert found(hits) == brute_force(rows, queries, 8)
+    assert (visits.agg(F.sum("pairs")).first()[0] or 0) < 0.2 * len(rows) * len(queries)
 
 
 def test_knn_without_queries_or_with_few_chunks(spark):
