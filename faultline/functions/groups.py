@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut
+
 BLOCK = 4096
 
 
@@ -69,23 +71,38 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int) -> D
     )
 
 
+GRAM = 3
+
+
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Distinct pieces of one to ``n`` characters, in one pass over the characters."""
+    chars = F.split(text, "")
+    shifted = F.arrays_zip(*[(chars if i == 0 else F.slice(chars, i + 1, F.greatest(F.size(chars), F.lit(1)))).alias(f"c{i}") for i in range(n)])
+
+    def pieces(m: int) -> Column:
+        return F.transform(shifted, lambda z: F.concat(*[z[f"c{i}"] for i in range(m)]))
+
+    return F.array_distinct(F.filter(F.flatten(F.array(*[pieces(m) for m in range(1, n + 1)])), lambda g: g.isNotNull()))
+
+
 def containment_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows of ``texts`` and ``needles`` where the text contains the needle, as an equi join.
+    """Distinct texts (all rows of ``texts`` if it has more columns) and needles they contain, by an inverted table of grams.
 
-    Each (short) text is cut into its substrings of the lengths the needles have, and equal strings
-    join, so work follows text length and true matches, never texts x needles. Only the distinct
-    needle lengths reach the driver; there are at most as many as the longest needle has characters.
+    Texts are cut into grams once, so a text costs its length whatever the needles are, and only grams that some needle has are
+    kept, with a digest in place of the text. Each needle looks up the texts of its rarest gram (none if one of its grams occurs nowhere) and these
+    are searched. Nothing reaches the driver.
     """
-    needles = needles.where(F.length(needle_col) > 0)
-    lengths = sorted(r[0] for r in needles.select(F.length(needle_col)).distinct().collect())
-    size = F.length(text_col)
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= size),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(F.col(text_col), i, n)
-            ),
-        )
-    )
-    keyed = texts.withColumn("_piece", F.explode(F.array_distinct(pieces)))
-    return keyed.join(needles, keyed["_piece"] == needles[needle_col]).drop("_piece")
+    wanted = needles.where(F.length(needle_col) > 0).select(F.col(needle_col).alias("_needle")).distinct()
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    needed = wanted.select("_needle", F.explode(F.filter(grams(F.col("_needle")), lambda g: F.length(g) == size)).alias("_gram"))
+    distinct = cut(texts.select(F.col(text_col).alias("_value")).distinct().withColumn("_text", F.sha2("_value", 256)), "texts")
+    postings = distinct.select("_text", F.explode(grams(F.col("_value"))).alias("_gram"))
+    postings = cut(postings.join(needed.select("_gram").distinct(), "_gram", "left_semi"), "postings")
+    often = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    rarest = needed.join(often, "_gram", "left").groupBy("_needle").agg(
+        F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.bool_and(F.col("_texts").isNotNull()).alias("_all"))
+    found = rarest.where("_all").join(postings, "_gram").select("_needle", "_text")
+    met = found.join(distinct, "_text").where(F.contains("_value", "_needle")).select(F.col("_value").alias(text_col), "_needle")
+    if texts.columns != [text_col]:
+        met = texts.join(met, text_col)
+    return met.join(needles, F.col("_needle") == needles[needle_col]).drop("_needle")

@@ -92,7 +92,7 @@ def term_search(chunks: DataFrame, wanted: DataFrame, k: int, token: str = r"[\p
     """
     tokens = chunks.select(NS, *ORDER, F.explode(F.array_distinct(
         F.regexp_extract_all("text", F.lit(token), F.lit(0)))).alias("token"))
-    firsts = first_n(tokens, [NS, "token"], [F.col(c) for c in ORDER], k, rank="_place").drop("_place")
+    firsts = cut(first_n(tokens, [NS, "token"], [F.col(c) for c in ORDER], k, rank="_place").drop("_place"), "tokens")
     distinct_tokens = firsts.select("token").distinct()
     pairs = containment_pairs(distinct_tokens, "token", wanted.select("term").distinct(), "term")
     held = pairs.join(firsts, "token").select(NS, "term", *ORDER).distinct()

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +136,26 @@ def test_containment_pairs(spark):
     assert {(r.t, r.n) for r in containment_pairs(texts, "t", needles, "n").collect()} == {("abcab", "ab"), ("abcab", "bc"), ("bc", "bc")}
 
 
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.choices("abcé\U0001F600. ", k=rng.randrange(0, 14))) for _ in range(150)})
+    needles = sorted({"".join(rng.choices("abcé\U0001F600. ", k=rng.randrange(0, 6))) for _ in range(80)} | {"zzz", "a"})
+    got = containment_pairs(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, no int"), "t",
+                            spark.createDataFrame([(n, 1) for n in needles] + [(None, 1)], "n string, mark int"), "n")
+    assert got.columns == ["t", "no", "n", "mark"]
+    assert sorted((r.t, r.n) for r in got.collect()) == sorted((t, n) for t in texts for n in needles if n and n in t)
+
+
+def test_containment_in_a_long_token_costs_its_length(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("0123456789abcdef", k=500_000))
+    needles = [long[i:i + n] for i, n in ((0, 5), (1000, 40), (499_000, 900), (77, 1), (250_000, 2))] + ["x" + long[5:20]]
+    start = time.monotonic()
+    got = containment_pairs(spark.createDataFrame([(long,), ("short",)], "t string"), "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n")
+    assert {r.n for r in got.where("length(t) > 100").select("n").collect()} == set(needles[:5])
+    assert time.monotonic() - start < 60
+
+
 def test_references_and_links(spark):
     text = ('Traceback\n  File "src/auth/s.py", line 31, in get\n  at com.x.Store.put(Store.java:9)\n'
             "  at send (web/app.js:4:10)\nlib/z.go:7 failed calling Cache.load, System.out by method 'retry'")
