@@ -44,14 +44,21 @@ def stream_incidents(spark, sf):
     return out.select(NS, stamp("start_time"), stamp("end_time"), "entries")
 
 
-@C.add("Z4_stream_signature_state", O.sql(_ST + f""",
-sg AS (SELECT *, lag(ts) OVER (PARTITION BY namespace, signature ORDER BY ts) AS prev, max(date_trunc('minute', ts)) OVER (PARTITION BY namespace, signature) AS newest FROM se WHERE severity IN ({O.lits(V.CLUSTERED_SEVERITIES)})),
-tot AS (SELECT namespace, signature, count(*) AS n, max(ts) AS last_ts, count(*) FILTER (WHERE date_trunc('minute', ts) > newest - INTERVAL 60 MINUTE) AS last_1h,
-  count(*) FILTER (WHERE date_trunc('minute', ts) > newest - INTERVAL 1440 MINUTE) AS last_24h FROM sg GROUP BY ALL),
-al AS (SELECT namespace, signature, 'new' AS kind, min(ts) AS at_ts FROM sg GROUP BY ALL
-  UNION ALL SELECT namespace, signature, 'regression', ts FROM sg WHERE date_diff('second', prev, ts) >= 21600
-  UNION ALL SELECT namespace, signature, 'counts', last_ts FROM tot)""", f"""
-SELECT al.namespace, al.signature, kind, {O.ts_text('at_ts')} AS at_time, n, last_1h, last_24h FROM al JOIN tot USING (namespace, signature)"""))
+# A run ends where six hours pass without a row; a minute counts once the watermark has passed it.
+_RUNS = _ST + f""",
+mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM se WHERE severity IN ({O.lits(V.CLUSTERED_SEVERITIES)})),
+sg AS (SELECT namespace, signature, ts, date_trunc('minute', ts) AS minute FROM se, mark WHERE severity IN ({O.lits(V.CLUSTERED_SEVERITIES)}) AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= w),
+sb AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER (PARTITION BY namespace, signature ORDER BY ts), ts) < 21600 THEN 0 ELSE 1 END AS b FROM sg),
+sr AS (SELECT *, sum(b) OVER (PARTITION BY namespace, signature ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM sb),
+rs AS (SELECT namespace, signature, run, min(ts) AS first_ts, max(ts) AS last_ts FROM sr GROUP BY ALL),
+ev AS (SELECT namespace, signature, CASE WHEN run = 1 THEN 'new' ELSE 'regression' END AS kind, first_ts AS at_ts, date_trunc('minute', first_ts) AS upto FROM rs
+  UNION ALL SELECT namespace, signature, 'quiet', last_ts + INTERVAL 6 HOUR, date_trunc('minute', last_ts) FROM rs, mark WHERE last_ts + INTERVAL 6 HOUR <= w)"""
+
+
+@C.add("Z4_stream_signature_state", O.sql(_RUNS, f"""
+SELECT e.namespace, e.signature, e.kind, {O.ts_text('e.at_ts')} AS at_time, count(*) AS n,
+  count(*) FILTER (WHERE minute > date_trunc('minute', at_ts) - INTERVAL 60 MINUTE) AS last_1h, count(*) FILTER (WHERE minute > date_trunc('minute', at_ts) - INTERVAL 1440 MINUTE) AS last_24h
+FROM ev e JOIN sg s ON s.namespace = e.namespace AND s.signature = e.signature AND s.minute <= e.upto GROUP BY e.namespace, e.signature, e.kind, e.at_ts"""))
 def stream_signature_state(spark, sf):
     out = S.run_available(S.stream_signature_state(_entries(spark, sf)), "signatures")
     return out.select(NS, "signature", "kind", stamp(F.col("at"), "at_time"), "n", "last_1h", "last_24h")

@@ -38,6 +38,9 @@ PINNED = {
     "spark.sql.session.timeZone": "UTC",
     # Joins over unions of equally partitioned inputs can be planned with unequal partition counts.
     "spark.sql.unionOutputPartitioning": "false",
+    # State with timers needs this store; sessions shrink inside each task before the shuffle.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

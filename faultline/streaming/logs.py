@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from faultline.functions import text as T
 from faultline.functions import vocab as V
@@ -44,60 +44,123 @@ def stream_hourly_errors(entries: DataFrame) -> DataFrame:
 def stream_incidents(entries: DataFrame) -> DataFrame:
     """Sessions with a five-minute gap. Rows of a session are joined inside each task before the
     shuffle, so a namespace with most of the rows sends sessions, not rows."""
-    entries.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = entries.where(F.col("ts").isNotNull()).withWatermark("ts", LATENESS)
     sessions = timed.groupBy(NS, F.session_window("ts", "5 minutes")).agg(
         F.count(F.lit(1)).alias("entries"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
     return sessions.select(NS, "start_time", "end_time", "entries")
 
 
-_PARTIAL = "namespace string, signature string, minute timestamp, n bigint, first_ts timestamp, last_ts timestamp"
+_PARTIAL = "namespace string, signature string, minute bigint, n bigint, first_ts bigint, last_ts bigint"
 _ALERT = "namespace string, signature string, kind string, at timestamp, n bigint, last_1h bigint, last_24h bigint"
-_STATE = "n bigint, last_ts timestamp, minutes array<bigint>, counts array<bigint>"
+FORGET_DAYS = 60
+
+
+def _seconds(ts: pd.Series) -> pd.Series:
+    return ts.to_numpy().astype("datetime64[us]").astype("int64") // 1_000_000
 
 
 def _per_minute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        pdf = pdf.assign(minute=pdf["ts"].dt.floor("min"))
-        out = pdf.groupby([NS, "signature", "minute"], as_index=False).agg(
-            n=("ts", "size"), first_ts=("ts", "min"), last_ts=("ts", "max"))
+        pdf = pdf.assign(s=_seconds(pdf["ts"]))
+        out = pdf.assign(minute=pdf["s"] // 60).groupby([NS, "signature", "minute"], as_index=False).agg(
+            n=("s", "size"), first_ts=("s", "min"), last_ts=("s", "max"))
         yield out[[NS, "signature", "minute", "n", "first_ts", "last_ts"]]
 
 
-def _follow_signature(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts of the last day by minute (bounded state); alerts for a first sighting and for a return
-    after six quiet hours."""
-    namespace, signature = key
-    n, last, minutes, counts = (state.get if state.exists else (0, None, [], []))
-    day = dict(zip(minutes, counts))
-    rows = pd.concat(list(parts), ignore_index=True).groupby("minute", as_index=False).agg(
-        n=("n", "sum"), first_ts=("first_ts", "min"), last_ts=("last_ts", "max")).sort_values("minute")
-    alerts = []
-    for row in rows.itertuples(index=False):
-        if last is None:
-            alerts.append(("new", row.first_ts))
-        elif (row.first_ts - pd.Timestamp(last)).total_seconds() >= QUIET_SECONDS:
-            alerts.append(("regression", row.first_ts))
-        n += int(row.n)
-        last = row.last_ts if last is None else max(pd.Timestamp(last), row.last_ts)
-        minute = int(row.minute.timestamp() // 60)
-        day[minute] = day.get(minute, 0) + int(row.n)
-    newest = max(day)
-    day = {m: c for m, c in sorted(day.items()) if m > newest - DAY_MINUTES}
-    hour = sum(c for m, c in day.items() if m > newest - HOUR_MINUTES)
-    state.update((n, last, list(day), list(day.values())))
-    alerts.append(("counts", last))
-    yield pd.DataFrame([(namespace, signature, kind, at, n, hour, sum(day.values())) for kind, at in alerts],
-                       columns=[NS, "signature", "kind", "at", "n", "last_1h", "last_24h"])
-
-
-def stream_signature_state(entries: DataFrame) -> DataFrame:
-    """Per signature: alerts and running counts. Rows shrink to one per minute in each task first, so
-    a signature with a third of the rows costs its state task one row per minute and partition."""
-    seen = entries.where(F.col("ts").isNotNull() & F.col("severity").isin(V.CLUSTERED_SEVERITIES))
-    minutes = seen.select(NS, "signature", "ts").mapInPandas(_per_minute, _PARTIAL)
-    return minutes.groupBy(NS, "signature").applyInPandasWithState(
-        _follow_signature, _ALERT, _STATE, "append", GroupStateTimeout.NoTimeout)
+class SignatureFollower(StatefulProcessor):
+    """One signature: rows wait by minute until the watermark has passed it, then count in the order of event time.
+
+    A first row gives ``new``, a row after six quiet hours ``regression``, six hours without rows ``quiet``. Late rows (within the
+    watermark's delay) are sorted in before anything is said, so what comes out does not depend on batches. State: waiting
+    minutes, and the counts of the last day; a day after the last row the counts go, after ``forget_days`` the rest.
+    """
+
+    def __init__(self, forget_days: int = FORGET_DAYS) -> None:
+        self.forget = forget_days * 86400
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "minute bigint", "n bigint, first_ts bigint, last_ts bigint")
+        self.minutes = handle.getMapState("minutes", "minute bigint", "n bigint")
+        self.seen = handle.getValueState("seen", "n bigint, last_ts bigint, quiet boolean, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                if (r.minute + 1) * 60 <= now:
+                    continue  # later than the watermark allows
+                there = self.waiting.getValue((int(r.minute),)) or (0, r.first_ts, r.last_ts)
+                self.waiting.updateValue((int(r.minute),), (there[0] + int(r.n), min(there[1], int(r.first_ts)), max(there[2], int(r.last_ts))))
+        yield from self._advance(key, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() // 1000, fired=True)
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key, now: int, fired: bool = False) -> Iterator[pd.DataFrame]:
+        """Everything that the watermark settles, and a timer for what it settles next."""
+        n, last, quiet, timer = self.seen.get() if self.seen.exists() else (0, None, True, None)
+        counts = {m[0]: c[0] for m, c in self.minutes.iterator()}
+        waiting = sorted((m[0], tuple(v)) for m, v in self.waiting.iterator())
+        out = []
+
+        def said(kind: str, at: int) -> None:
+            minute = at // 60
+            hour, day = (sum(c for m, c in counts.items() if minute - span < m <= minute) for span in (HOUR_MINUTES, DAY_MINUTES))
+            out.append((*key, kind, pd.Timestamp(at, unit="s"), n, hour, day))
+
+        for minute, (rows, first, newest) in waiting:
+            if (minute + 1) * 60 > now:
+                break
+            back = last is not None and first - last >= QUIET_SECONDS
+            if back and not quiet:
+                said("quiet", last + QUIET_SECONDS)
+            n, counts[minute] = n + rows, rows
+            if last is None or back:
+                said("new" if last is None else "regression", first)
+            last, quiet = newest, False
+            self.waiting.removeKey((minute,))
+            self.minutes.updateValue((minute,), (rows,))
+            for old in [m for m in counts if m <= minute - DAY_MINUTES]:
+                del counts[old]
+                self.minutes.removeKey((old,))
+        if last is not None and not quiet and last + QUIET_SECONDS <= now:
+            said("quiet", last + QUIET_SECONDS)
+            quiet = True
+        if last is not None and last + 86400 <= now:
+            for m in counts:
+                self.minutes.removeKey((m,))
+            counts = {}
+        left = [(m + 1) * 60 for m, _ in waiting if (m + 1) * 60 > now]
+        if last is not None and not left and last + self.forget <= now:
+            self.seen.clear()
+        else:
+            due = [*left[:1], *([] if last is None else [last + QUIET_SECONDS] * (not quiet) + [last + 86400] * bool(counts) + [last + self.forget])]
+            due = min(d for d in due if d > now) * 1000 - 1
+            if fired or timer != due:
+                if timer is not None and not fired:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+            self.seen.update((n, last, quiet, due))
+        yield pd.DataFrame(out, columns=[NS, "signature", "kind", "at", "n", "last_1h", "last_24h"])
+
+
+def stream_signature_state(entries: DataFrame, identity: list[str] | None = None, forget_days: int = FORGET_DAYS) -> DataFrame:
+    """Per signature: new, regression and quiet, each with the counts at that time.
+
+    ``identity`` names the columns that make a row; rows delivered again within the watermark's delay then count once. Rows shrink to one per minute
+    in each task first, so a signature with a third of the rows costs its state task one row per minute and partition.
+    """
+    followed = F.col("ts").isNotNull() & F.col("severity").isin(V.CLUSTERED_SEVERITIES)
+    timed = entries.where(followed).withWatermark("ts", LATENESS)  # time goes on with the rows that are followed
+    if identity:
+        timed = timed.dropDuplicatesWithinWatermark(identity)
+    minutes = timed.select(NS, "signature", "ts").mapInPandas(_per_minute, _PARTIAL)
+    return minutes.groupBy(NS, "signature").transformWithStateInPandas(
+        SignatureFollower(forget_days), _ALERT, "append", "eventTime")
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:

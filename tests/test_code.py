@@ -167,20 +167,47 @@ def test_upsert_and_namespace_overwrite(spark, tmp_path):
     assert meta == {"k": "v", "repo_owner": "team", "repo_name": "digit", "branch": "default", "commit_hash": "a" * 12, "commit_message": "msg", "commit_author": "me"}
 
 
-def test_stream_over_several_batches(spark, tmp_path):
-    src = tmp_path / "in"
+def follow(spark, tmp_path, batches, **options):
+    """Alerts (kind, at, n, last_1h, last_24h), and the number of state rows after each batch of lines."""
+    src, out, progress = (tmp_path / x for x in ("in", "out", "progress"))
     src.mkdir()
-    days = [["2024-01-01 10:00:00 ERROR AError: x", "2024-01-01 10:00:30 ERROR AError: y"], ["2024-01-01 10:30:00 ERROR AError: z"],
-            ["2024-01-02 10:00:00 ERROR AError: back", "2024-01-02 10:00:00 INFO ok"]]
-    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    for i, lines in enumerate(days):
+    sizes = []
+    for i, lines in enumerate(batches):
         (src / f"{i}.log").write_text("\n".join(lines) + "\n")
-        states = stream.stream_signature_state(stream.stream_log_entries(stream.tail_logs(spark, str(src), "n")))
-        q = states.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        states = stream.stream_signature_state(stream.stream_log_entries(stream.tail_logs(spark, str(src), "n")), **options)
+        q = states.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(progress)).trigger(availableNow=True).start()
         q.awaitTermination()
-    rows = spark.read.parquet(out).orderBy("at", "kind").collect()
-    assert [(r.kind, str(r["at"])) for r in rows if r.kind != "counts"] == [("new", "2024-01-01 10:00:00"), ("regression", "2024-01-02 10:00:00")]
-    assert [(r.n, r.last_1h, r.last_24h) for r in rows if r.kind == "counts"] == [(2, 2, 2), (3, 3, 3), (4, 1, 2)]
+        sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    rows = spark.read.schema(states.schema).parquet(str(out)).orderBy("signature", "at", "kind").collect()
+    return [(r.signature, r.kind, str(r["at"]), r.n, r.last_1h, r.last_24h) for r in rows], sizes
+
+
+def test_signature_state_over_many_batches(spark, tmp_path):
+    """Late lines are sorted in, alerts come once the watermark has passed, counts and keys go after quiet days."""
+    def lines(day, *times, what="AError: x"):
+        return [f"2024-01-{day:02d} {t} ERROR {what}" for t in times]
+
+    tick = "Ticker: t"
+    batches = [
+        lines(1, "10:00:00", "10:00:30"), lines(1, "10:30:00"),
+        lines(1, "10:29:10", what="AError: late"),  # late, but within ten minutes
+        lines(1, "09:00:00", what="AError: too late"), lines(2, "10:00:00"), lines(3, "12:00:00", what=tick),
+        lines(4, "12:00:00", what=tick), lines(9, "12:00:00", what=tick), lines(9, "12:30:00", what=tick),
+    ]
+    got, sizes = follow(spark, tmp_path, batches, forget_days=5)
+    mine = [g[1:] for g in got if g[0] == "exc:AError"]
+    assert mine == [
+        ("new", "2024-01-01 10:00:00", 2, 2, 2), ("quiet", "2024-01-01 16:30:00", 4, 0, 4), ("regression", "2024-01-02 10:00:00", 5, 1, 3),
+        ("quiet", "2024-01-02 16:00:00", 5, 0, 1)]
+    # Two minutes a day's counts hold at most, and after five days without a line the signature is forgotten.
+    assert sizes[-1] < max(sizes) and sizes[-1] <= 4
+
+
+def test_signature_state_counts_a_line_once(spark, tmp_path):
+    line = "2024-01-01 10:00:00 ERROR AError: x"
+    got, _ = follow(spark, tmp_path, [[line, line], [line], ["2024-01-01 10:05:00 ERROR AError: y"], ["2024-01-02 10:00:00 ERROR BError: y"]],
+                    identity=["source_file", "ts", "signature"])
+    assert [g[1:4] for g in got if g[0] == "exc:AError"][0] == ("new", "2024-01-01 10:00:00", 2)  # one per file
 
 
 def test_view_sizes_follow_their_tables(spark):
