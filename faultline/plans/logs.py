@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from faultline.operators import errors, incidents, scoring, trends
 from faultline.plans import oracle as O
 from faultline.plans import views
 from faultline.plans.registry import Catalog, big, joined, stamp
-from faultline.session import cut
+from faultline.session import cut, scratch_root
 from faultline.sources import chunks, files, logs
 
 C = Catalog()
@@ -86,14 +88,34 @@ def log_entries(spark, sf):
     return out.withColumn("detected_timestamp", F.date_format("detected_timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
-@C.add("S7_log_fallback", O.sql(O.DOC_CHUNKS, f"""
-SELECT namespace, source_file, line_start, line_end, text, {O.ingest_severity('text')} AS severity FROM doc_windows w
-WHERE NOT EXISTS (SELECT 1 FROM doc_files f WHERE f.namespace = w.namespace AND f.source_file = w.source_file AND (
-  list_bool_or(list_transform({O.lines('f.text')}, lambda l: {O.rx('l', V.ENTRY_START)}))
-  OR len(list_filter(list_transform(range(0, len({O.lines('f.text')}), 80), lambda i: array_to_string(({O.lines('f.text')})[i + 1 : i + 80], chr(10))),
-      lambda t: length({O.strip('t')}) >= {V.MIN_CHUNK_CHARS})) > 0))"""))
+@C.add("S8_log_dir", O.sql(_ENTRIES, """
+SELECT source_file, line_start, line_end, text, severity, dense_rank() OVER (ORDER BY source_file) AS file_no FROM (
+  SELECT namespace || '/' || source_file AS source_file, line_start, line_end, text, severity FROM log_entries)"""))
+def log_dir(spark, sf):
+    """The log lines written as text files, one folder per log, read back in byte ranges."""
+    lines = views.log_lines(spark, sf).withColumn("file", F.concat_ws("/", "namespace", "source_file"))
+    root = f"{scratch_root(spark)}/faultline-logs-{uuid.uuid4().hex}"
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    ordered.select("file", "text").write.partitionBy("file").text(root)
+    found = logs.log_dir_chunks(logs.read_log_lines(spark, root, "logs"))
+    name = F.url_decode(F.regexp_extract("source_file", r"file=([^/]+)/", 1))  # the folder's name is escaped
+    file_no = F.shiftright("ord", 40).cast("bigint").alias("file_no")
+    return found.select(name.alias("source_file"), *big("line_start", "line_end"), "text", "severity", file_no)
+
+
+_SPARSE = O.DOC_FILES + """,
+sparse_files AS (SELECT namespace, source_file, repeat(chr(10), 60) || array_to_string(string_split(substring(regexp_replace(text, '[^a-z]', 'x', 'g'), 1, 40), ''), chr(10)) || repeat(chr(10), 40) AS text FROM doc_files),
+sparse_lines AS (SELECT namespace, source_file, text, string_split(substring(text, 1, length(text) - 1), chr(10)) AS l FROM sparse_files),
+sparse_windows AS (SELECT namespace, source_file, i + 1 AS line_start, least(i + 40, len(l)) AS line_end, array_to_string(l[i + 1 : i + 40], chr(10)) AS text FROM (SELECT *, unnest(range(0, len(l), 32)) AS i FROM sparse_lines))"""
+
+
+@C.add("S7_log_fallback", O.sql(_SPARSE, f"""
+SELECT namespace, source_file, line_start, line_end, text, {O.ingest_severity('text')} AS severity FROM sparse_windows w WHERE length({O.strip('text')}) >= {V.MIN_CHUNK_CHARS}
+AND NOT EXISTS (SELECT 1 FROM sparse_lines f WHERE f.namespace = w.namespace AND f.source_file = w.source_file AND (
+  list_bool_or(list_transform(l, lambda x: {O.rx('x', V.ENTRY_START)}))
+  OR len(list_filter(list_transform(range(0, len(l), 80), lambda i: array_to_string(l[i + 1 : i + 80], chr(10))), lambda t: length({O.strip('t')}) >= {V.MIN_CHUNK_CHARS})) > 0))"""))
 def log_fallback(spark, sf):
-    lines = logs.number_lines(views.doc_files(spark, sf))
+    lines = logs.number_lines(views.sparse_files(spark, sf))
     out = logs.log_fallback(lines, logs.log_entries(lines))
     return out.select("namespace", "source_file", *big("line_start", "line_end"), "text", "severity")
 

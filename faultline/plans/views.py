@@ -103,6 +103,13 @@ def doc_files(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.concat(F.lit("ns"), _s(F.col("doc_id") % 3)).alias("namespace"), path.alias("source_file"), "text")
 
 
+def sparse_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document a file of mostly empty lines: 40 single letters around line 80, too few on either side for an entry."""
+    letters = F.substring(F.regexp_replace("text", "[^a-z]", "x"), 1, 40)
+    text = F.concat(F.repeat(F.lit("\n"), F.lit(60)), F.array_join(F.split(letters, ""), "\n"), F.repeat(F.lit("\n"), F.lit(40)))
+    return doc_files(spark, sf).withColumn("text", text)
+
+
 def vec_chunks(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     vec, label = F.col("vec_id"), F.col("label")

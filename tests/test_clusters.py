@@ -139,19 +139,65 @@ def test_untimed_clusters_fall_back_then_unknown(spark):
     assert got == {1: "new", 2: "new", 3: "unknown"}
 
 
-def test_entry_cap_equals_line_walk(spark):
-    rng = random.Random(3)
+def random_log(rng, n=700, before=0):
     opens = "2024-05-05 10:00:00 ERROR start"
-    for seed in range(2):
-        lines = [opens if rng.random() < 0.02 else f"  detail line number {rng.randint(0, 9)}" for _ in range(700)]
-        if seed:
-            lines = ["no opener at all in this file"] * 200 + lines
+    lines = [opens if rng.random() < 0.02 else f"  detail line number {rng.randint(0, 9)} é" for _ in range(n)]
+    return ["no opener at all in this file"] * before + lines
+
+
+def kept_entries(lines):
+    """(first, last, text) of the one-by-one walk, trimmed, at least 60 characters."""
+    blocks = models.entry_blocks(lines, lambda x: x.startswith("2024"), 80)
+    texts = [(a, b, "\n".join(lines[a - 1:b]).strip()) for a, b in blocks]
+    return sorted(t for t in texts if len(t[2]) >= 60)
+
+
+def test_entry_cap_equals_line_walk(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(logs, "LINES_PER_BLOCK", 50)
+    for before in (0, 200):
+        lines = random_log(rng, before=before)
         df = spark.createDataFrame([("n", "x.log", "\n".join(lines))], "namespace string, source_file string, text string")
-        old, logs.LINES_PER_BLOCK = logs.LINES_PER_BLOCK, 50
-        parts = logs.entry_lines(logs.number_lines(df)).groupBy("entry", "part").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"))
-        got = sorted((r.a, r.b) for r in parts.collect())
-        logs.LINES_PER_BLOCK = old
-        assert got == models.entry_blocks(lines, lambda x: x.startswith("2024"), 80)
+        got = sorted((r.line_start, r.line_end, r.text) for r in logs.log_entries(logs.number_lines(df)).collect())
+        assert got == kept_entries(lines)
+
+
+def test_log_folder_read_in_byte_ranges(spark, tmp_path):
+    """Ranges end anywhere: inside lines, characters and entries. Entries equal those of whole files, in order."""
+    rng = random.Random(4)
+    files = {"a b+c.log": random_log(rng), "sub/x.out": random_log(rng, 300, 200), "bare.txt": ["plain words without any opening line here"] * 100,
+             "empty.err": [], "skip.md": random_log(rng, 50)}
+    files["sparse.log"] = [""] * 60 + ["x"] * 40 + [""] * 40
+    for name, lines in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes("".join(f"{x}\n" for x in lines).encode() + (b"\xff bad bytes\r\n" if name == "bare.txt" else b""))
+    files["bare.txt"] = files["bare.txt"] + ["\ufffd bad bytes"]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = logs.read_log_lines(spark, str(tmp_path), "n")
+        assert lines.select("source_file", "split").distinct().count() > 20
+        rows = logs.log_dir_chunks(lines).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        got.setdefault(r.source_file.split(tmp_path.name + "/")[1], []).append((r.line_start, r.line_end, r.text))
+    assert len({r["ord"] for r in rows}) == len(rows) and list(got) == sorted(got) and set(got) == {"a b+c.log", "sub/x.out", "bare.txt", "sparse.log"}
+    for name in ("a b+c.log", "sub/x.out", "bare.txt"):
+        assert got[name] == kept_entries(files[name])
+    assert [g[:2] for g in got["sparse.log"]] == [(65, 104)]
+
+
+def test_clusters_of_a_log_folder(spark, tmp_path):
+    """From files to clusters: what is read back is analysed as it is."""
+    text = "2024-01-0{0} 10:00:00 ERROR ValueError: the value {0} is out of every range that is allowed here\n"
+    (tmp_path / "a.log").write_text("".join(text.format(i) for i in range(1, 6)))
+    log = logs.log_dir_chunks(logs.read_log_lines(spark, str(tmp_path), "n"))
+    core = errors.cluster_core(errors.cluster_errors(log)).collect()
+    assert [(r["count"], r.exception_type) for r in core] == [(5, "ValueError")]
 
 
 def test_small_log_and_fallback(spark):
