@@ -19,7 +19,7 @@ from faultline.session import cut
 NS = "namespace"
 MERGE_SIMILARITY = 0.5
 SHARED_FRAMES = 2
-# At most 1000, so that picking a batch is trimmed in every task before its shuffle.
+# Open signatures of a key that meet in one round. At most 1000, so that the choice is trimmed in every task before its shuffle.
 BATCH = 1000
 
 
@@ -165,17 +165,21 @@ class SimilarityIndex:
         Rows made per key are (left signatures) x (signatures), so the caller bounds them by keeping
         ``left`` small; no key ever pairs its whole group with itself.
         """
-        mine = left.select(NS, F.col("pos").alias("a"))
+        mine = left.select(NS, "pos")
+        return self.meet(self.keys.join(mine, [NS, "pos"]), self.keys, self.frame_keys.join(mine, [NS, "pos"]), self.frame_keys)
+
+    def meet(self, keys_a: DataFrame, keys_b: DataFrame, frames_a: DataFrame, frames_b: DataFrame) -> DataFrame:
+        """(namespace, a, b): similar signatures that share a key of the given ones, in either order."""
         sig_a = self.groups.select(NS, F.col("pos").alias("a"), F.col("signature").alias("sig_a"))
         sig_b = self.groups.select(NS, F.col("pos").alias("b"), F.col("signature").alias("sig_b"))
-        ka = self.keys.select(NS, F.col("pos").alias("a"), "key", F.col("role").alias("role_a")).join(mine, [NS, "a"])
-        kb = self.keys.select(NS, F.col("pos").alias("b"), "key", F.col("role").alias("role_b"))
+        ka = keys_a.select(NS, F.col("pos").alias("a"), "key", F.col("role").alias("role_a"))
+        kb = keys_b.select(NS, F.col("pos").alias("b"), "key", F.col("role").alias("role_b"))
         opposite = (F.col("role_a") == "both") | (F.col("role_a") != F.col("role_b"))
         met = ka.join(kb, [NS, "key"]).where((F.col("a") != F.col("b")) & opposite).select(NS, "a", "b").distinct()
         alike = met.join(sig_a, [NS, "a"]).join(sig_b, [NS, "b"]).where(
             T.signature_similarity(F.col("sig_a"), F.col("sig_b")) >= MERGE_SIMILARITY).select(NS, "a", "b")
-        fa = self.frame_keys.select(NS, F.col("pos").alias("a"), "key").join(mine, [NS, "a"])
-        fb = self.frame_keys.select(NS, F.col("pos").alias("b"), "key")
+        fa = frames_a.select(NS, F.col("pos").alias("a"), "key")
+        fb = frames_b.select(NS, F.col("pos").alias("b"), "key")
         met_frames = fa.join(fb, [NS, "key"]).where(F.col("a") != F.col("b")).select(NS, "a", "b").distinct()
         shared = (
             met_frames
@@ -208,45 +212,72 @@ def signature_pairs(facts: DataFrame) -> DataFrame:
 # ---- clusters ---------------------------------------------------------------------------
 
 
+def _settled(edges: DataFrame, ready: DataFrame, batch: int) -> DataFrame:
+    """Leaders (namespace, pos) among ``ready``, whose smaller similar signatures are all in ``edges`` (a < b).
+
+    Who has no smaller one leads at once, and whoever is similar to such a leader does not. The first ``batch`` others of each
+    namespace are walked in order; who hangs on a signature that is not settled waits.
+    """
+    b = [NS, "b"]
+    first = ready.join(edges.select(NS, F.col("b").alias("pos")).distinct(), [NS, "pos"], "left_anti")
+    taken = edges.join(first.select(NS, F.col("pos").alias("a")), [NS, "a"], "left_semi").select(*b).distinct()
+    rest = ready.join(edges.select(NS, F.col("b").alias("pos")).distinct(), [NS, "pos"], "left_semi").join(
+        taken.select(NS, F.col("b").alias("pos")), [NS, "pos"], "left_anti")
+    walked = first_n(rest, [NS], [F.col("pos")], batch).select(NS, "pos")
+    open_edges = edges.join(walked.select(NS, F.col("pos").alias("b")), b, "left_semi").join(
+        taken.select(NS, F.col("b").alias("a")), [NS, "a"], "left_anti")
+    inside = open_edges.join(walked.select(NS, F.col("pos").alias("a"), F.lit(True).alias("known")), [NS, "a"], "left")
+    near = inside.groupBy(NS, F.col("b").alias("pos")).agg(
+        F.collect_set("a").alias("near"), F.bool_or(F.col("known").isNull()).alias("hangs"))
+    none = F.array().cast("array<bigint>")
+    rows = walked.join(near, [NS, "pos"], "left").groupBy(NS).agg(F.array_sort(F.collect_list(F.struct(
+        "pos", F.coalesce("near", none).alias("near"), F.coalesce("hangs", F.lit(False)).alias("hangs")))).alias("rows"))
+    start = F.struct(none.alias("led"), none.alias("waits"))
+
+    def step(acc: Column, r: Column) -> Column:
+        leads = F.struct(F.array_append(acc["led"], r["pos"]).alias("led"), acc["waits"].alias("waits"))
+        waits = F.struct(acc["led"].alias("led"), F.array_append(acc["waits"], r["pos"]).alias("waits"))
+        return F.when(F.arrays_overlap(acc["led"], r["near"]), acc).when(
+            r["hangs"] | F.arrays_overlap(acc["waits"], r["near"]), waits).otherwise(leads)
+
+    later = rows.select(NS, F.explode(F.aggregate("rows", start, step)["led"]).alias("pos"))
+    return first.unionByName(later)
+
+
 def leader_merge(facts: DataFrame, batch: int = BATCH) -> DataFrame:
     """namespace, signature, pos, leader: signatures in first-seen order; an unclaimed one leads and
     claims every later similar one.
 
-    Works through the first ``batch`` unclaimed signatures of each namespace at a time: leaders
-    inside the batch are settled, then every unclaimed signature similar to a new leader goes to the
-    earliest such leader. Earlier batches hold only earlier leaders, so this equals the one-by-one walk.
+    In rounds: of every join key the first ``batch`` open signatures meet. A signature that is among them in all its keys
+    knows every smaller open one it is similar to, so many leaders are settled in one round, wherever they stand in the
+    namespace; what is similar to a leader leaves. A round is needed per ``batch`` open signatures of one key, not of a namespace.
+    In the end everyone goes to the earliest leader it is similar to, as in the one-by-one walk.
     """
     index = similarity_index(facts)
-    open_ = index.groups.select(NS, "pos")
-    done: DataFrame | None = None
+    groups = index.groups.select(NS, "pos")
+    keys = index.keys.select(NS, "pos", F.col("key"), "role").unionByName(
+        index.frame_keys.select(NS, "pos", F.concat(F.lit("f:"), "key").alias("key"), F.lit("frame").alias("role")))
+    open_, links, led = groups, None, None
     while True:
-        head = first_n(open_, [NS], [F.col("pos")], batch).select(NS, "pos")
-        head = cut(head, "batch")
-        edges = cut(index.pairs(head), "edges")
-        earlier = (
-            edges.where(F.col("a") < F.col("b"))
-            .join(head.select(NS, F.col("pos").alias("b")), [NS, "b"], "left_semi")
-            .groupBy(NS, F.col("b").alias("pos")).agg(F.collect_set("a").alias("near")))
-        none = F.array().cast("array<bigint>")
-        ordered = head.join(earlier, [NS, "pos"], "left").groupBy(NS).agg(
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("near", none).alias("near")))).alias("rows"))
-        leaders = ordered.select(NS, F.explode(F.aggregate(
-            "rows", none,
-            lambda led, r: F.when(F.arrays_overlap(led, r["near"]), led).otherwise(F.array_append(led, r["pos"]))
-        )).alias("pos"))
-        leaders = cut(leaders, "leaders")
-        claimed = (
-            edges.join(leaders.select(NS, F.col("pos").alias("a")), [NS, "a"], "left_semi")
-            .join(open_.select(NS, F.col("pos").alias("b")), [NS, "b"], "left_semi")
-            .where(F.col("a") < F.col("b"))
-            .select(NS, F.col("b").alias("pos"), F.col("a").alias("leader"))
-            .unionByName(leaders.withColumn("leader", F.col("pos")))
-            .groupBy(NS, "pos").agg(F.min("leader").alias("leader")))
-        claimed = cut(claimed, "claimed")
-        done = claimed if done is None else done.unionByName(claimed)
-        open_ = cut(open_.join(claimed, [NS, "pos"], "left_anti"), "open")
+        mine = keys.join(open_, [NS, "pos"]) if led is not None else keys
+        early = cut(first_n(mine, [NS, "key"], [F.col("pos"), F.col("role")], batch, rank="place"), "early")
+        held = mine.groupBy(NS, "pos").agg(F.count(F.lit(1)).alias("all")).join(
+            early.groupBy(NS, "pos").agg(F.count(F.lit(1)).alias("seen")), [NS, "pos"], "left")
+        late = held.where("seen is null or seen < all").select(NS, "pos")
+        words = early.where("role <> 'frame'")
+        frames = early.where("role = 'frame'").withColumn("key", F.substring("key", 3, 1 << 30))
+        edges = cut(index.meet(words, words, frames, frames).where(F.col("a") < F.col("b")), "edges")
+        leaders = cut(_settled(edges, open_.join(late, [NS, "pos"], "left_anti"), batch), "leaders")
+        near = cut(index.pairs(leaders).where(F.col("a") < F.col("b")), "claimed")
+        links = near if links is None else links.unionByName(near)
+        led = leaders if led is None else led.unionByName(leaders)
+        gone = leaders.unionByName(near.select(NS, F.col("b").alias("pos")).distinct())
+        open_ = cut(open_.join(gone, [NS, "pos"], "left_anti"), "open")
         if open_.isEmpty():
             break
+    claimed = links.groupBy(NS, F.col("b").alias("pos")).agg(F.min("a").alias("leader"))
+    own = led.withColumn("leader", F.col("pos"))
+    done = own.unionByName(claimed.join(led, [NS, "pos"], "left_anti"))
     return index.groups.select(NS, "signature", "pos").join(done, [NS, "pos"])
 
 

@@ -51,6 +51,30 @@ def test_leader_merge_equals_one_by_one_walk(spark):
                 assert {s: l for (n, s), l in got.items() if n == ns} == {s: pos[l] for s, l in want.items()}
 
 
+def test_leader_merge_of_ten_thousand_open_signatures(spark, monkeypatch):
+    """Signatures of one namespace that are hardly similar take as few tables as a handful of them; each word is shared by few."""
+    rng = random.Random(9)
+    names = [f"w{i}q" for i in range(4000)]
+    rows = [("one", i, "ERROR " + " ".join(rng.choice(names) for _ in range(5))) for i in range(10_000)]
+    facts = errors.cut(errors.signature_facts(errors.error_entries(entries(spark, rows))))
+    tables, plain = [], errors.cut
+    monkeypatch.setattr(errors, "cut", lambda df, label="cut": tables.append(label) or plain(df, label))
+    got = {r.signature: r.leader for r in errors.leader_merge(facts).collect()}
+    assert len(got) > 9900 and len(tables) <= 2 + 5 * 3
+    ordered = sorted(((r.pos, r.signature) for r in errors.signature_groups(facts).collect()))
+    words = {s: frozenset(s[4:].split()) for _, s in ordered}
+    by_word: dict[str, list] = {}
+    want = {}
+    for pos, s in ordered:  # the one-by-one walk; only leaders that share a word can be similar
+        near = {led for w in words[s] for led in by_word.get(w, ())}
+        mine = min((p for p, t in near if len(words[s] & words[t]) / len(words[s] | words[t]) >= 0.5), default=None)
+        want[s] = pos if mine is None else mine
+        if mine is None:
+            for w in words[s]:
+                by_word.setdefault(w, []).append((pos, s))
+    assert got == want
+
+
 def test_cluster_profile_of_known_entries(spark):
     rows = [
         ("p", 1, "2024-01-01 10:00:00 ERROR PayError: card 12345 refused in charge\n  at pay.Card.run(Card.java:3)\n  at pay.Http.post(Http.java:9)"),
@@ -139,7 +163,7 @@ def test_untimed_clusters_fall_back_then_unknown(spark):
     assert got == {1: "new", 2: "new", 3: "unknown"}
 
 
-def random_log(rng, n=700, before=0):
+def random_lines(rng, n=700, before=0):
     opens = "2024-05-05 10:00:00 ERROR start"
     lines = [opens if rng.random() < 0.02 else f"  detail line number {rng.randint(0, 9)} é" for _ in range(n)]
     return ["no opener at all in this file"] * before + lines
@@ -156,7 +180,7 @@ def test_entry_cap_equals_line_walk(spark, monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(logs, "LINES_PER_BLOCK", 50)
     for before in (0, 200):
-        lines = random_log(rng, before=before)
+        lines = random_lines(rng, before=before)
         df = spark.createDataFrame([("n", "x.log", "\n".join(lines))], "namespace string, source_file string, text string")
         got = sorted((r.line_start, r.line_end, r.text) for r in logs.log_entries(logs.number_lines(df)).collect())
         assert got == kept_entries(lines)
@@ -165,8 +189,8 @@ def test_entry_cap_equals_line_walk(spark, monkeypatch):
 def test_log_folder_read_in_byte_ranges(spark, tmp_path):
     """Ranges end anywhere: inside lines, characters and entries. Entries equal those of whole files, in order."""
     rng = random.Random(4)
-    files = {"a b+c.log": random_log(rng), "sub/x.out": random_log(rng, 300, 200), "bare.txt": ["plain words without any opening line here"] * 100,
-             "empty.err": [], "skip.md": random_log(rng, 50)}
+    files = {"a b+c.log": random_lines(rng), "sub/x.out": random_lines(rng, 300, 200), "bare.txt": ["plain words without any opening line here"] * 100,
+             "empty.err": [], "skip.md": random_lines(rng, 50)}
     files["sparse.log"] = [""] * 60 + ["x"] * 40 + [""] * 40
     for name, lines in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
