@@ -15,6 +15,7 @@ from faultline.plans import views
 from faultline.plans.registry import Catalog, big, joined, stamp
 from faultline.session import cut, scratch_root
 from faultline.sources import chunks, files, logs
+from faultline.sources.chunktable import ChunkTable
 
 C = Catalog()
 NS = "namespace"
@@ -152,6 +153,21 @@ def upsert_chunks(spark, sf):
     return chunks.upsert_chunks(old, new)
 
 
+@C.add("S10_versioned_table", O.sql(O.DOC_CHUNKS, """
+SELECT namespace, chunk_id, source_file, CAST(line_start AS BIGINT) AS line_start, CASE WHEN line_start % 64 = 1 THEN 'v2 ' || text ELSE text END AS text, CAST(2 AS BIGINT) AS version
+FROM doc_chunks WHERE namespace <> 'ns1'"""))
+def versioned_table(spark, sf):
+    """Two loads, one that changes nothing, a namespace ended: what the table holds, and the version each namespace is of."""
+    held = ChunkTable(spark, f"{scratch_root(spark)}/faultline-chunks-{uuid.uuid4().hex}")
+    first = cut(doc_chunks(spark, sf).select("namespace", "chunk_id", "source_file", "line_start", "text", F.lit(1).alias("load_ts")), "chunks")
+    again = F.col("line_start") % 64 == 1
+    held.upsert(first)
+    held.upsert(first.where(again).withColumn("text", F.concat(F.lit("v2 "), F.col("text"))).withColumn("load_ts", F.lit(2)))
+    held.upsert(first.where(~again).withColumn("load_ts", F.lit(3)))
+    held.delete("ns1")
+    return held.read().join(held.current(), NS).select(NS, "chunk_id", "source_file", "line_start", "text", "version")
+
+
 @C.add("S11_delete_namespace", O.sql(O.DOC_CHUNKS, """
 SELECT namespace, chunk_id FROM doc_chunks WHERE namespace <> 'ns1'"""))
 def delete_namespace(spark, sf):

@@ -40,7 +40,8 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row per chunk id, the newest ``load_ts`` winning; both sides carry the same columns.
 
-    ``max_by`` combines on the map side, so a chunk re-loaded many times is not gathered first.
+    ``max_by`` combines on the map side, so a chunk re-loaded many times is not gathered first. Docstrings and imports
+    (a text, or lines joined by newlines) are cut to 500 characters.
     """
     rows = old.unionByName(new)
     columns = [c for c in rows.columns if c not in ("namespace", "chunk_id")]
@@ -48,6 +49,10 @@ def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     out = latest.select("namespace", "chunk_id", "row.*")
     if "docstring" in columns:
         out = out.withColumn("docstring", F.substring("docstring", 1, STORED_TEXT))
+    if "imports" in columns:
+        lines = dict(rows.dtypes)["imports"] == "array<string>"
+        text = F.substring(F.array_join("imports", "\n") if lines else F.col("imports"), 1, STORED_TEXT)
+        out = out.withColumn("imports", F.when(F.size("imports") == 0, F.col("imports")).otherwise(F.split(text, "\n")) if lines else text)
     return out
 
 

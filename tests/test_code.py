@@ -7,6 +7,7 @@ from faultline.operators import codeunits as U
 from faultline.operators import graph as G
 from faultline.plans import views
 from faultline.sources import chunks, files, logs
+from faultline.sources.chunktable import ChunkTable
 from faultline.streaming import logs as stream
 
 
@@ -167,6 +168,43 @@ def test_upsert_and_namespace_overwrite(spark, tmp_path):
     assert meta == {"k": "v", "repo_owner": "team", "repo_name": "digit", "branch": "default", "commit_hash": "a" * 12, "commit_message": "msg", "commit_author": "me"}
 
 
+def test_chunk_table_versions(spark, tmp_path):
+    schema = "namespace string, source_file string, line_start long, line_end long, text string, load_ts int, docstring string, imports array<string>"
+
+    def rows(*of):
+        return chunks.with_ids(spark.createDataFrame([(ns, "f", i, i + 1, t, ts, "d" * 600, ["import " + "x" * 400] * 2) for ns, i, t, ts in of], schema))
+
+    def held():
+        return sorted((r.namespace, r.line_start, r.text) for r in table.read().collect())
+
+    def report(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    table = ChunkTable(spark, str(tmp_path / "t"))
+    assert table.read() is None and table.current().count() == 0
+    assert report(table.upsert(rows(("02", 1, "one", 1), ("02", 3, "two", 1), ("01", 1, "number", 1)))) == [("01", 1, 0, 0), ("02", 2, 0, 0)]
+    assert held() == [("01", 1, "number"), ("02", 1, "one"), ("02", 3, "two")]
+    first = table.read().where("namespace = '02'").first()
+    assert len(first.docstring) == 500 and sum(map(len, first.imports)) + 1 == 500
+    # A load read from the table itself, with one change: only that namespace gets a new version.
+    again = table.read().withColumn("text", F.when(F.col("text") == "two", "2").otherwise(F.col("text"))).withColumn("load_ts", F.lit(2))
+    assert report(table.upsert(again)) == [("01", 0, 0, 1), ("02", 0, 1, 1)]
+    assert {r.namespace: r.version for r in table.current().collect()} == {"01": 1, "02": 2}
+    # Nothing new: no version. A load that dies before its commit: no change.
+    table.upsert(rows(("02", 1, "one", 9)))
+    table._stage(rows(("02", 1, "lost", 10), ("03", 1, "lost", 10)))
+    before = [("01", 1, "number"), ("02", 1, "one"), ("02", 3, "2")]
+    assert held() == before and table.commits().agg(F.max("version")).first()[0] == 2
+    (tmp_path / "t" / "commits" / "000000000009-x" / "_temporary").mkdir(parents=True)
+    (tmp_path / "t" / "commits" / "000000000009-x" / "_temporary" / "part-0.json").write_text('{"version": 9, "load": "x", "namespace": "02", "live": false}')
+    assert held() == before
+    table.delete("02")
+    table.delete("never")
+    assert held() == [("01", 1, "number")]
+    table.upsert(rows(("02", 5, "back", 11)))
+    assert held() == [("01", 1, "number"), ("02", 5, "back")]
+
+
 def follow(spark, tmp_path, batches, **options):
     """Alerts (kind, at, n, last_1h, last_24h), and the number of state rows after each batch of lines."""
     src, out, progress = (tmp_path / x for x in ("in", "out", "progress"))
