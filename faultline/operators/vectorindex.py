@@ -27,6 +27,8 @@ NS, Q = "namespace", "query_id"
 CELL, PIVOTS, BLOCK, QUERY_BLOCK = 512, 4096, 4096, 512
 #: Distances are rounded to nine decimals; bounds leave room for that and for the rounding of sums.
 SLACK = 1e-8
+#: Hits a task holds back.
+WAITING = 1 << 19
 
 
 @dataclass
@@ -110,9 +112,29 @@ def _query_blocks(rows: DataFrame) -> DataFrame:
         blocked, f"{NS} string, cell int, asked array<bigint>, data binary, limits array<double>")
 
 
+def _best(hits: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best hits of each query among those of a task."""
+    rows = pd.concat(hits, ignore_index=True)
+    return rows.sort_values([Q, "distance", "chunk_id"], kind="stable").groupby(Q, sort=False).head(k)
+
+
 def _compared(met: DataFrame, k: int) -> DataFrame:
-    """The k best hits of each query in each block it meets (asked, q_data, limits, ids, data, dim)."""
+    """The k best hits of each query among the blocks (asked, q_data, limits, ids, data, dim) of a task.
+
+    Hits wait in the task until there are ``WAITING`` of them and are cut to k per query then; what is still more goes out.
+    """
     def run(batches):
+        held: list[pd.DataFrame] = []
+        for hits in compare(batches):
+            held.append(hits)
+            if sum(map(len, held)) > WAITING:
+                held = [_best(held, k)]
+                if len(held[0]) > WAITING // 2:
+                    yield held.pop()
+        if held:
+            yield _best(held, k)
+
+    def compare(batches):
         for pdf in batches:
             for asked, q_data, limits, ids, data, dim in pdf[["asked", "q_data", "limits", "ids", "data", "dim"]].itertuples(index=False):
                 q, x, names = _matrix(q_data, dim), _matrix(data, dim), np.asarray(ids, dtype=str)
