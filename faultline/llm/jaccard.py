@@ -11,15 +11,16 @@ grams with, in groups of bounded size, and there the sets stand in a compressed
 for all sets that share a path; the overlap so far is kept at each node, and a subtree is left as soon as overlap plus
 the members that remain on either side cannot reach the overlap needed, or when all of its sets are already linked to
 the set. Found links are contracted to components. Rounds with other hubs follow while they still find links; at the end
-all pairs of sets that share enough prefix grams and are in different components are compared, so no link between
-components is missed; sets whose prefixes hold common grams meet in blocks for that.
+all sets that share enough prefix grams with a set of another component meet it in a trie, so no link between components
+is missed; sets whose prefixes hold common grams find their partners in blocks. Candidate pairs are never rows with sets.
 
 A hot group (copies, a common passage) costs its members one row per round: hubs come from aggregates, equal sets are one
 row, and groups are cut to ``GROUP`` sets each.
 
 Defined results: without words or text a set is empty and linked with nothing; with fewer words than n the whole sequence is
-one gram; repeated rows are copies; of rows with equal ids and different texts the set with the smallest digest is joined, and
-all of them get its component; a null id is returned without links; an empty table gives no rows; other columns are not read. Hashes of 63 bits stand for the grams.
+one gram; repeated rows are copies; rows with equal ids and different texts are each joined and linked with one another; a null
+id is returned without links; an empty table gives no rows; other columns are not read. Hashes of 63 bits stand for the
+grams and, past the comparison of whole sets, for the sets.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from faultline.llm.graph import components
 COMMON = 64
 GROUP = 256
 BLOCK = 1024
+CELL = 128
 ROUNDS = 2
 CACHE = 1 << 20
 
@@ -172,11 +174,6 @@ def link_group(sets: list[np.ndarray], num: int, den: int, roots: list[int]) ->
     return links
 
 
-def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return den * common >= num * (len(a) + len(b) - common) and common > 0
-
-
 def sketched(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n, digest of the set, first: its first members (empty where only an equal set can be similar)."""
     def run(batches):
@@ -218,10 +215,10 @@ def prefixes(reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
         return rows.join(shifts, "doc", "left").where(place < p).select("gram", "doc", "n")
 
     dense = hits.groupBy("doc", "n").agg(F.sum(common.cast("long")).alias("c")).where(held - F.col("c") < p)
-    dense = keep(dense.join(reps.select("doc", "digest"), "doc").select("doc", "n", "digest"), "dense")
+    dense = keep(dense.join(reps.select("doc", "id", "digest"), "doc").select("doc", "id", "n", "digest"), "dense")
     # Sets that hold too many common grams: all their members in the new order.
     counts = keep(df.where(common).select("gram", "df"), "common")
-    whole = join_small(texts, dense, ["doc"])
+    whole = join_small(texts, dense, ["id"])
     if counts.limit(SMALL + 1).count() <= SMALL:
         anew = reordered(whole, counts, n, num, den)
     else:
@@ -272,8 +269,8 @@ def grams_of(texts: DataFrame, n: int) -> DataFrame:
 
 def full_sets(wanted: DataFrame, reps: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """doc, n, members of the wanted sets, from their texts."""
-    wanted = keep(wanted.toDF("doc").distinct().join(reps.select("doc", "n", "digest"), "doc"), "wanted")
-    return keep(grams_of(join_small(texts, wanted, ["doc"]), n), "members")
+    wanted = keep(wanted.toDF("doc").distinct().join(reps.select("doc", "id", "n", "digest"), "doc"), "wanted")
+    return keep(grams_of(join_small(texts, wanted, ["id"]), n), "members")
 
 
 def streamed_groups(batches, keys: list[str]):
@@ -325,22 +322,15 @@ def round_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: Da
     members = dealt.select("hub", "part", "doc", "root").unionByName(
         dealt.select("hub", "part", F.col("hub").alias("doc"), F.col("hub_root").alias("root")).distinct())
 
-    def join_groups(batches):
-        for pdf in streamed_groups(batches, ["hub", "part"]):
-            pdf = pdf.drop_duplicates("doc")
-            ids = pdf["doc"].tolist()
-            found = link_group([np.asarray(m) for m in pdf["members"]], num, den, pdf["root"].tolist())
-            if found:
-                yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
-
     full = members.join(sets.select("doc", "members"), "doc").repartition("hub", "part")
-    return full.sortWithinPartitions("hub", "part").mapInPandas(join_groups, "a long, b long")
+    return full.sortWithinPartitions("hub", "part").mapInPandas(linked_in(["hub", "part"], num, den), "a long, b long")
 
 
-def family_pairs(entries: DataFrame, common: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of sets from different components that share enough prefix grams, for sets with a prefix gram that
-    more than COMMON sets have there. Sets that such grams connect are a family; its prefixes meet block by block, so a family of m sets costs
-    m / BLOCK copies of each prefix, and the pairs themselves never become rows before they pass the bound."""
+def family_groups(entries: DataFrame, common: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """g0..g4, doc: cells of sets that share enough prefix grams with sets of other components, for sets with a prefix
+    gram that more than COMMON sets have there. Sets that such grams connect are a family; its prefixes meet block by
+    block, so a family of m sets costs m / BLOCK copies of each prefix. Pairs never become rows: the sets of a block that
+    have partners go into cells of CELL by CELL sets."""
     hubs = common.groupBy("gram").agg(F.min("doc").alias("hub"))
     chained = components(common.join(hubs, "gram").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
     families = keep(chained.select(F.col("node").alias("doc"), F.col("root").alias("family")), "families")
@@ -355,8 +345,9 @@ def family_pairs(entries: DataFrame, common: DataFrame, roots: DataFrame, num: i
 
     def meet(batches):
         for pdf in streamed_groups(batches, ["family", "lo", "hi"]):
-            inner = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-            left, right = (pdf, pdf) if inner else (pdf[pdf["part"] == pdf["lo"]], pdf[pdf["part"] == pdf["hi"]])
+            family, lo, hi = (int(pdf[c].iloc[0]) for c in ("family", "lo", "hi"))
+            pdf = pdf.sort_values(["n", "doc"])  # sets of like sizes stand in the same cells
+            left, right = (pdf, pdf) if lo == hi else (pdf[pdf["part"] == lo], pdf[pdf["part"] == hi])
             if not len(left) or not len(right):
                 continue
             places = np.repeat(np.arange(len(right)), [len(g) for g in right["grams"]])
@@ -364,7 +355,9 @@ def family_pairs(entries: DataFrame, common: DataFrame, roots: DataFrame, num: i
             order = np.argsort(flat, kind="stable")
             flat, places = flat[order], places[order]
             ids, n, roots_ = (right[c].to_numpy() for c in ("doc", "n", "root"))
-            for doc, size, root, grams in zip(left["doc"], left["n"], left["root"], left["grams"], strict=True):
+            met: set[tuple[int, int, int]] = set()
+            for row, (doc, size, root, grams) in enumerate(
+                    zip(left["doc"], left["n"], left["root"], left["grams"], strict=True)):
                 a, b = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
                 hits = np.concatenate([places[x:y] for x, y in zip(a, b, strict=True)])
                 shared = np.bincount(hits, minlength=len(ids))
@@ -372,17 +365,22 @@ def family_pairs(entries: DataFrame, common: DataFrame, roots: DataFrame, num: i
                 need = -(-(num * (n + size)) // (den + num))
                 ok = (shared > 0) & (roots_ != root) & (num * most <= den * np.minimum(n, size))
                 ok &= shared - (-num * most // den) - 1 >= need
-                found = ids[ok & (ids > doc)] if inner else ids[ok]
-                if len(found):
-                    yield pd.DataFrame({"a": np.minimum(found, doc), "b": np.maximum(found, doc)})
+                if lo == hi:
+                    ok[: row + 1] = False
+                for j in np.flatnonzero(ok).tolist():
+                    met.add((row // CELL, j // CELL, int(ids[j])))
+                    met.add((row // CELL, j // CELL, int(doc)))
+            if met:
+                yield pd.DataFrame([(family, lo, hi, x, y, doc) for x, y, doc in sorted(met)],
+                                   columns=["g0", "g1", "g2", "g3", "g4", "doc"])
 
     dealt = cells.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
-    return dealt.mapInPandas(meet, "a long, b long")
+    return dealt.mapInPandas(meet, "g0 long, g1 long, g2 long, g3 long, g4 long, doc long")
 
 
 def rest_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: DataFrame, n: int, num: int,
                den: int) -> DataFrame:
-    """a, b: links among sets that share enough prefix grams and are still in different components."""
+    """a, b: links that join what is still in different components, among all sets that share enough prefix grams."""
     open_ = entries.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     split = open_.groupBy("gram").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets")).where("lo < hi")
@@ -394,33 +392,46 @@ def rest_links(entries: DataFrame, reps: DataFrame, texts: DataFrame, roots: Dat
         & (num * F.greatest("n", "nb") <= den * F.least("n", "nb")))
     pairs = pairs.groupBy("a", "b", "n", "nb").agg(F.count(F.lit(1)).alias("shared")).where(
         shared_enough("n", "nb", "shared", num, den)).select("a", "b")
-    dense = family_pairs(entries, open_.where(F.col("sets") > COMMON), roots, num, den)
-    pairs = keep(pairs.unionByName(dense).distinct(), "bounded")
-    sets = full_sets(pairs.select("a").union(pairs.select("b")), reps, texts, n)
-
-    def exact(batches):
-        for pdf in batches:
-            ok = [similar(np.asarray(x), np.asarray(y), num, den) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+    # A set and its partners with rare grams are a group; ``g1`` is -1 there and a block's number in families.
+    stars = pairs.select(F.col("a").alias("g0"), F.explode(F.array("a", "b")).alias("doc")).distinct().select(
+        "g0", *[F.lit(-1).cast("long").alias(f"g{i}") for i in range(1, 5)], "doc")
+    groups = family_groups(entries, open_.where(F.col("sets") > COMMON), roots, num, den).unionByName(stars)
+    groups = keep(groups, "groups")
+    drop_kept(open_)
+    sets = full_sets(groups.select("doc"), reps, texts, n)
+    keys = [f"g{i}" for i in range(5)]
+    full = groups.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(
+        sets.select("doc", "members"), "doc").repartition(*keys)
+    return full.sortWithinPartitions(*keys).mapInPandas(linked_in(keys, num, den), "a long, b long")
+
+
+def linked_in(keys: list[str], num: int, den: int):
+    """Task code: links of ``link_group`` for every group of rows with equal ``keys``."""
+    def run(batches):
+        for pdf in streamed_groups(batches, keys):
+            pdf = pdf.drop_duplicates("doc")
+            ids = pdf["doc"].tolist()
+            found = link_group([np.asarray(m) for m in pdf["members"]], num, den, pdf["root"].tolist())
+            if found:
+                yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("sa")), "a").join(
-        sets.select(F.col("doc").alias("b"), F.col("members").alias("sb")), "b")
-    return both.mapInPandas(exact, "a long, b long")
+    return run
 
 
 def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    all_ = keep(sketched(docs, id_col, text_col, n, num, den), "sets")
-    known = all_.where("n > 0 and doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.min(F.struct("digest", "n", "first")).alias("s")).select("doc_id", "s.*")
-    known = keep(known, "known")
-    sizes, ids = keep(all_.select("doc_id", "n"), "sizes"), keep(known.select("doc_id", "digest"), "ids")
-    classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("doc")), "classes")
-    reps = keep(known.join(classes.select("doc"), F.col("doc_id") == F.col("doc")).select(
-        "doc", "n", "first", "digest"), "reps")
-    drop_kept(all_, known)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    key = F.shiftrightunsigned(F.xxhash64("digest"), 1)
+    all_ = keep(sketched(docs, id_col, text_col, n, num, den).withColumn(
+        "doc", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), key)), "sets")
+    rows = keep(all_.select("doc_id", "n", "doc"), "rows")
+    least = rows.where("doc is not null").groupBy("doc").agg(F.min("doc_id").alias("id"))
+    # A row for every different set, with the smallest id that has it: its text is read there again.
+    reps = all_.join(least, (all_["doc"] == least["doc"]) & (F.col("doc_id") == F.col("id"))).groupBy(least["doc"], "id").agg(
+        F.min(F.struct("digest", "n", "first")).alias("s"))
+    reps = keep(reps.select("doc", "id", "s.*"), "reps")
+    drop_kept(all_)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     entries = prefixes(reps, texts, n, num, den)
     links, roots = None, None
     for turn in range(ROUNDS):
@@ -433,8 +444,13 @@ def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         roots = entries.select("doc", F.col("doc").alias("root")).limit(0)
     rest = keep(rest_links(entries, reps, texts, roots, n, num, den), "rest")
     links = rest if links is None else links.unionByName(rest)
-    # Copies of a set, and equal ids with several sets, are links as well.
-    same_set = ids.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    final = components(links.unionByName(same_set)).select(F.col("node").alias("doc_id"), "root")
-    return sizes.join(final, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    # Equal ids with several sets are links as well.
+    several = rows.where("doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z")
+    same_id = rows.join(several, "doc_id").select("a", F.col("doc").alias("b")).where("b is not null")
+    final = keep(components(links.unionByName(same_id)), "classes")
+    joined = reps.select("doc", "id").join(final.select(F.col("node").alias("doc"), "root"), "doc")
+    smallest = joined.groupBy("root").agg(F.min("id").alias("component"))
+    linked = joined.join(smallest, "root").select("doc", "component")
+    of_set = reps.select("doc", "id").join(linked, "doc", "left").select("doc", F.coalesce("component", "id").alias("component"))
+    return rows.join(of_set, "doc", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -7,7 +7,8 @@ substrings are exploded and joined with the piece table, the edges found are gro
 edges gives the segmentation. For a unigram model that is Viterbi's best path. A byte-pair model has no additive
 path score: its segmentation is the outcome of merges in order of piece score, so there the fold walks the same lattice
 merge by merge (boundaries as bits of one number). The dictionary goes to the tasks, which is safe as its size is
-bounded; words beyond it are encoded by the same rules where they occur, each once per task. Characters without a
+bounded; words beyond it are encoded by the same rules where they occur, once per task and ``FLUSH`` of them. Texts
+are counted and encoded by their parts between blanks, each part split into words once. Characters without a
 piece become the pieces of their UTF-8 bytes, or the unknown piece in models without such pieces.
 
 Decoding joins the bytes of the pieces; ``decoded`` of ``encoded`` gives the text back whenever it holds no space mark of its own.
@@ -92,6 +93,18 @@ class Pieces:
             return []
         return self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
 
+    def chunks(self, text: str | None) -> list[str]:
+        """Parts between blanks, each split into words by itself with a mark in front; the whole text where that would
+        not do (runs of blanks, marks in the text, models without a mark in front)."""
+        if not text:
+            return []
+        if not self.prefix or "  " in text or text[0] == " " or MARK in text:
+            return [" " + text]
+        return text.split(" ")
+
+    def words_of(self, chunk: str) -> list[str]:
+        return self.split(chunk[1:]) if chunk[:1] == " " else self.words.findall(MARK + chunk)
+
     def single(self, char: str) -> list[int]:
         known = self.scores.get(char)
         if known is not None:
@@ -181,17 +194,24 @@ def word_counts(docs: DataFrame, text_col: str, pieces: Pieces) -> DataFrame:
     def run(batches):
         from collections import Counter
 
-        counts: Counter[str] = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                counts.update(shared.value.split(text))
-                if len(counts) > FLUSH:
-                    yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
-                    counts.clear()
-        if counts:
-            yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long")
+        def words(chunks: Counter[str]) -> pd.DataFrame:
+            counts: Counter[str] = Counter()
+            for chunk, n in chunks.items():
+                for word in shared.value.words_of(chunk):
+                    counts[word] += n
+            chunks.clear()
+            return pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+
+        chunks: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                chunks.update(shared.value.chunks(text))
+                if len(chunks) > FLUSH:
+                    yield pa.RecordBatch.from_pandas(words(chunks), preserve_index=False)
+        if chunks:
+            yield pa.RecordBatch.from_pandas(words(chunks), preserve_index=False)
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -265,6 +285,44 @@ def dictionary(docs: DataFrame, text_col: str, pieces: Pieces, most: int = DICTI
     return {w: np.asarray(ids, np.int32).tobytes() for w, ids in zip(rows["word"], rows["ids"], strict=True)}
 
 
+class Encodings(dict):
+    """Chunks of texts with the bytes of their ids, filled as they are asked for; ``odd``: those that do not decode to
+    themselves."""
+
+    def __init__(self, pieces: Pieces, words: dict[str, bytes]) -> None:
+        super().__init__()
+        self.pieces, self.words, self.odd, self.rare = pieces, words, set(), {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        parts = []
+        for w in self.pieces.words_of(chunk):
+            part = self.words.get(w) or self.rare.get(w)
+            if part is None:
+                part = self.rare[w] = np.array(self.pieces.encode_word(w), np.int32).tobytes()
+            parts.append(part)
+        ids = b"".join(parts)
+        if chunk[:1] == " ":  # a whole text
+            return ids
+        self[chunk] = ids
+        if raw_of(np.frombuffer(ids, np.int32), self.pieces) != b" " + chunk.encode("utf-8", "surrogatepass"):
+            self.odd.add(chunk)
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > FLUSH or len(self.rare) > FLUSH:
+            self.clear()
+            self.odd.clear()
+            self.rare.clear()
+
+    def text(self, text: str | None) -> tuple[bytes, bool]:
+        """The ids and whether they decode to the text."""
+        chunks = self.pieces.chunks(text)
+        ids = b"".join(map(self.__getitem__, chunks))
+        if (chunks and chunks[0][:1] == " ") or not self.odd.isdisjoint(chunks):
+            return ids, decode_ids(np.frombuffer(ids, np.int32), self.pieces) == text
+        return ids, True  # every chunk decodes to itself, with the blank before it
+
+
 def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text",
             most: int = DICTIONARY) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (decoding gives the text back) for every row."""
@@ -275,28 +333,12 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        p, have = shared.value, known.value
-        more: dict[str, bytes] = {}
-
-        def ids_of(text: str | None) -> bytes:
-            parts = []
-            for w in p.split(text):
-                part = have.get(w)
-                if part is None:
-                    part = more.get(w)
-                    if part is None:
-                        part = more[w] = np.array(p.encode_word(w), np.int32).tobytes()
-                parts.append(part)
-            return b"".join(parts)
-
+        encodings = Encodings(shared.value, known.value)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                if len(more) > FLUSH:
-                    more.clear()
-                texts = batch.column(1).to_pylist()
-                raws = [ids_of(t) for t in texts]
-                same = [decode_ids(np.frombuffer(r, np.int32), p) == (t or "") for r, t in zip(raws, texts, strict=True)]
+                encodings.trim()
+                raws, same = zip(*map(encodings.text, batch.column(1).to_pylist()), strict=True)
                 sizes = np.array([len(r) // 4 for r in raws], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), np.int32)))
@@ -308,8 +350,12 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>, n_tokens long, round_trip boolean")
 
 
+def raw_of(ids: np.ndarray, pieces: Pieces) -> bytes:
+    return b"".join([pieces.raw[i] for i in ids.tolist()])
+
+
 def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
-    raw = b"".join([pieces.raw[i] for i in ids.tolist()])
+    raw = raw_of(ids, pieces)
     return (raw[1:] if pieces.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 

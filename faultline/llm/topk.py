@@ -11,8 +11,8 @@ Queries stand in blocks of ``QUERIES``; a candidate block is read once per query
 queries requires. Query blocks are broadcast while they are few (counted), else joined by number.
 
 Defined results: vectors that are null or empty or hold null or non-finite components, and null ids, take no part; shorter
-vectors count as padded with zeros; a row repeated with id and vector counts once; a query never finds rows with its own id;
-ties go to the smaller id; with fewer than k others all are returned; an empty table gives no rows. Sums are exact
+vectors count as padded with zeros; of rows with equal ids each is a candidate, and the
+queries among them are asked once per different vector; a query never finds rows with its own id; ties go to the smaller id; with fewer than k others all are returned; an empty table gives no rows. Sums are exact
 while they stay below 2**63.
 """
 
@@ -106,9 +106,9 @@ def top_products(embeddings: DataFrame, k: int = 10, every: int = 100, scale: in
                  vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for queries (ids divisible by ``every``) against all rows."""
     rows = rows_of(embeddings, id_col, vec_col).where(F.col("id").isNotNull() & usable("v"))
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v")).distinct()
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
     rows = keep(rows, "integers")
-    asked = rows.where(F.col("id") % every == 0)
+    asked = rows.where(F.col("id") % every == 0).distinct()
     parts = -(-asked.count() // QUERIES)
     dealt = asked.repartition(max(1, parts), F.xxhash64("id"))
     queries = keep(blocks(dealt, QUERIES), "queries").withColumn("q", F.monotonically_increasing_id())

@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Fit: labelled documents that are not held out give, per hashed token and class, the number of documents that use it;
-of near copies (equal smallest hash of a word pair) one counts. A token's score is its log-odds ratio between the
+of near copies (equal smallest hash of a word pair) one counts, the one whose id has the smallest hash. A token's score is its log-odds ratio between the
 classes with a Dirichlet prior in proportion to its frequency; ratios that are not significant count as nothing, and every token pays a small drift, so that random text scores below zero. Under the
 token distribution of clean text the scores have a decay rate ``lam`` (root of E[exp(lam * s)] = 1) and the number of
 chance passages scoring S or more in n tokens is about ``K * n * exp(-lam * S)``: the E-value. K is measured on clean
@@ -174,9 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(fit_rows) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * fit_rows ids
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
-    texts = texts.select("text", "y", (F.pmod(spread_seed("doc_id", seed=3), F.lit(2)) == 0).alias("counted"))
-    texts = texts.mapInPandas(signed, "text string, y int, counted boolean, pair long").dropDuplicates(["y", "pair"])
-    texts = keep(texts.drop("pair"), "toxic-fit")
+    # Of near copies the smallest hash of the id stays, whatever the layout of the rows: ties go to the text.
+    texts = texts.select("text", "y", spread_seed("doc_id", seed=3).alias("place"))
+    signs = texts.mapInPandas(signed, "text string, y int, place long, pair long")
+    first = signs.groupBy("y", "pair").agg(F.min(F.struct("place", "text")).alias("first")).select("y", "first.*")
+    texts = keep(first.select("text", "y", (F.pmod("place", F.lit(2)) == 0).alias("counted")), "toxic-fit")
 
     def count(batches):
         cache: dict[str, int] = {}
@@ -205,6 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     unseen = texts.where("not counted").select("text", "y").mapInPandas(scan, "y int, n long, segments array<double>")
     unseen = unseen.toPandas()  # at most 2 * fit_rows documents
+    # Sums of floats depend on their order: it must not follow the layout.
+    order = sorted(range(len(unseen)), key=lambda i: (unseen["y"][i], unseen["n"][i], tuple(unseen["segments"][i])))
+    unseen = unseen.iloc[order]
     quiet = unseen[unseen["y"] == 0]
     chance = sum(int((np.asarray(s) >= SURE_SCORE).sum()) for s in quiet["segments"])
     model.k = (chance + 0.5) * np.exp(model.lam * SURE_SCORE) / max(1.0, float(quiet["n"].sum()))

@@ -60,6 +60,12 @@ def test_pieces_agree_with_the_library(docs, odd_rows):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
     assert all(r["round_trip"] for r in got)
     tokens = pieces.encoded(docs).select("doc_id", "ids")
+    # Runs of blanks, blanks at the ends and marks go another way than plain words.
+    texts = ["a b ", " lead", "two  blanks", "mark ▁ inside", "x ▁", "new\nline\ttab end", "é 🙂", " ", "\ufffd a"]
+    frame = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encoded(frame, most=2).collect():
+        text = texts[r["doc_id"]]
+        assert list(r["ids"]) == sp.encode(text) and r["round_trip"] == ("▁" not in text)
     back = Counter((r["doc_id"], r["text"]) for r in pieces.decoded(tokens).collect())
     assert back == Counter((i, t or "") for i, t, *_ in odd_rows)
 
@@ -107,6 +113,18 @@ def test_toxicity_learns_and_leaves_held_out_alone(spark):
     assert all((got[i] >= 0.5) == (i % 5 == 0) for i in unseen)
 
 
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    rows = []
+    for i in range(300):
+        text = prose(i // 3, 40)  # groups of three share most of their words
+        rows.append((i, text + (" vile rotten" * (i % 4) if i % 5 == 1 else f" word{i}"), int(i % 5 == 1)))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    runs = [sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity(d.repartition(n), lab.repartition(n)).collect())
+            for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_toxicity_of_odd_rows(docs, empty, labels):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
@@ -158,9 +176,8 @@ def test_induced_order_finds_equal_windows():
 def brute_products(rows, k, every, scale=1024):
     ok = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows
           if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    ok = sorted({(i, tuple(v)) for i, v in ok})
     out = []
-    for q, v in ok:
+    for q, v in sorted({(i, tuple(v)) for i, v in ok}):
         if q % every == 0:
             s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:k]
             out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
@@ -173,7 +190,7 @@ def test_top_products(spark, monkeypatch):
     r = np.random.default_rng(1)
     rows = [(i, (r.integers(-3, 4, 8) / 4).tolist()) for i in range(150)]
     rows += [(200, None), (201, [None] * 8), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, [1.0] * 8), (204, []),
-             (5, rows[5][1]), (205, [1.0, 0.5]), (206, [0.0] * 8)]
+             (5, rows[5][1]), (7, rows[7][1]), (7, rows[7][1]), (205, [1.0, 0.5]), (206, [0.0] * 8)]
     e = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, q long").repartition(3)
     got = topk.top_products(e, k=10, every=5)
     assert sorted(tuple(x) for x in got.collect()) == brute_products(rows, 10, 5)
@@ -357,6 +374,27 @@ def test_ngram_classes(spark, docs, empty, odd_rows, monkeypatch, common):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in jaccard.similarity_classes(d).collect()), key=str) == brute_classes(rows, 4, 85, 100)
     assert jaccard.similarity_classes(empty).count() == 0
+    # Every text of a repeated id is joined; a row without words is linked with nothing.
+    twice = [(5, prose(1, 40)), (5, prose(2, 40)), (6, prose(2, 40)), (7, prose(1, 40)), (8, ""), (9, prose(3, 40))]
+    d = spark.createDataFrame(twice, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.similarity_classes(d).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 8), (9, 9)}
+
+
+@pytest.mark.parametrize("cell", [jaccard.CELL, 3])
+def test_families_without_links_meet_in_cells(spark, monkeypatch, cell):
+    for name, value in (("COMMON", 3), ("BLOCK", 16), ("CELL", cell), ("ROUNDS", 1), ("GROUP", 4), ("SMALL", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    passage = prose(70, 60)
+    rows = []
+    for i in range(90):
+        words = (passage + " " + prose(100 + i // 3, 25)).split()
+        r = random.Random(i)
+        for _ in range(i % 3):
+            words[r.randrange(len(words))] = "new" + str(i)
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.similarity_classes(d).collect()), key=str) == brute_classes(rows, 4, 85, 100)
 
 
 def test_quality(spark, docs, empty):
@@ -414,4 +452,4 @@ def test_pipeline_stages_on_odd_rows(spark, docs, empty, labels, tmp_path):
 
 def test_registered_queries():
     assert [q for q in queries.C.queries if q.startswith("op")] and set(corpus_pipeline.C.queries) == {"pipeline"}
-    assert len({q.split("_")[0] for q in queries.C.queries}) == 10
+    assert len({q.split("_")[0] for q in queries.C.queries}) == 13
