@@ -13,8 +13,8 @@ prefix of neighbours is one more than the smallest common prefix between their s
 windows are equal, and the smallest document of such a run is known. Only suffixes that start at the same distance from
 their anchor can be equal, so no other pairs of columns are sorted.
 
-Hot anchors (more than ``HOT`` different contexts, as at the end of a passage that very many documents share) are not sorted
-in one place: their windows become rows keyed by a 128-bit hash, whose smallest document comes from a pre-aggregated
+Hot anchors (more than ``HOT`` different contexts, as at the end of a passage that very many documents share) would not fit
+into one task's memory: their windows become rows keyed by a 128-bit hash, whose smallest document comes from a pre-aggregated
 shuffle. Both ways give the same answer. Members of one context cost a row each and are never gathered: those
 that are not the smallest document lose the whole context, whatever else holds.
 
@@ -40,7 +40,8 @@ GRAM = 16
 STARTS = WIDTH - GRAM + 1
 BEFORE = STARTS - 1
 CONTEXT = BEFORE + WIDTH
-HOT = 2048
+HOT = 1 << 16  # a context takes some 300 bytes of the task that sorts it
+ROWS = 1 << 12
 SHARD = 1 << 15
 PIECE = 1 << 19
 TAG = 40  # bits of a position; 16 bits of the text's hash stand above it
@@ -133,11 +134,12 @@ def anchor_rows(texts: DataFrame, whole: bool) -> DataFrame:
             for rows, raws in text_batches(pdf):
                 ends = np.cumsum([len(r) for r in raws])
                 at, gram, context, doc = anchors(np.frombuffer(b"".join(raws), np.uint8), ends)
-                out = pd.DataFrame({"gram": gram, "doc": docs[rows[doc]] if len(doc) else doc})
+                ids = docs[rows[doc]] if len(doc) else doc
                 if whole:
-                    out["context"] = context
-                    out["place"] = (tags[rows[doc]] << TAG | at) if len(doc) else at
-                yield out if whole else out.drop_duplicates()
+                    place = (tags[rows[doc]] << TAG | at) if len(doc) else at
+                    yield pd.DataFrame({"gram": gram, "doc": ids, "context": context, "place": place})
+                else:
+                    yield pd.DataFrame({"gram": gram, "doc": ids})
 
     schema = "gram long, doc long" + (", context long, place long" if whole else "")
     return texts.mapInPandas(run, schema)
@@ -188,10 +190,12 @@ def earlier_windows(docs: np.ndarray, before: np.ndarray, raws: list[bytes]) ->
     n = len(raws)
     sizes = np.fromiter(map(len, raws), np.int64, n)
     columns = np.full((CONTEXT, n), MISSING, np.int16)
-    flat = np.frombuffer(b"".join(raws), np.uint8)
-    row = np.repeat(np.arange(n), sizes)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(BEFORE - before, sizes)
-    columns[column, row] = flat
+    for at in range(0, n, ROWS):
+        size = sizes[at:at + ROWS]
+        flat = np.frombuffer(b"".join(raws[at:at + ROWS]), np.uint8)
+        row = np.repeat(np.arange(at, at + len(size)), size)
+        column = np.arange(len(flat)) + np.repeat(BEFORE - before[at:at + ROWS] - (np.cumsum(size) - size), size)
+        columns[column, row] = flat
     order = np.arange(n)
     lcp = np.zeros(n, np.uint8)  # common prefix with the neighbour before in ``order``; nothing follows the last column
     mask = np.zeros(n, np.int64)
