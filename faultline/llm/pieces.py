@@ -7,8 +7,7 @@ substrings are exploded and joined with the piece table, the edges found are gro
 edges gives the segmentation. For a unigram model that is Viterbi's best path. A byte-pair model has no additive
 path score: its segmentation is the outcome of merges in order of piece score, so there the fold walks the same lattice
 merge by merge (boundaries as bits of one number). The dictionary goes to the tasks, which is safe as its size is
-bounded; words beyond it are encoded by the same rules where they occur, once per task and ``FLUSH`` of them. Texts
-are counted and encoded by their parts between blanks, each part split into words once. Characters without a
+bounded; words beyond it are encoded by the same rules where they occur, kept per task until there are ``FLUSH`` of them. Characters without a
 piece become the pieces of their UTF-8 bytes, or the unknown piece in models without such pieces.
 
 Decoding joins the bytes of the pieces; ``decoded`` of ``encoded`` gives the text back whenever it holds no space mark of its own.
@@ -21,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,8 +77,10 @@ class Pieces:
     prefix: bool = True
     longest: int = field(init=False)
     words: re.Pattern = field(init=False)
+    costs: dict[str, float] = field(init=False)
 
     def __post_init__(self) -> None:
+        self.costs = {p: -s for p, (s, _) in self.scores.items()}
         self.longest = max((len(p) for p in self.scores), default=1)
         inner = {c for p in self.scores if len(p) > 1 for c in p if c != MARK}
         if any(MARK in p.lstrip(MARK) for p in self.scores):
@@ -93,18 +95,6 @@ class Pieces:
             return []
         return self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
 
-    def chunks(self, text: str | None) -> list[str]:
-        """Parts between blanks, each split into words by itself with a mark in front; the whole text where that would
-        not do (runs of blanks, marks in the text, models without a mark in front)."""
-        if not text:
-            return []
-        if not self.prefix or "  " in text or text[0] == " " or MARK in text:
-            return [" " + text]
-        return text.split(" ")
-
-    def words_of(self, chunk: str) -> list[str]:
-        return self.split(chunk[1:]) if chunk[:1] == " " else self.words.findall(MARK + chunk)
-
     def single(self, char: str) -> list[int]:
         known = self.scores.get(char)
         if known is not None:
@@ -112,12 +102,31 @@ class Pieces:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
     def encode_word(self, word: str) -> list[int]:
-        spans = self.merged(word) if self.kind == BPE else self.best_path(word)
         out: list[int] = []
+        if self.kind == BPE and len(word) <= LONGEST_WORD:
+            for part in self.merged_short(word):
+                out += self.single(part) if len(part) == 1 else [self.scores[part][1]]
+            return out
+        spans = self.merged(word) if self.kind == BPE else self.best_path(word)
         for s, e in spans:
             out += self.single(word[s]) if e == s + 1 else [self.scores[word[s:e]][1]]
         return out
 
+    def merged_short(self, word: str) -> list[str]:
+        """The same merges for short words, where scanning all neighbours is cheaper than a heap."""
+        get, never = self.costs.get, float("inf")
+        parts = list(word)
+        costs = [get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (best := min(costs)) != never:
+            i = costs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], never)
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], never)
+        return parts
+
     def merged(self, word: str) -> list[tuple[int, int]]:
         """Merges in order of score, the leftmost first; a heap keeps long words cheap."""
         n = len(word)
@@ -194,22 +203,19 @@ def word_counts(docs: DataFrame, text_col: str, pieces: Pieces) -> DataFrame:
     def run(batches):
         from collections import Counter
 
-        def words(chunks: Counter[str]) -> pd.DataFrame:
-            counts: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                for word in shared.value.words_of(chunk):
-                    counts[word] += n
-            chunks.clear()
-            return pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+        def table(counts: Counter[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                                              names=["word", "n"])
 
-        chunks: Counter[str] = Counter()
+        counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                chunks.update(shared.value.chunks(text))
-                if len(chunks) > FLUSH:
-                    yield pa.RecordBatch.from_pandas(words(chunks), preserve_index=False)
-        if chunks:
-            yield pa.RecordBatch.from_pandas(words(chunks), preserve_index=False)
+                counts.update(shared.value.split(text))
+                if len(counts) > FLUSH:
+                    yield table(counts)
+                    counts.clear()
+        if counts:
+            yield table(counts)
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -286,41 +292,33 @@ def dictionary(docs: DataFrame, text_col: str, pieces: Pieces, most: int = DICTI
 
 
 class Encodings(dict):
-    """Chunks of texts with the bytes of their ids, filled as they are asked for; ``odd``: those that do not decode to
-    themselves."""
+    """Words with the bytes of their ids, filled as they are asked for; ``odd``: those that do not decode to themselves."""
 
     def __init__(self, pieces: Pieces, words: dict[str, bytes]) -> None:
         super().__init__()
-        self.pieces, self.words, self.odd, self.rare = pieces, words, set(), {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        parts = []
-        for w in self.pieces.words_of(chunk):
-            part = self.words.get(w) or self.rare.get(w)
-            if part is None:
-                part = self.rare[w] = np.array(self.pieces.encode_word(w), np.int32).tobytes()
-            parts.append(part)
-        ids = b"".join(parts)
-        if chunk[:1] == " ":  # a whole text
-            return ids
-        self[chunk] = ids
-        if raw_of(np.frombuffer(ids, np.int32), self.pieces) != b" " + chunk.encode("utf-8", "surrogatepass"):
-            self.odd.add(chunk)
+        self.pieces, self.words, self.odd = pieces, words, set()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = array("i", self.pieces.encode_word(word)).tobytes()
+        self[word] = ids
+        if raw_of(array("i", ids), self.pieces) != word.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+            self.odd.add(word)
         return ids
 
     def trim(self) -> None:
-        if len(self) > FLUSH or len(self.rare) > FLUSH:
+        if len(self) > len(self.words) + FLUSH:
             self.clear()
             self.odd.clear()
-            self.rare.clear()
 
     def text(self, text: str | None) -> tuple[bytes, bool]:
-        """The ids and whether they decode to the text."""
-        chunks = self.pieces.chunks(text)
-        ids = b"".join(map(self.__getitem__, chunks))
-        if (chunks and chunks[0][:1] == " ") or not self.odd.isdisjoint(chunks):
-            return ids, decode_ids(np.frombuffer(ids, np.int32), self.pieces) == text
-        return ids, True  # every chunk decodes to itself, with the blank before it
+        """The ids and whether they decode to the text: they do if every word does and no mark of its own is in it."""
+        words = self.pieces.split(text)
+        ids = b"".join(map(self.__getitem__, words))
+        if self.odd and not self.odd.isdisjoint(words):
+            return ids, decode_ids(array("i", ids), self.pieces) == text
+        return ids, not text or MARK not in text
 
 
 def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text",
@@ -350,11 +348,11 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>, n_tokens long, round_trip boolean")
 
 
-def raw_of(ids: np.ndarray, pieces: Pieces) -> bytes:
-    return b"".join([pieces.raw[i] for i in ids.tolist()])
+def raw_of(ids, pieces: Pieces) -> bytes:
+    return b"".join([pieces.raw[i] for i in ids])
 
 
-def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
+def decode_ids(ids, pieces: Pieces) -> str:
     raw = raw_of(ids, pieces)
     return (raw[1:] if pieces.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
