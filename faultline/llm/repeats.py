@@ -324,14 +324,16 @@ def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, kept (the bytes that stay), spans (start, end of removed runs) for every row, and ``carry``."""
+                    carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, kept (the bytes that stay), spans (start, end of removed runs) for every row, and ``carry``;
+    ``as_text`` gives kept_text (the characters that stay whole) in place of kept."""
     lost = find_repeats(docs, id_col, text_col)
     carry = carry or []
     extra = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
     rows = docs.select(*extra, *[tagged_columns(id_col, text_col)[k].alias(k) for k in ("doc", "tag", "text")])
     both = rows.join(lost, ["doc", "tag"], "left").select("doc", "text", "places", "masks", *[
         f"_carry{i}" for i in range(len(carry))])
+    name, kind = ("kept_text", "string") if as_text else ("kept", "binary")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -342,13 +344,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 starts, ends = removed_runs(places, masks, len(raw)) if places else ([], [])
                 cuts = np.concatenate([[0], np.ravel(np.column_stack([starts, ends])), [len(raw)]]).astype(int)
                 sizes.append(len(raw))
-                kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+                stay = [raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+                kept.append("".join(x.decode("utf-8", "ignore") for x in stay) if as_text else b"".join(stay))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(starts, ends, strict=True)])
-            made = [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)]
-            names = ["doc_id", "n_bytes", "kept", "spans", *batch.schema.names[4:]]
+            made = [pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, span)]
+            names = ["doc_id", "n_bytes", name, "spans", *batch.schema.names[4:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], names=names)
 
     kinds = ", ".join(f"_carry{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = both.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
+    out = both.mapInArrow(run, f"doc_id long, n_bytes long, {name} {kind}, spans array<struct<start:long,end:long>>"
                           + (f", {kinds}" if kinds else ""))
-    return out.select("doc_id", "n_bytes", "kept", "spans", *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select("doc_id", "n_bytes", name, "spans", *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])

@@ -450,6 +450,20 @@ def test_pipeline_stages_on_odd_rows(spark, docs, empty, labels, tmp_path):
                 assert ids == sorted(set(ids)) and 3 not in ids and 5 in ids
 
 
+def test_pipeline_keeps_texts_of_repeated_ids_and_replacement_characters(spark):
+    shared = prose(1, 30)
+    rows = [(1, prose(2, 40)), (1, prose(3, 40)), (1, prose(3, 40)), (2, prose(2, 40)), (3, prose(3, 40)), (None, prose(2, 40)),
+            (4, None), (5, ""), (5, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, d, "").collect())
+    assert got == Counter({rows[0], rows[1], rows[5], rows[6], rows[7], rows[8]})
+    rows = [(1, shared), (2, "a\ufffdb " + shared + " \ufffd end"), (3, "é" * 60), (4, "x" + "é" * 60 + "y")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], d.schema)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, d, "").collect()}
+    assert got[2].startswith("a\ufffdb") and got[2].endswith("\ufffd end") and len(got[2]) < 20
+    assert got[1] == shared and got[4] == "xy"
+
+
 def test_registered_queries():
     assert [q for q in queries.C.queries if q.startswith("op")] and set(corpus_pipeline.C.queries) == {"pipeline"}
     assert len({q.split("_")[0] for q in queries.C.queries}) == 13
