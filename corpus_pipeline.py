@@ -14,6 +14,7 @@ from faultline.llm import jaccard, mixing, pieces, repeats, toxicity
 from faultline.llm.common import keep, table
 from faultline.plans.registry import Catalog
 
+KEY = "_document_key"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.5 or more go; the model learns from labelled rows that are not held out."""
@@ -22,20 +23,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles with a similarity of 0.8 or more, the smallest id stays,
-    once. Documents without words are linked with nothing."""
-    classes = jaccard.similarity_classes(docs, n=5, num=80, den=100)
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest
+    id stays (ties: smallest hash of the text). Rows are told apart by id and text, so another text under a repeated id is
+    a document of its own; of rows equal in both one stays. Documents without words are linked with nothing, null ids and
+    their rows stay."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn(KEY, key)
+    classes = jaccard.similarity_classes(keyed, n=5, num=80, den=100, id_col=KEY)
+    ids = docs.where("doc_id is not null").select("doc_id", key.alias("key")).distinct()
+    groups = ids.join(classes.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    stay = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    kept = keyed.join(stay.select(F.col("first.key").alias(KEY)), KEY, "left_semi").dropDuplicates([KEY])
+    return kept.unionByName(keyed.where("doc_id is null")).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that start in a document with a smaller id are removed, characters cut in two with
-    them; n_chars follows the text. A text without any removal stays as it is, null included."""
+    them; n_chars follows the text. A text without any removal stays as it is, null included; replacement characters
+    of the text itself stay."""
     others = [c for c in docs.columns if c != "doc_id"]
-    left = repeats.without_repeats(docs, carry=others)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(whole_characters(F.col("kept")))
+    left = repeats.without_repeats(docs, carry=others, as_text=True)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept_text"))
     out = left.withColumn("text", text)
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
@@ -43,11 +51,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def whole_characters(raw):
-    """Bytes as text, without bytes that are no part of a character (nor replacement characters)."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a source's words come to its target, no document more than twice.
     Rows equal in id, source and size are taken alike."""
