@@ -198,6 +198,7 @@ def identifiers_of(refs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def not_in_evidence(hits: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:
-    return hits.join(evidence.select(Q, *key).distinct(), [Q, *key], "left_anti")
+    """Hits without those in the evidence, which may be a whole table: both are shuffled, none is sent to the driver."""
+    return hits.join(evidence.select(Q, *key).distinct().hint("merge"), [Q, *key], "left_anti")
 
 

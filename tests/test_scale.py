@@ -1,8 +1,6 @@
 """Tasks and the driver hold a bounded part of a table, whatever the table's size."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from conftest import plan_of
 from faultline.operators import retrieve, vectorindex
@@ -36,3 +34,11 @@ def test_equal_questions_are_searched_once(spark, monkeypatch):
     got = found(hits)
     assert searched == [2] and len(got) == 101
     assert all(got[i] == [(-7.0, "c8"), (-6.0, "c7")] for i in range(100)) and got[100] == [(1.0, "c0"), (1.0, "c1")]
+
+
+def test_evidence_is_never_sent_to_the_driver(spark):
+    """The evidence may be a whole table that only looks small in its file: both sides are shuffled."""
+    hits = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "query_id bigint, chunk_id string")
+    left = retrieve.not_in_evidence(hits, spark.createDataFrame([(1, "a"), (1, "a"), (2, "c")], hits.schema), ["chunk_id"])
+    assert "SortMergeJoin" in plan_of(left) and "Broadcast" not in plan_of(left)
+    assert sorted(tuple(r) for r in left.collect()) == [(1, "b"), (2, "a")]
