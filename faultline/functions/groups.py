@@ -72,17 +72,40 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int) -> D
 
 
 GRAM = 3
+#: Lengths of longer pieces: three characters of a numbered name occur in a share of all names, so their lists grow with the table.
+LONGER = (6, 12)
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Distinct pieces of one to ``n`` characters, in one pass over the characters."""
+def grams(text: Column, n: int = GRAM, longer: tuple[int, ...] = LONGER) -> Column:
+    """Distinct pieces of one to ``n`` and of ``longer`` characters."""
     chars = F.split(text, "")
     shifted = F.arrays_zip(*[(chars if i == 0 else F.slice(chars, i + 1, F.greatest(F.size(chars), F.lit(1)))).alias(f"c{i}") for i in range(n)])
 
     def pieces(m: int) -> Column:
         return F.transform(shifted, lambda z: F.concat(*[z[f"c{i}"] for i in range(m)]))
 
-    return F.array_distinct(F.filter(F.flatten(F.array(*[pieces(m) for m in range(1, n + 1)])), lambda g: g.isNotNull()))
+    def slices(m: int) -> Column:
+        starts = F.when(F.size(chars) >= m, F.sequence(F.lit(1), F.size(chars) - m + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(m)), ""))
+
+    every = [pieces(m) for m in range(1, n + 1)] + [slices(m) for m in longer]
+    return F.array_distinct(F.filter(F.flatten(F.array(*every)), lambda g: g.isNotNull()))
+
+
+def _looked_up(distinct: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_needle, _text): needles with the texts (_value, _text) of their rarest gram of the greatest length they have."""
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    for m in LONGER:
+        size = F.when(F.length("_needle") >= m, F.lit(m)).otherwise(size)
+    needed = wanted.select("_needle", F.explode(F.filter(grams(F.col("_needle")), lambda g: F.length(g) == size)).alias("_gram"))
+    postings = distinct.select("_text", F.explode(grams(F.col("_value"))).alias("_gram"))
+    lengths = F.broadcast(needed.select(F.length("_gram").alias("_length")).distinct())  # five at most
+    postings = postings.withColumn("_length", F.length("_gram")).join(lengths, "_length", "left_semi").drop("_length")
+    postings = cut(postings.join(needed.select("_gram").distinct(), "_gram", "left_semi"), "postings")
+    often = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    rarest = needed.join(often, "_gram", "left").groupBy("_needle").agg(
+        F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.bool_and(F.col("_texts").isNotNull()).alias("_all"))
+    return rarest.where("_all").join(postings, "_gram").select("_needle", "_text")
 
 
 def containment_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
@@ -93,15 +116,8 @@ def containment_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needl
     are searched. Nothing reaches the driver.
     """
     wanted = needles.where(F.length(needle_col) > 0).select(F.col(needle_col).alias("_needle")).distinct()
-    size = F.least(F.length("_needle"), F.lit(GRAM))
-    needed = wanted.select("_needle", F.explode(F.filter(grams(F.col("_needle")), lambda g: F.length(g) == size)).alias("_gram"))
     distinct = cut(texts.select(F.col(text_col).alias("_value")).distinct().withColumn("_text", F.sha2("_value", 256)), "texts")
-    postings = distinct.select("_text", F.explode(grams(F.col("_value"))).alias("_gram"))
-    postings = cut(postings.join(needed.select("_gram").distinct(), "_gram", "left_semi"), "postings")
-    often = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
-    rarest = needed.join(often, "_gram", "left").groupBy("_needle").agg(
-        F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.bool_and(F.col("_texts").isNotNull()).alias("_all"))
-    found = rarest.where("_all").join(postings, "_gram").select("_needle", "_text")
+    found = _looked_up(distinct, wanted)
     met = found.join(distinct, "_text").where(F.contains("_value", "_needle")).select(F.col("_value").alias(text_col), "_needle")
     if texts.columns != [text_col]:
         met = texts.join(met, text_col)

@@ -2,7 +2,10 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from conftest import plan_of
+from faultline.functions import groups
 from faultline.operators import retrieve, vectorindex
 from test_retrieval import ASKED, CHUNK, brute_force, found
 
@@ -42,3 +45,15 @@ def test_evidence_is_never_sent_to_the_driver(spark):
     left = retrieve.not_in_evidence(hits, spark.createDataFrame([(1, "a"), (1, "a"), (2, "c")], hits.schema), ["chunk_id"])
     assert "SortMergeJoin" in plan_of(left) and "Broadcast" not in plan_of(left)
     assert sorted(tuple(r) for r in left.collect()) == [(1, "b"), (2, "a")]
+
+
+def test_numbered_names_look_up_few_texts(spark):
+    """Names that differ in their number only: the candidates grow with the names, not with their square, and no pair is lost."""
+    names = [f"u{i}.py" for i in range(100000, 104000)] + ["u1", "py", "u1000", "füü.py", "nowhere-at-all"]
+    paths = spark.createDataFrame([(f"src/{n}",) for n in names[:-1]] + [("lib/u100000.py.orig",)], "path string")
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    long = wanted.where("length(name) > 6").select(F.col("name").alias("_needle"))
+    distinct = paths.select(F.col("path").alias("_value"), F.sha2("path", 256).alias("_text"))
+    assert groups._looked_up(distinct, long).count() < 4 * len(names)
+    got = sorted((r["path"], r["name"]) for r in groups.containment_pairs(paths, "path", wanted, "name").collect())
+    assert got == sorted((r["path"], n) for r in paths.collect() for n in names if n in r["path"])
