@@ -73,22 +73,25 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int) -> D
 
 GRAM = 3
 #: Lengths of longer pieces: three characters of a numbered name occur in a share of all names, so their lists grow with the table.
-LONGER = (6, 12)
+LONGER = (2 * GRAM, 4 * GRAM)
 
 
-def grams(text: Column, n: int = GRAM, longer: tuple[int, ...] = LONGER) -> Column:
-    """Distinct pieces of one to ``n`` and of ``longer`` characters."""
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Distinct pieces of one to ``n`` characters, and of twice and four times ``n``, in passes over the characters."""
     chars = F.split(text, "")
     shifted = F.arrays_zip(*[(chars if i == 0 else F.slice(chars, i + 1, F.greatest(F.size(chars), F.lit(1)))).alias(f"c{i}") for i in range(n)])
 
     def pieces(m: int) -> Column:
         return F.transform(shifted, lambda z: F.concat(*[z[f"c{i}"] for i in range(m)]))
 
-    def slices(m: int) -> Column:
-        starts = F.when(F.size(chars) >= m, F.sequence(F.lit(1), F.size(chars) - m + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(m)), ""))
+    def doubled(parts: Column, m: int) -> Column:
+        # Zipped, as a lambda that refers to the whole array would build it anew for every place.
+        both = F.arrays_zip(parts.alias("a"), F.slice(parts, m + 1, F.greatest(F.size(parts), F.lit(1))).alias("b"))
+        return F.transform(both, lambda z: F.concat(z["a"], z["b"]))
 
-    every = [pieces(m) for m in range(1, n + 1)] + [slices(m) for m in longer]
+    every = [pieces(m) for m in range(1, n + 1)]
+    for _ in LONGER:
+        n, every = 2 * n, [*every, doubled(every[-1], n)]
     return F.array_distinct(F.filter(F.flatten(F.array(*every)), lambda g: g.isNotNull()))
 
 
