@@ -105,15 +105,20 @@ def pieces_of(lines: DataFrame) -> DataFrame:
     return marked.mapInPandas(_pieces, _PIECE)
 
 
-def _placed(pieces: DataFrame) -> DataFrame:
-    """Pieces with line_no (of the first line, from 1) and the entry's first line, from one row per split."""
+def _later_ends(pieces: DataFrame) -> DataFrame:
+    """(namespace, source_file, split, offset, carried) of the splits behind the first one of a file: the lines before a split
+    and where the entry it starts in opens. Files of one split, however many there are, have no row here."""
     ends = pieces.where("kind = 'end'").select(*FILE, "split", "lines", "entry")
     before = Window.partitionBy(*FILE).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("lines").over(before), F.lit(0).cast("bigint"))
     ends = ends.withColumn("offset", offset)
     carried = F.coalesce(F.max(F.col("offset") + F.col("entry") + 1).over(before), F.lit(1).cast("bigint"))
-    ends = ends.select(*FILE, "split", "offset", carried.alias("carried"))
-    rows = pieces.where("kind <> 'end'").join(ends, [*FILE, "split"])
+    return ends.select(*FILE, "split", "offset", carried.alias("carried")).where("split > 0")
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Pieces with line_no (of the first line, from 1) and the entry's first line, from one row per split behind a file's first."""
+    rows = pieces.where("kind <> 'end'").join(_later_ends(pieces), [*FILE, "split"], "left").fillna({"offset": 0, "carried": 1})
     opened = F.coalesce(F.col("offset") + F.col("entry") + 1, F.col("carried"))
     return rows.select(*FILE, "kind", (F.col("offset") + F.col("at") + 1).alias("line_no"), "lines", opened.alias("entry"), "text")
 

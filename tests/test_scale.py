@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from faultline.functions import groups
 from faultline.operators import retrieve, vectorindex
+from faultline.sources import logs
 from test_retrieval import ASKED, CHUNK, brute_force, found
 
 
@@ -57,3 +58,19 @@ def test_numbered_names_look_up_few_texts(spark):
     assert groups._looked_up(distinct, long).count() < 4 * len(names)
     got = sorted((r["path"], r["name"]) for r in groups.containment_pairs(paths, "path", wanted, "name").collect())
     assert got == sorted((r["path"], n) for r in paths.collect() for n in names if n in r["path"])
+
+
+def test_files_of_one_split_have_no_row_to_send(spark):
+    """Short files, however many, are placed without a table of their ends; longer files are, by the splits behind their first."""
+    lines = [("n", f"f{i}", n, "x" * 30) for i in range(300) for n in range(1, 4)] + [("n", "long", n, "y" * 30) for n in range(1, 9001)]
+    lines[-1] = ("n", "long", 9000, "2024-01-30T10:00:00Z ERROR " + "z" * 60)
+    numbered = spark.createDataFrame(lines, "namespace string, source_file string, line_no bigint, text string")
+    block = F.floor((F.col("line_no") - 1) / logs.LINES_PER_BLOCK)
+    ordered = numbered.withColumn("split", block).repartition("namespace", "source_file", "split").sortWithinPartitions("source_file", "split", "line_no")
+    pieces = logs.pieces_of(ordered)
+    later = sorted(tuple(r) for r in logs._later_ends(pieces).collect())
+    assert later == [("n", "long", 1, 4096, 1), ("n", "long", 2, 8192, 1)]
+    got = logs.log_entries(numbered).collect()
+    assert sorted((r.line_start, r.line_end) for r in got if r.source_file == "long") == [
+        (a, min(a + 79, 8999)) for a in range(1, 9000, 80)] + [(9000, 9000)]
+    assert sorted({(r.line_start, r.line_end) for r in got if r.source_file != "long"}) == [(1, 3)]
