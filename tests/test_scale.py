@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from faultline.functions import groups
-from faultline.operators import retrieve, vectorindex
+from faultline.operators import linking, retrieve, vectorindex
 from faultline.sources import logs
 from test_retrieval import ASKED, CHUNK, brute_force, found
 
@@ -74,3 +74,24 @@ def test_files_of_one_split_have_no_row_to_send(spark):
     assert sorted((r.line_start, r.line_end) for r in got if r.source_file == "long") == [
         (a, min(a + 79, 8999)) for a in range(1, 9000, 80)] + [(9000, 9000)]
     assert sorted({(r.line_start, r.line_end) for r in got if r.source_file != "long"}) == [(1, 3)]
+
+
+def test_links_are_sought_once_per_list_of_names(spark, monkeypatch):
+    """A thousand entries that name the same code are one list of names; rows of one place with different names are merged."""
+    text = "ERROR x at src/mod1.py:{0}, in fn"
+    log = spark.createDataFrame([("n", "a.log", i, text.format(i + 1)) for i in range(1000)] + [
+        ("n", "a.log", 5000, "at src/mod1.py:3"), ("n", "a.log", 5000, "at lib/other.py:9")], "namespace string, source_file string, ord bigint, text string")
+    code = spark.createDataFrame([("n", f, s, s + 9, "", "") for f in ("src/mod1.py", "lib/other.py") for s in range(1, 60, 10)],
+                                 "namespace string, source_file string, line_start bigint, line_end bigint, function_name string, class_name string")
+    sought = []
+    plain = linking._linked
+    monkeypatch.setattr(linking, "_linked", lambda refs, keys: sought.append(refs.select("namespace", "ord").distinct().count()) or plain(refs, keys))
+    got = linking.link_logs_code(linking.code_refs(log), code).collect()
+    assert sought == [2]
+    places = {}
+    for r in got:
+        places.setdefault(r.ord, []).append((r.link_no, r.code_file, r.code_start))
+    first = [(i + 1, "src/mod1.py", 10 * i + 1) for i in range(5)]
+    assert len(places) == 1001 and all(sorted(places[i]) == first for i in range(1000))
+    merged = [(f, 10 * i + 1) for i in range(3) for f in ("lib/other.py", "src/mod1.py")][:5]
+    assert sorted(places[5000]) == [(i + 1, *p) for i, p in enumerate(merged)]
