@@ -176,7 +176,8 @@ def end_blocks(lines: DataFrame, starts: DataFrame) -> DataFrame:
 def unit_ranges(lines: DataFrame) -> DataFrame:
     """Definition lines with the last line of their block and what stands above them."""
     above = _above(lines)
-    starts = unit_starts(above)
+    # Read four times below: written once, so definitions are sought once.
+    starts = cut(unit_starts(above).drop("text", "trimmed", "blank", "comment_from"), "starts")
     ends = indent_ends(lines, starts).unionByName(brace_ends(lines, starts)).unionByName(end_blocks(lines, starts))
     out = starts.join(ends, [*FILE, "line_no"])
     last = lines.groupBy(*FILE).agg(F.max("line_no").alias("_last"))
@@ -188,7 +189,7 @@ def unit_ranges(lines: DataFrame) -> DataFrame:
     head = F.when(decorated, F.col("line_no") - F.col("decorators")).otherwise(F.col("line_no"))
     # Comments stand above the decorators, so they are looked up from the unit's first line.
     comments = above.select(*FILE, F.col("line_no").alias("head"), "comment_from")
-    out = out.where(~flat_class).withColumn("head", head.cast("bigint")).drop("comment_from").join(comments, [*FILE, "head"])
+    out = out.where(~flat_class).withColumn("head", head.cast("bigint")).join(comments, [*FILE, "head"])
     closed = F.coalesce("_shut.closed", F.lit(False)) & F.col("_open").isNotNull()
     return out.select(
         *FILE, "language", "kind", "name", "indent", "line_no", "end", "head", "comment_from",
@@ -302,7 +303,7 @@ def python_docstring(lines: Column, after: Column) -> Column:
 
 
 def unit_texts(files: DataFrame, claims: DataFrame) -> DataFrame:
-    """One row per unit with text, docstring, imports, decorators, comments, and the module unit."""
+    """One row per unit with text, docstring, imports, decorators, comments, and the module unit; a file without any is one unit itself."""
     rows = files.join(claims.drop("language"), FILE).withColumn("l", T.lines_of(F.col("text")))
     lines, language = F.col("l"), F.col("language")
     n = F.size(lines).cast("bigint")
@@ -326,7 +327,10 @@ def unit_texts(files: DataFrame, claims: DataFrame) -> DataFrame:
 
     loose = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).cast("bigint").alias("n"), x.alias("t"))),
                      lambda s: ~_inside(s["n"], F.col("taken")))
-    rest = T.strip(F.array_join(F.transform(loose, lambda s: s["t"]), "\n"))
+    # Columns of their own, so the lines outside the units are sought once and not once per use below.
+    rows = rows.withColumn("loose", loose)
+    rows = rows.withColumn("rest", T.strip(F.array_join(F.transform("loose", lambda s: s["t"]), "\n")))
+    loose, rest = F.col("loose"), F.col("rest")
     whole = language.isin(V.WHOLE_FILE_MODULE_LANGS)
     first = F.when(language.isin("python", *V.JS_LANGS), F.get(loose, F.lit(0))["n"]).otherwise(F.lit(1).cast("bigint"))
     has_module = F.when(whole, F.exists(loose, lambda s: T.strip(s["t"]) != "")).otherwise(F.length(rest) >= V.MIN_MODULE_CHARS)
@@ -337,8 +341,12 @@ def unit_texts(files: DataFrame, claims: DataFrame) -> DataFrame:
         none.alias("decorators"), F.lit("").alias("comments"))
     named = F.transform("units", full)
     units = F.when(has_module, F.array_append(named, module)).otherwise(named)
-    return rows.select(*FILE, "language", imports.alias("imports"), F.posexplode(units).alias("unit_no", "u")).select(
-        *FILE, "language", "imports", "unit_no", "u.*")
+    rows = rows.select(*FILE, "language", "text", imports.alias("imports"), units.alias("us"))
+    none_found = F.size("us") == 0
+    file_itself = F.when(F.length(T.strip(F.col("text"))) >= V.MIN_MODULE_CHARS, F.array(_whole_file()))
+    rows = rows.select(*FILE, "language", F.when(none_found, none).otherwise(F.col("imports")).alias("imports"),
+                       F.posexplode(F.when(none_found, file_itself).otherwise(F.col("us"))).alias("unit_no", "u"))
+    return rows.select(*FILE, "language", "imports", "unit_no", "u.*")
 
 
 # ---- configuration files ----------------------------------------------------------------
@@ -414,19 +422,26 @@ def code_units(files: DataFrame) -> DataFrame:
                           F.col("taken").cast("array<struct<from:bigint,to:bigint>>").alias("taken")).unionByName(bare)
     units = unit_texts(parsed, claims)
     units = units.unionByName(config_sections(files)).unionByName(json_blocks(files))
-    rest = files.join(units.select(*FILE).distinct(), FILE, "left_anti")
-    return units.unionByName(whole_file_units(rest))
+    # The parsers above leave no file without a unit, so the others are known by their language; no text is parsed twice for it.
+    split = [*UNIT_LANGS, *V.SECTION_PATTERNS, "json"]
+    return units.unionByName(whole_file_units(files.where(F.col("language").isNull() | ~F.col("language").isin(split))))
+
+
+def _whole_file() -> Column:
+    """A file as one unit, its text as it is."""
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.lit("module").alias("kind"), F.lit("<module>").alias("name"), F.lit("").alias("class_name"), F.lit(1).cast("bigint").alias("start_line"),
+        F.size(F.split("text", "\n", -1)).cast("bigint").alias("end_line"), F.col("text"), F.lit("").alias("docstring"),
+        none.alias("decorators"), F.lit("").alias("comments"))
 
 
 def whole_file_units(files: DataFrame) -> DataFrame:
     """Files no parser split: the whole text as one module unit of at least 30 characters."""
     none = F.array().cast("array<string>")
     kept = files.where(F.length(T.strip(F.col("text"))) >= V.MIN_MODULE_CHARS)
-    return kept.select(
-        *FILE, "language", none.alias("imports"), F.lit(0).alias("unit_no"), F.lit("module").alias("kind"),
-        F.lit("<module>").alias("name"), F.lit("").alias("class_name"), F.lit(1).cast("bigint").alias("start_line"),
-        F.size(F.split("text", "\n", -1)).cast("bigint").alias("end_line"), "text", F.lit("").alias("docstring"),
-        none.alias("decorators"), F.lit("").alias("comments"))
+    return kept.select(*FILE, "language", none.alias("imports"), F.lit(0).alias("unit_no"), _whole_file().alias("u")).select(
+        *FILE, "language", "imports", "unit_no", "u.*")
 
 
 def unit_chunks(units: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from faultline.functions import groups
-from faultline.operators import linking, retrieve, vectorindex
+from faultline.operators import codeunits, linking, retrieve, vectorindex
 from faultline.sources import logs
 from test_retrieval import ASKED, CHUNK, brute_force, found
 
@@ -95,3 +95,13 @@ def test_links_are_sought_once_per_list_of_names(spark, monkeypatch):
     assert len(places) == 1001 and all(sorted(places[i]) == first for i in range(1000))
     merged = [(f, 10 * i + 1) for i in range(3) for f in ("lib/other.py", "src/mod1.py")][:5]
     assert sorted(places[5000]) == [(i + 1, *p) for i, p in enumerate(merged)]
+
+
+def test_files_are_parsed_once(spark):
+    """The units of a file are worked out in one pass; files without any become one unit, those too short for it none."""
+    long = "just some words that no rule of the language takes for a unit"
+    files = [("n", "a.py", "def f(x):\n    return x + 1\n"), ("n", "b.py", "x = 1"), ("n", "c.txt", long), ("n", "d.sh", long), ("n", "e.yaml", "key: 1"), ("n", "f.json", "[1]")]
+    units = codeunits.code_units(spark.createDataFrame(files, "namespace string, source_file string, text string"))
+    assert plan_of(units).count("LeftAnti") == 1
+    assert sorted({(r.source_file, r.kind) for r in units.collect()}) == [
+        ("a.py", "function"), ("c.txt", "module"), ("d.sh", "module"), ("e.yaml", "config_block"), ("f.json", "config_block")]
