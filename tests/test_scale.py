@@ -105,3 +105,26 @@ def test_files_are_parsed_once(spark):
     assert plan_of(units).count("LeftAnti") == 1
     assert sorted({(r.source_file, r.kind) for r in units.collect()}) == [
         ("a.py", "function"), ("c.txt", "module"), ("d.sh", "module"), ("e.yaml", "config_block"), ("f.json", "config_block")]
+
+
+def test_term_search_orders_only_tokens_with_a_term(spark, monkeypatch):
+    """Tokens that hold no term are never sorted; with too many tokens for the tasks the hits are the same."""
+    rows = [("n", f"f{i % 7}", i, f"c{i:03d}", f"w{i} x{i} " + ("call fn1b" if i % 50 == 0 else "idle")) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "namespace string, source_file string, line_start long, chunk_id string, text string")
+    wanted = spark.createDataFrame([(7, "n", 0, "fn1"), (8, "n", 0, "x3")], "query_id long, namespace string, pos int, term string")
+    plain, ordered = retrieve.first_n, []
+
+    def counted(df, keys, *rest, **named):
+        if keys == ["namespace", "token"]:
+            ordered.append(df.count())
+        return plain(df, keys, *rest, **named)
+
+    monkeypatch.setattr(retrieve, "first_n", counted)
+    got = []
+    for few in (retrieve.FEW_TOKENS, 0):
+        monkeypatch.setattr(retrieve, "FEW_TOKENS", few)
+        got.append(sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in retrieve.term_search(chunks, wanted, 3).collect()))
+    first = sorted(rows, key=lambda r: (r[1], r[2], r[3]))
+    expected = [(q, i + 1, r[3]) for q, term in ((7, "fn1"), (8, "x3")) for i, r in enumerate([r for r in first if term in r[4]][:3])]
+    # fn1b four times, x3 and x30 to x39 once each.
+    assert got == [expected, expected] and ordered[0] == 15
