@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.llm.common import keep
@@ -16,11 +16,17 @@ def _toward_smallest(links: DataFrame, include_self: bool) -> DataFrame:
     return links.join(smallest, "a")
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The kept edges and their number and sum of hashes, which the job that writes them counts along."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    out = keep(edges.observe(seen, F.count(F.lit(1)).alias("edges"), total.alias("total")), "links")
+    return out, (seen.get["edges"], seen.get["total"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: each linked node with the smallest node it can reach."""
-    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    edges = keep(edges, "links")
-    state = None
+    """node, root: each linked node with the smallest node it can reach. Links that already are stars cost one round."""
+    edges, before = _kept(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _toward_smallest(both, True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,11 +34,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = _toward_smallest(large, False)
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(
             small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = keep(small.where("a > b").distinct(), "links")
-        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        now = edges.agg(F.count(F.lit(1)), total).first()
-        if tuple(now) == state:
+        edges, now = _kept(small.where("a > b").distinct())
+        if now == before:
             break
-        state = tuple(now)
+        before = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

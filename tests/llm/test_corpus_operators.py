@@ -467,3 +467,16 @@ def test_pipeline_keeps_texts_of_repeated_ids_and_replacement_characters(spark):
 def test_registered_queries():
     assert [q for q in queries.C.queries if q.startswith("op")] and set(corpus_pipeline.C.queries) == {"pipeline"}
     assert len({q.split("_")[0] for q in queries.C.queries}) == 13
+
+
+def test_links_that_are_stars_cost_one_round(spark, monkeypatch):
+    """Two tables are written and no job besides; chains and empty tables end with the same roots as before."""
+    written, plain = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df, label: written.append(label) or plain(df, label))
+    stars = spark.createDataFrame([(2, 1), (1, 3), (9, 8), (5, 5)], "a long, b long")
+    got = graph.components(stars)
+    assert len(written) == 2
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], stars.schema)
+    assert sorted(map(tuple, graph.components(chain).collect())) == [(i, 0) for i in range(41)]
+    assert graph.components(stars.limit(0)).count() == 0
