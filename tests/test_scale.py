@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from faultline.functions import groups
-from faultline.operators import codeunits, linking, retrieve, vectorindex
+from faultline.operators import chain, codeunits, graph, linking, retrieve, vectorindex
 from faultline.sources import logs
 from test_retrieval import ASKED, CHUNK, brute_force, found
 
@@ -128,3 +128,17 @@ def test_term_search_orders_only_tokens_with_a_term(spark, monkeypatch):
     expected = [(q, i + 1, r[3]) for q, term in ((7, "fn1"), (8, "x3")) for i, r in enumerate([r for r in first if term in r[4]][:3])]
     # fn1b four times, x3 and x30 to x39 once each.
     assert got == [expected, expected] and ordered[0] == 15
+
+
+def test_structural_answers_search_the_paths_once(spark, monkeypatch):
+    """The lines of an answer and its subject come from one search of the paths."""
+    units = spark.createDataFrame(
+        [("n", f"src/u{i}.py", "function", f"f{i}", "", i, i + 1, [], "pass") for i in range(12)],
+        "namespace string, source_file string, kind string, name string, class_name string, start_line int, end_line int, imports array<string>, text string")
+    asked = spark.createDataFrame([(1, "n", "which functions are in u1.py?"), (2, "n", "which functions are in u1?"),
+                                   (3, "n", "which functions are in nowhere.py?")], "query_id long, namespace string, question string")
+    searches, plain = [], graph.containment_pairs
+    monkeypatch.setattr(graph, "containment_pairs", lambda *a: searches.append(a[1]) or plain(*a))
+    got = {r["query_id"]: r["answer"] for r in chain.query_graph(units, asked).collect()}
+    assert searches.count("source_file") == 1
+    assert got == {i: "Symbols in `src/u1.py`:\n  - function: f1 (lines 1–2)" for i in (1, 2)}
