@@ -71,6 +71,29 @@ def test_knn_without_queries_or_with_few_chunks(spark):
     assert [(r.query_id, r.distance) for r in retrieve.knn(chunks, one, 3).collect()] == [(1, 1.0)]
 
 
+def test_chunks_of_one_text_are_searched_once(spark, monkeypatch):
+    """Copies beyond k, one id in two namespaces and one id with two texts; the fused hits are those of a search over every chunk."""
+    texts = ["payment service failing with timeout", "null pointer in user store", "timeout reading orders", "session created"]
+    rows = [("ns0" if i % 5 else "ns1", f"c{i * 37 % 80:03d}", texts[i % 4]) for i in range(80)]
+    rows += [("ns0", "x", texts[0]), ("ns1", "x", texts[0]), ("ns0", "y", texts[1]), ("ns0", "y", texts[2])]
+    chunks = spark.createDataFrame(rows, "namespace string, chunk_id string, text string").repartition(4)
+    questions = spark.createDataFrame([(1, "ns0", "Why is the payment timeout?"), (2, "ns1", "user store"), (3, "ns0", "orders session")],
+                                      "query_id long, namespace string, question string")
+    k, dims, plain, sent = 5, 32, retrieve.knn, []
+
+    def knn(stored, queries, k):
+        sent.append((stored.count(), queries))
+        return plain(stored, queries, k)
+
+    monkeypatch.setattr(retrieve, "knn", knn)
+    got = retrieve.multi_query_knn(chunks, questions, k, dims)
+    every = plain(retrieve.vectorise(chunks, dims=dims), sent[0][1], k)
+    lists = every.select(F.floor(F.col("query_id") / 4).alias("query_id"), F.pmod("query_id", F.lit(4)).alias("list_no"), "rank", "chunk_id", "distance")
+    want = retrieve.rrf_fuse(lists, ["chunk_id"])
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    assert sent[0][0] == len({(ns, text) for ns, _, text in rows})
+
+
 def test_overlap_walk_equals_model(spark):
     rng = random.Random(7)
     rows = []
