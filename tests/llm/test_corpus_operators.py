@@ -480,3 +480,21 @@ def test_links_that_are_stars_cost_one_round(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], stars.schema)
     assert sorted(map(tuple, graph.components(chain).collect())) == [(i, 0) for i in range(41)]
     assert graph.components(stars.limit(0)).count() == 0
+
+
+def test_rounds_over_few_links_cost_no_shuffle(spark, monkeypatch):
+    """Chains, stars and links to oneself; the same components whether rounds are shuffled or not."""
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(20, 60)] + [(5, 5), (3, 4), (4, 3)]
+    plain, plans = graph.keep, []
+
+    def keep(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(graph, "keep", keep)
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    few = sorted(map(tuple, graph.components(df).collect()))
+    assert len(plans) > 2 and not any("Exchange" in p for p in plans[1:])
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert sorted(map(tuple, graph.components(df).collect())) == few
+    assert dict(few) == {**{i: 100 for i in range(100, 141)}, 7: 7, **{i: 7 for i in range(20, 60)}, 3: 3, 4: 3}
