@@ -130,6 +130,36 @@ def test_term_search_orders_only_tokens_with_a_term(spark, monkeypatch):
     assert got == [expected, expected] and ordered[0] == 15
 
 
+def test_word_and_severity_search_order_few_chunks(spark, monkeypatch):
+    """Chunks behind the first k of a sample are not sorted; ties, nulls and groups smaller than the sample stay whole."""
+    rows = [(f"n{i % 2}" if i % 9 else None, f"f{i % 7}", i // 3, f"c{i % 500:04d}", "ERROR here" if i % 100 else "Traceback", "error") for i in range(6000)]
+    rows += [("n2", "f", 1, "c", "ERROR", "error")]
+    chunks = spark.createDataFrame(rows, "namespace string, source_file string, line_start long, chunk_id string, text string, severity string").repartition(3)
+    plain, ordered = groups.first_n, []
+    monkeypatch.setattr(groups, "first_n", lambda df, *a, **b: ordered.append(df.count()) or plain(df, *a, **b))
+    got = retrieve.severity_search(chunks, "error", 4).collect()
+    want = [(ns, i + 1, *r[1:4]) for ns in (None, "n0", "n1", "n2") for i, r in enumerate(sorted((r for r in rows if r[0] == ns), key=lambda r: r[1:4])[:4])]
+    assert sorted(map(str, want)) == sorted(str((r.namespace, r["rank"], r.source_file, r.line_start, r.chunk_id)) for r in got)
+    assert sum(ordered) < len(rows) / 4
+    asked = spark.createDataFrame([(7, "n1", "any error?"), (8, "n2", "any error?")], "query_id long, namespace string, question string")
+    ordered.clear()
+    hits = [(r.query_id, r["rank"], r.chunk_id) for r in retrieve.keyword_search(chunks, asked, 4).orderBy("query_id", "rank").collect()]
+    first = sorted((r[1:4] for r in rows if r[0] == "n1" and "ERROR" in r[4]))[:4]
+    assert hits == [(7, i + 1, r[2]) for i, r in enumerate(first)] + [(8, 1, "c")] and sum(ordered) < len(rows) / 4
+    monkeypatch.setattr(groups, "FEW_KEYS", 0)
+    assert sorted(map(str, retrieve.severity_search(chunks, "error", 4).collect())) == sorted(map(str, got))
+
+
+def test_hits_are_described_without_moving_the_chunks(spark, monkeypatch):
+    """Only chunks that are hits meet them; with too many hits for the tasks the rows are the same."""
+    chunks = spark.range(3000).select(F.concat(F.lit("c"), (F.col("id") % 2900).cast("string")).alias("chunk_id"), "id")
+    hits = spark.createDataFrame([(1, "c5"), (2, "c2950"), (2, "c7"), (3, None), (3, "none")], "query_id long, chunk_id string")
+    near = groups.narrowed(chunks, "chunk_id", hits)
+    assert near.count() == 4 and "SortMergeJoin" not in plan_of(near) and near.columns == chunks.columns
+    monkeypatch.setattr(groups, "FEW_HASHES", 2)
+    assert groups.narrowed(chunks, "chunk_id", hits).count() == 3000
+
+
 def test_structural_answers_search_the_paths_once(spark, monkeypatch):
     """The lines of an answer and its subject come from one search of the paths."""
     units = spark.createDataFrame(
