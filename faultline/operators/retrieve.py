@@ -33,13 +33,21 @@ def _term_counts(rows: DataFrame, text: str, dims: int) -> DataFrame:
 
 def rarities(rows: DataFrame, text: str = "text", dims: int = 384) -> IDFModel:
     """How rare each hashed term is among all rows."""
-    return IDF(inputCol="_tf", outputCol="_idf").fit(_term_counts(rows.select(text), text, dims))
+    return _rarities(_term_counts(rows.select(text), text, dims))
+
+
+def _rarities(counted: DataFrame) -> IDFModel:
+    return IDF(inputCol="_tf", outputCol="_idf").fit(counted)
 
 
 def vectorise(rows: DataFrame, text: str = "text", dims: int = 384, rare: IDFModel | None = None) -> DataFrame:
     """Add ``embedding``: hashed term weights scaled by rarity (``rare``, else that among the rows), unit length (all zero without words)."""
-    out = (rare or rarities(rows, text, dims)).transform(_term_counts(rows, text, dims))
-    out = Normalizer(inputCol="_idf", outputCol="_unit").transform(out)
+    return _weighted(_term_counts(rows, text, dims), rare or rarities(rows, text, dims))
+
+
+def _weighted(counted: DataFrame, rare: IDFModel) -> DataFrame:
+    """Add ``embedding`` to rows with their term counts."""
+    out = Normalizer(inputCol="_idf", outputCol="_unit").transform(rare.transform(counted))
     return out.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
 
 
@@ -159,29 +167,32 @@ def rrf_fuse(lists: DataFrame, key: list[str]) -> DataFrame:
     return fused.withColumn("fused_rank", F.row_number().over(w)).drop("seen")
 
 
-def same_texts(chunks: DataFrame, k: int) -> DataFrame:
-    """(namespace, chunk_id, text, same): the first k chunks of each text; ``same`` names the text: its first chunk (in front, as ties go
-    by chunk), its digest and the namespace."""
-    tagged = chunks.select(NS, F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.sha2("text", 256).alias("_text"))
+def same_texts(counted: DataFrame, k: int) -> DataFrame:
+    """(namespace, chunk_id, place, same, _tf): the first k chunks of each text (``_text``, its digest); ``same`` names the text: its first
+    chunk (in front, as ties go by chunk), its digest and the namespace. The first one keeps the term counts."""
     before = Window.partitionBy(NS, "_text").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tagged = tagged.withColumn("_first", F.first("chunk_id").over(before))
+    tagged = counted.withColumn("_first", F.first("chunk_id").over(before))
     firsts = first_n(tagged, [NS, "_text"], [F.col("chunk_id")], k, rank="place")
-    return firsts.select(NS, "chunk_id", "text", "place", F.concat_ws("\0", "_first", "_text", NS).alias("same"))
+    return firsts.select(NS, "chunk_id", "place", F.concat_ws("\0", "_first", "_text", NS).alias("same"),
+                         F.when(F.col("place") == 1, F.col("_tf")).alias("_tf"))
 
 
 def multi_query_knn(chunks: DataFrame, questions: DataFrame, k: int = 8, dims: int = 384) -> DataFrame:
     """Variants of each question, vectorised like the chunks, searched together and fused.
 
     Chunks of one text have one vector: it is searched once, in the place of its first chunk. A chunk among the k nearest is
-    among the first k of its text, and that text is among the k nearest, as ties go by chunk.
+    among the first k of its text, and that text is among the k nearest, as ties go by chunk. Terms are counted once; the
+    counts are moved, not the texts.
     """
-    rare = rarities(chunks, dims=dims)
+    counted = _term_counts(chunks.select(NS, F.col("chunk_id").cast("string").alias("chunk_id"), "text"), "text", dims)
+    counted = cut(counted.select(NS, "chunk_id", F.sha2("text", 256).alias("_text"), "_tf"), "term-counts")
+    rare = _rarities(counted)
     variants = query_variants(questions)
     coded = variants.select((F.col(Q) * 4 + F.col("variant_no") - 1).alias(Q), NS, F.col("variant").alias("text"))
     vectors = vectorise(coded, dims=dims, rare=rare)
-    alike = cut(same_texts(chunks, k), "same-texts")
-    heads = alike.where("place = 1").select(NS, F.col("same").alias("chunk_id"), "text")
-    stored = cut(vectorise(heads, dims=dims, rare=rare).select(NS, "chunk_id", "embedding"), "vectors")
+    alike = cut(same_texts(counted, k), "same-texts")
+    heads = alike.where("place = 1").select(NS, F.col("same").alias("chunk_id"), "_tf")
+    stored = cut(_weighted(heads, rare).select(NS, "chunk_id", "embedding"), "vectors")
     near = knn(stored, cut(vectors.select(Q, NS, "embedding"), "query-vectors"), k).withColumnRenamed("chunk_id", "same").drop("rank")
     hits = first_n(near.join(alike.select("same", "chunk_id"), "same"), [Q], [F.col("distance"), F.col("chunk_id")], k)
     lists = hits.select(F.floor(F.col(Q) / 4).alias(Q), F.pmod(F.col(Q), F.lit(4)).alias("list_no"), "rank", "chunk_id", "distance")

@@ -27,6 +27,37 @@ def test_vector_search_in_small_tiles_equals_brute_force(spark, monkeypatch):
     assert index.blocks.select("namespace", "tile").distinct().count() > 4
 
 
+def test_tiles_of_queries_are_moved_once_per_group(spark, monkeypatch):
+    """Blocks are moved once per tile of queries and queries once per group of blocks, and a tile leaves k hits a query behind."""
+    rng = np.random.default_rng(11)
+    rows = [("n", f"c{i:04d}", [float(x) for x in v]) for i, v in enumerate(np.repeat(rng.normal(size=(300, 5)), 4, axis=0))]
+    queries = [(i, "n", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(90, 5)))]
+    for name, value in (("TILE", 25), ("QUERY_TILE", 1000), ("PER_CORE", 1)):
+        monkeypatch.setattr(vectorindex, name, value)
+    index = vectorindex.build_index(spark.createDataFrame(rows, CHUNK).repartition(4), 20, 10)
+    moved, plain = [], vectorindex._streams
+
+    def streams(index, limited):
+        out = plain(index, limited)
+        moved.append(out.groupBy("kind").count().collect())
+        return out
+
+    monkeypatch.setattr(vectorindex, "_streams", streams)
+    hits, _ = vectorindex.search_index(index, spark.createDataFrame(queries, ASKED), 6)
+    assert found(hits) == brute_force(rows, queries, 6)
+    tiles, cores = index.tiles.first()["tiles"], spark.sparkContext.defaultParallelism
+    assert tiles > 3 * cores and {r["kind"]: r["count"] for r in moved[0]}[0] <= len(queries) * cores
+
+
+def test_terms_of_chunks_are_counted_once(spark, monkeypatch):
+    """One pass over the texts of the chunks serves the rarities and the vectors."""
+    chunks = spark.createDataFrame([("n", f"c{i}", f"word{i % 3} error {i}") for i in range(9)], "namespace string, chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "n", "any error?")], "query_id long, namespace string, question string")
+    passes, plain = [], retrieve._term_counts
+    monkeypatch.setattr(retrieve, "_term_counts", lambda rows, *a: passes.append("chunk_id" in rows.columns or rows.count() == 9) or plain(rows, *a))
+    assert retrieve.multi_query_knn(chunks, asked, 3, 16).count() >= 3 and passes.count(True) == 1
+
+
 def test_equal_questions_are_searched_once(spark, monkeypatch):
     """A question asked a hundred times is one vector in the tiles and a hundred answers."""
     chunks = spark.createDataFrame([("n", f"c{i}", [float(i), 1.0]) for i in range(9)], CHUNK)
